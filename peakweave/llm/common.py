@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of a text, as Java and DuckDB write the pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +37,63 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def lower_ascii(col):
+def lower_ascii(col: Column) -> Column:
     """A-Z as a-z; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all tasks of the int64 arrays (of length `size`) that `count` makes from a task's batches.
+
+    Arrays travel in slices, are added up slice by slice on the executors, and
+    only the sum, `size` numbers, reaches the driver.
+    """
+    n_slices = max(1, min(32, size // 4096))
+    width = -(-size // n_slices)
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = count(batches)
+        if total.any():
+            parts = [total[i * width : (i + 1) * width] for i in range(n_slices)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(n_slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(raw, np.int64)
+                sums[i] = sums[i] + x if i in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    out = np.zeros(size, np.int64)
+    for r in rows.mapInArrow(per_task, schema).repartition(n_slices, "slice").mapInArrow(add, schema).collect():
+        at = r["slice"] * width
+        out[at : at + width] += np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def with_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """All columns of df and new ones that `make` gives for the texts of a batch; a clash of names is the caller's to avoid."""
+    schema = T.StructType([*df.schema.fields, *fields])
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def remainder(id_col: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as the empty string."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
