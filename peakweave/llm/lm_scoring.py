@@ -1,9 +1,9 @@
 """Language-model scores: subword lattices over an existing vocabulary, and a smoothed word unigram as base.
 
-The corpus is gathered once into counts of words over all training rows.  One
-expectation step over those counts turns the vocabulary's own scores into
-piece probabilities; a text's probability is the product over its words of the
-sum over all segmentations, times that of the end.
+The corpus is gathered once into counts of words over all training rows.  Expectation
+steps over those counts turn the vocabulary's own scores into piece
+probabilities; a text's probability is the product over its words of the sum
+over all segmentations, times that of the end.
 
 The HOT most frequent words (a fixed number) go to every task with their counts
 and probabilities; all other words of a document are joined with the counts,
@@ -27,33 +27,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, written
+from .common import remainder, summed, texts, written
 from .lattice import Lattice, load_pieces
 from .spans import _LOWER, HashTable, span_hashes, text_blocks, words
 
 #: Words that every task gets with their counts.
-HOT = 1 << 18
+HOT = 1 << 17
 #: Words that a task counts before it hands them on.
-HELD = 1 << 19
+HELD = 1 << 17
 #: Words seen less often in training do not enter the expectation step.
 LEAST = 2
 #: Expected counts are added up as whole multiples of this, so that no order matters.
 UNIT = 2.0**-16
 #: Added to the expected count of each piece.
 PIECE_PRIOR = 0.1
+#: Expectation steps.
+ROUNDS = 2
 LN10 = math.log(10)
 
 
-def held_out(id_col, folds: int, fold: int):
-    """Whether crc32 of the id as text leaves the remainder `fold`."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
-
-
 def _count_words(rows: DataFrame) -> DataFrame:
     """(word, c): how often each word occurs, A-Z as a-z."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, names, counts = HashTable(20), [], np.zeros(HELD, np.int64)
+        table, names, counts = HashTable(19), [], np.zeros(HELD, np.int64)
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(counts[: len(names)])], ["word", "c"])
@@ -68,7 +65,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
                 fresh = np.flatnonzero(row < 0)
                 if len(names) + len(fresh) > HELD:
                     yield flush()
-                    table, names = HashTable(20), []
+                    table, names = HashTable(19), []
                     counts = np.zeros(max(HELD, len(new)), np.int64)
                     if len(new) > table.limit:
                         table = HashTable(len(new).bit_length() + 2)
@@ -88,23 +85,30 @@ def _expect(vocab: DataFrame, pieces: list[bytes], log_p: np.ndarray) -> np.ndar
     """How often each piece is expected in the counted words."""
     n_pieces = len(pieces)
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def expect(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         model, total = Lattice(pieces, log_p), np.zeros(n_pieces, np.int64)
         for batch in batches:
             got = model.expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
             total += np.rint(got / UNIT).astype(np.int64)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
+        return total
+
+    return summed(vocab.where(f"c >= {LEAST}").select("word", "c"), expect, n_pieces).astype(float) * UNIT
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_pieces, np.int64)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                total += np.frombuffer(raw, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
 
-    got = vocab.where(f"c >= {LEAST}").select("word", "c").mapInArrow(expect, "n binary").coalesce(16).mapInArrow(add, "n binary").collect()  # 16 rows at most
-    return np.sum([np.frombuffer(r["n"], np.int64) for r in got], axis=0).astype(float) * UNIT if got else np.zeros(n_pieces)
+def _most_frequent(vocab: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The words from some count on, HOT of them at most, and their counts."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    n = {r["level"]: r["n"] for r in vocab.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # one row for each eighth of a doubling
+    total, least = 0, None
+    for at in sorted(n, reverse=True):
+        total += n[at]
+        if total > HOT:
+            break
+        least = at
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    hot = vocab.where(level >= least).select("word", "c").toArrow().sort_by("word")
+    return hot["word"].to_pylist(), hot["c"].to_numpy()
 
 
 def lm_scores(docs: DataFrame, vocabulary: str, folds: int = 10, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +118,7 @@ def lm_scores(docs: DataFrame, vocabulary: str, folds: int = 10, fold: int = 0,
     crc32(id as text) mod `folds` is not `fold` are learned from.
     """
     rows = texts(docs, id_col, text_col)
-    rows = rows.withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
+    rows = rows.withColumn("held_out", remainder(F.col("doc_id"), folds) == fold)
     training = rows.where(~F.col("held_out"))
     vocab = written(_count_words(training), "words")
     n_texts = training.count()
@@ -123,16 +127,14 @@ def lm_scores(docs: DataFrame, vocabulary: str, folds: int = 10, fold: int = 0,
     whole = n + 0.1 * (v + 1)
 
     pieces, log_p = load_pieces(vocabulary)
-    expected = _expect(vocab, pieces, log_p)
-    weight = expected + PIECE_PRIOR
     end = n_texts + PIECE_PRIOR
-    total = weight.sum() + end
-    log_p = np.log(weight / total)
+    for _ in range(ROUNDS):
+        weight = _expect(vocab, pieces, log_p) + PIECE_PRIOR
+        total = weight.sum() + end
+        log_p = np.log(weight / total)
     end_score = math.log10(end / total)
 
-    hot = vocab.orderBy(F.desc("c"), "word").limit(HOT).collect()  # HOT rows at most
-    hot_words = [bytes(r["word"]) for r in hot]
-    hot_counts = np.array([r["c"] for r in hot], np.int64)
+    hot_words, hot_counts = _most_frequent(vocab)
     model = Lattice(pieces, log_p)
     hot_scores = model.log_marginals(hot_words) / LN10
     data = np.frombuffer(b"".join(hot_words), np.uint8)
