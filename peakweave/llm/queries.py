@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, lm_scoring, packing, token_counts, token_files
+from . import decontamination, jaccard_join, language_id, lm_scoring, packing, token_counts, token_files, toxicity
 from .common import shared_dir
 from .encoding import tokenizer_path
 
@@ -27,12 +27,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/peakweave/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_files.token_file_digests(spark, path)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -41,7 +53,10 @@ QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 

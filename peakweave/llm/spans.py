@@ -114,20 +114,31 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.append(starts[1:], n) if len(starts) else starts, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of the spans, A-Z as a-z if `lower`.  Equal bytes give equal hashes; 0 does not occur."""
+def prefix_sums(data: np.ndarray, lower: bool) -> np.ndarray:
+    """Sums from which any span's hash follows, A-Z as a-z if `lower`."""
     n = len(data)
-    power, inverse = _power_tables(n + 1)
+    power, _ = _power_tables(n + 1)
     value = (_LOWER[data] if lower else data).astype(np.uint64)
     value += np.uint64(1)
     value *= power[:n]
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(value, out=total[1:])
+    return total
+
+
+def hashes_of(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans.  Equal bytes give equal hashes; 0 does not occur."""
+    _, inverse = _power_tables(len(total))
     h = (total[ends] - total[starts]) * inverse[starts]
     return mix(h + (ends - starts).astype(np.uint64)) | np.uint64(1)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hashes of the spans, A-Z as a-z if `lower`."""
+    return hashes_of(prefix_sums(data, lower), starts, ends)
+
+
 def unusual(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts (a mask) with white space beyond ASCII, control characters 1C-1F, or "<|": none of our cuts is safe there."""
     out = np.zeros(len(offsets) - 1, bool)
