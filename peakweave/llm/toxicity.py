@@ -39,6 +39,8 @@ SAMPLE, VOTERS = 6_000, 512
 BEGINNINGS, TIMES = (5, 6, 7, 8, 9), (1, 2, 4)
 #: A word voter occurs in so many distinct toxic texts at least, with this share of toxic ones or more, and is as unlikely under the base rate.
 SUPPORT, PRECISION, DEVIATIONS = 4, 0.6, 5.0
+#: How often the given label is 1 in class 1 and in class 0; left free, a large group of voters would take class 1 for itself.
+LABEL_RIGHT, LABEL_WRONG = 0.95, 0.02
 #: A word is left out if a stronger voter occurs in this share of its toxic texts.
 ACCOMPANIED = 0.8
 #: Symbols and limits of the pattern voters: shares of capitals, of "!" and of symbols among all bytes.
@@ -162,12 +164,14 @@ def label_model(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
         n0 = len(post) - n1 + 1e-9
         on1 = (post @ fires + 0.5) / (n1 + 1)
         on0 = ((1 - post) @ fires + 0.5) / (n0 + 1)
+        on1[-1], on0[-1] = LABEL_RIGHT, LABEL_WRONG
         if step >= ROUNDS // 2:
             # What stays correlated once the class is known shares one weight.
             rest = fires - (post[:, None] * on1 + (1 - post)[:, None] * on0)
             scale = np.sqrt((rest * rest).sum(axis=0)) + 1e-9
             corr = np.abs((rest.T @ rest) / np.outer(scale, scale))
             np.fill_diagonal(corr, 0)
+            corr[-1], corr[:, -1] = 0, 0  # the label is no copy of a voter
             weight = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
         log_odds = np.log(n1 / n0) + fires @ (weight * np.log(on1 / on0)) + (1 - fires) @ (weight * np.log((1 - on1) / (1 - on0)))
         post = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
@@ -181,11 +185,12 @@ def linear_classifier(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
     w[-1] = np.log((post.mean() + 1e-3) / (1 - post.mean() + 1e-3))
     ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-6
-    for _ in range(30):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - post) + ridge * w
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(h, g)
+        step /= max(1.0, np.abs(step).max())  # full steps can overshoot
         w -= step
         if np.abs(step).max() < 1e-8:
             break
