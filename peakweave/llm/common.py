@@ -42,18 +42,21 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, small: bool = False) -> np.ndarray:
     """The sum over all tasks of the int64 arrays (of length `size`) that `count` makes from a task's batches.
 
     Arrays travel in slices, are added up slice by slice on the executors, and
-    only the sum, `size` numbers, reaches the driver.
+    only the sum, `size` numbers, reaches the driver.  small: a task's numbers
+    travel as 16 bits, the largest standing for all above.
     """
+    kind = np.uint16 if small else np.int64
     n_slices = max(1, min(32, size // 4096))
     width = -(-size // n_slices)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = count(batches)
         if total.any():
+            total = np.minimum(total, np.iinfo(kind).max).astype(kind)
             parts = [total[i * width : (i + 1) * width] for i in range(n_slices)]
             yield pa.RecordBatch.from_arrays([pa.array(range(n_slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
@@ -61,7 +64,7 @@ def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarr
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, np.int64)
+                x = np.frombuffer(raw, kind).astype(np.int64)
                 sums[i] = sums[i] + x if i in sums else x
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
