@@ -1,8 +1,85 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: toxicity, language, near duplicates, benchmark passages, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs.  All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peakweave.llm import decontamination, jaccard_join, language_id, packing, toxicity
+from peakweave.llm.common import free_name, written
+from peakweave.llm.encoding import tokenizer_path
+from peakweave.session import ship
+
+TOXIC_FROM = 0.3
+#: A predicted language with a lower probability is as good as none.
+LEAST_LANGUAGE_SCORE = 0.1
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose toxicity score is below TOXIC_FROM; null texts stay."""
+    ship(spark)
+    model = toxicity.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = free_name(docs, "toxicity")
+    return toxicity.with_toxicity(docs, model, score=score).where(F.col(score) < TOXIC_FROM).drop(score)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the model knows: not `und`, and not below LEAST_LANGUAGE_SCORE."""
+    ship(spark)
+    model = language_id.language_model(docs)
+    pred, score = free_name(docs, "language"), free_name(docs, "language_score")
+    named = language_id.with_language(docs, model, pred=pred, score=score)
+    return named.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).drop(pred, score)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of documents linked by a Jaccard similarity of 0.8 on 5-word shingles."""
+    ship(spark)
+    groups = written(jaccard_join.jaccard_join(docs, k=5, threshold=80), "groups")
+    losers = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_loser")).distinct()
+    kept = docs.join(losers, docs["doc_id"] == F.col("_loser"), "left_anti")
+    # Rows that repeat an id are one document.
+    repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_loser"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, docs["doc_id"] == F.col("_loser"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, docs["doc_id"] == F.col("_loser"), "left_anti").unionByName(once)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in which no benchmark item occurs."""
+    ship(spark)
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 4096 tokens."""
+    ship(spark)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("packing", pack),
+]
+
+#: Several stages are models; SQL cannot express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
+    return docs
