@@ -75,10 +75,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     if not values:
         return rows.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("window_start"))
     picks = spark.createDataFrame(picks, "template int, license string, n int, sig array<bigint>, t_words array<string>, pick bigint")
-    rows = rows.withColumn("w", _words("text")).select("doc_id", "w", _shingle_hashes(F.col("w")).alias("h"))
+    rows = rows.withColumn("w", _words("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), "w", _shingle_hashes(F.col("w")).alias("h"))
     found = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(values))
     # explode_outer: a filter on the array, which explode brings along, would be pushed down and hash each text for each word.
-    hits = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "w", "h", F.explode_outer(found).alias("hit")).where("hit is not null")
+    hits = rows.select("doc_id", "row", "w", "h", F.explode_outer(found).alias("hit")).where("hit is not null")
     near = hits.join(F.broadcast(picks), F.col("hit.x") == F.col("pick"))
     # Windows of 2 n words begin at multiples of n; a hit lies in two of them.
     at = (F.col("hit.i") / F.col("n")).cast("int")
