@@ -1,4 +1,503 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators, and the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.reads import PRESETS, aligned_positions, crosslink_position, first_deletion_offset, reverse_complement
+from ..operators import coordinates as co
+from ..operators import intervals as iv
+from ..operators import profiles as pr
+from ..operators import statistics as st
+from . import views as v
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+R, E, X, M, C, S, G = f"WITH {v.READS}", v.EXONS, v.MATRIX, v.TX_MAP, v.CDS, v.SITES, v.SEGMENTS
+IN = "p.contig = i.contig AND p.strand = i.strand AND p.pos >= i.start AND p.pos < i.\"end\""
+r6 = lambda c: F.round(c, 6)
+
+
+def introns_sql(keys: str, source: str = "merged") -> str:
+    return f'introns AS (SELECT * FROM (SELECT {keys}, "end" AS start, lead(start) OVER (PARTITION BY {keys} ORDER BY start) AS "end" FROM {source}) WHERE "end" > start)'
+
+
+# Reads and profiles.
+
+
+@query(f"{R} SELECT sample, contig, strand, cigar, xl_pos AS xl, count(*) AS n FROM xl GROUP BY ALL")
+def xl_position(spark, d):
+    x = crosslink_position(F.col("pos"), F.col("aend"), F.col("is_reverse"), F.col("cigar"))
+    return v.reads(spark, d).groupBy("sample", "contig", "strand", "cigar", x.alias("xl")).agg(F.count("*").alias("n"))
+
+
+@query(f"{R} SELECT contig, strand, CASE WHEN contains(cigar, 'D') THEN pos + l // 2 + CASE WHEN l // 2 >= regexp_extract(cigar, '^([0-9]+)M', 1)::bigint THEN 2 ELSE 0 END ELSE pos + l // 2 END AS xl, count(*) AS n FROM (SELECT *, aend - pos - CASE WHEN contains(cigar, 'D') THEN 2 ELSE 0 END AS l FROM reads) GROUP BY ALL")
+def xl_centre(spark, d):
+    at = aligned_positions(F.col("pos"), F.col("cigar"))
+    return v.reads(spark, d).groupBy("contig", "strand", F.get(at, F.floor(F.size(at) / 2).cast("int")).alias("xl")).agg(F.count("*").alias("n"))
+
+
+@query(f"{R} SELECT contig, strand, CASE WHEN is_reverse THEN pos ELSE aend - 1 END AS xl, count(*) AS n FROM reads GROUP BY ALL")
+def xl_mnetseq(spark, d):
+    x = crosslink_position(F.col("pos"), F.col("aend"), F.col("is_reverse"), F.col("cigar"), PRESETS["mNETseq-read1"])
+    return v.reads(spark, d).groupBy("contig", "strand", x.alias("xl")).agg(F.count("*").alias("n"))
+
+
+@query(f"{R} SELECT cigar, regexp_extract(cigar, '^([0-9]+)M', 1)::bigint AS k, count(*) AS n FROM reads WHERE contains(cigar, 'D') GROUP BY ALL")
+def first_deletion(spark, d):
+    return v.reads(spark, d).groupBy("cigar", first_deletion_offset(F.col("cigar")).alias("k")).agg(F.count("*").alias("n")).where("k is not null")
+
+
+@query(f"{R} SELECT * FROM profile")
+def strand_depth(spark, d):
+    return v.profile(spark, d)
+
+
+@query(f"{R} SELECT contig, pos, sum(n)::bigint AS n FROM profile GROUP BY ALL")
+def unstranded_depth(spark, d):
+    return v.profile(spark, d).groupBy("contig", "pos").agg(F.sum("n").alias("n"))
+
+
+@query(f"{R} SELECT * FROM pooled")
+def union_replicates(spark, d):
+    return v.pooled(spark, d)
+
+
+@query(f"{R} SELECT contig, strand, pos, n FROM pooled WHERE contig = 'c3' AND strand = '+' AND pos >= 500 AND pos < 900")
+def range_clip(spark, d):
+    return v.pooled(spark, d).where("contig = 'c3' and strand = '+' and pos >= 500 and pos < 900")
+
+
+@query(f"{R} SELECT contig, strand, pos, round(n * 1e6 / (SELECT count(*) FROM reads), 6) AS cpm FROM pooled")
+def cpm(spark, d):
+    total = v.reads(spark, d).agg(F.count("*").alias("t"))
+    return v.pooled(spark, d).crossJoin(F.broadcast(total)).select("contig", "strand", "pos", r6(F.col("n") * 1e6 / F.col("t")).alias("cpm"))
+
+
+@query(f"{R} SELECT sample, contig, strand, pos, pos + 1 AS \"end\", CASE WHEN strand = '-' THEN -n ELSE n END AS value FROM profile WHERE pos > 0 AND pos < 2499")
+def bedgraph(spark, d):
+    return v.profile(spark, d).where("pos > 0 and pos < 2499").select("sample", "contig", "strand", "pos", (F.col("pos") + 1).alias("end"), F.expr("if(strand = '-', -n, n)").alias("value"))
+
+
+@query(f"{R} SELECT split_part(qname, '_', 2) AS umi, count(*) AS n FROM reads GROUP BY ALL")
+def umi_hist(spark, d):
+    return v.reads(spark, d).groupBy(F.element_at(F.split("qname", "_"), -1).alias("umi")).agg(F.count("*").alias("n"))
+
+
+@query(f"{R} SELECT contig, strand, pos, count(DISTINCT split_part(qname, '_', 2)) AS n FROM reads GROUP BY ALL")
+def dedup_umi(spark, d):
+    unique = v.reads(spark, d).select("contig", "strand", "pos", F.element_at(F.split("qname", "_"), -1).alias("umi")).dropDuplicates()
+    return unique.groupBy("contig", "strand", "pos").agg(F.count("*").alias("n"))
+
+
+@query(f"{R} SELECT sample, count(*) AS mapped, count(*) FILTER (is_reverse) AS reverse, count(*) FILTER (contains(cigar, 'N')) AS spliced, count(*) FILTER (contains(cigar, 'D')) AS deleted FROM reads GROUP BY sample")
+def alignment_stats(spark, d):
+    flag = lambda c, name: F.count_if(c).alias(name)
+    return v.reads(spark, d).groupBy("sample").agg(F.count("*").alias("mapped"), flag(F.col("is_reverse"), "reverse"), flag(F.col("cigar").contains("N"), "spliced"), flag(F.col("cigar").contains("D"), "deleted"))
+
+
+@query(f"{R} SELECT sample, aend - pos AS length, count(*) AS n FROM reads GROUP BY ALL")
+def fragment_lengths(spark, d):
+    return v.reads(spark, d).groupBy("sample", (F.col("aend") - F.col("pos")).alias("length")).agg(F.count("*").alias("n"))
+
+
+@query(f"{R} SELECT contig, strand, pos // 50 AS bin, sum(n)::bigint AS n FROM pooled WHERE pos >= 0 GROUP BY ALL")
+def binned_counts(spark, d):
+    return v.pooled(spark, d).where("pos >= 0").groupBy("contig", "strand", F.floor(F.col("pos") / 50).alias("bin")).agg(F.sum("n").alias("n"))
+
+
+# Intervals.
+
+
+@query(f"""{R}, {E}, {v.merged("gene_id, contig, strand")}, {introns_sql("gene_id, contig, strand")}, k AS (SELECT *, 'exon' AS kind FROM merged UNION ALL SELECT *, 'intron' FROM introns),
+h AS (SELECT i.gene_id, sum(n) FILTER (kind = 'exon') AS a, sum(n) FILTER (kind = 'intron') AS b FROM pooled p JOIN k i ON {IN} GROUP BY i.gene_id)
+SELECT g.gene_id, coalesce(a, 0)::bigint AS exon_count, coalesce(b, 0)::bigint AS intron_count FROM (SELECT DISTINCT gene_id FROM exons) g LEFT JOIN h USING (gene_id)""")
+def count_features(spark, d):
+    return pr.count_features(v.pooled(spark, d), v.exons(spark, d))
+
+
+@query(f"{R}, {E} SELECT transcript_id * 8 + e AS id, sum(n)::bigint AS total, count(*) AS bases FROM pooled p JOIN exons i ON {IN} GROUP BY ALL")
+def count_intervals(spark, d):
+    return pr.count_intervals(v.pooled(spark, d), v.exons(spark, d).withColumn("id", F.col("transcript_id") * 8 + F.col("e")))
+
+
+@query(f"WITH {E}, {v.merged('gene_id, contig, strand', gap=8)} SELECT * FROM merged")
+def merge_intervals(spark, d):
+    return iv.merge(v.exons(spark, d), ("gene_id", "contig", "strand"), 8)
+
+
+@query(f"WITH {E}, {v.merged('gene_id, contig, strand')}, {introns_sql('gene_id, contig, strand')} SELECT * FROM introns")
+def introns(spark, d):
+    return iv.gaps(v.exons(spark, d), ("gene_id", "contig", "strand"))
+
+
+SUBTRACT = f"""sub AS (SELECT DISTINCT {v.TX_KEYS}, p FROM (SELECT *, unnest(range(start, "end")) AS p FROM exons)
+  EXCEPT SELECT {v.TX_KEYS}, unnest(range(start, "end")) FROM cds),
+rest AS (SELECT {v.TX_KEYS}, min(p) AS start, max(p) + 1 AS "end" FROM (SELECT *, p - row_number() OVER (PARTITION BY {v.TX_KEYS} ORDER BY p) AS i FROM sub) GROUP BY {v.TX_KEYS}, i)"""
+
+
+@query(f"WITH {E}, {C}, {SUBTRACT} SELECT * FROM rest")
+def truncate_intervals(spark, d):
+    return iv.subtract(v.exons(spark, d), v.cds(spark, d), co.TX)
+
+
+CLUSTERS = v.merged("contig, strand", '(SELECT contig, strand, pos AS start, pos + 1 AS "end", n FROM pooled WHERE n >= 3)', "clusters", 5, ", max(n) AS score, count(*) AS bases")
+
+
+@query(f"{R}, {CLUSTERS} SELECT * FROM clusters")
+def cluster_merge(spark, d):
+    return iv.clusters(v.pooled(spark, d).where("n >= 3"), 5)
+
+
+@query(f"""{R}, {v.merged("sample, contig, strand", '(SELECT sample, contig, strand, pos AS start, pos + 1 AS "end" FROM profile WHERE n >= 2)', "own", 5)},
+{v.merged("contig, strand", "own", "joined", 0, ", count(DISTINCT sample) AS samples")} SELECT * FROM joined WHERE samples >= 2""")
+def reproducible_clusters(spark, d):
+    own = iv.clusters(v.profile(spark, d).where("n >= 2"), 5, ("sample", "contig", "strand"))
+    return iv.reproducible(own.select("sample", "contig", "strand", "start", "end"), 2)
+
+
+@query(f"""{R}, {CLUSTERS}, {S} SELECT * FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM sites s WHERE s.contig = c.contig AND c.start < s.pos + 40 AND s.pos - 40 < c."end")""")
+def remove_control(spark, d):
+    control = v.sites(spark, d).select("contig", (F.col("pos") - 40).alias("start"), (F.col("pos") + 40).alias("end"))
+    return iv.join_overlaps(iv.clusters(v.pooled(spark, d).where("n >= 3"), 5), control, ("contig",), "left_anti")
+
+
+@query(f"""{R}, {E}, {v.merged("contig, strand")}, {introns_sql("contig, strand")}, c AS (SELECT *, 'exon' AS name FROM merged UNION ALL SELECT *, 'intron' FROM introns)
+SELECT name, count(*) AS n FROM reads r JOIN c ON r.contig = c.contig AND r.strand = c.strand AND r.pos < c."end" AND c.start < r.aend WHERE least(r.aend, c."end") - greatest(r.pos, c.start) >= 0.5 * (r.aend - r.pos) GROUP BY name""")
+def context_stats(spark, d):
+    keys = ("contig", "strand")
+    context = iv.merge(v.exons(spark, d), keys).withColumn("name", F.lit("exon")).unionByName(iv.gaps(v.exons(spark, d), keys).withColumn("name", F.lit("intron")))
+    found = iv.join_overlaps(v.reads(spark, d).withColumnsRenamed({"pos": "start", "aend": "end"}), context, keys)
+    return found.where("least(`end`, b_end) - greatest(start, b_start) >= 0.5 * (`end` - start)").groupBy(F.col("b_name").alias("name")).agg(F.count("*").alias("n"))
+
+
+# Coordinates and regions.
+
+
+@query(f"WITH {E}, {M} SELECT * FROM tx_map")
+def tx_map(spark, d):
+    return co.transcript_map(v.exons(spark, d))
+
+
+POINTS = "points AS (SELECT transcript_id, start + (e * 7) % 20 AS pos FROM exons)"
+T_OF_G = "CASE WHEN strand = '-' THEN t_start + g_end - 1 - pos ELSE t_start + pos - g_start END"
+
+
+def _points(spark, d):
+    return v.exons(spark, d).select("transcript_id", (F.col("start") + (F.col("e") * 7) % 20).alias("pos"))
+
+
+@query(f"WITH {E}, {M}, {POINTS} SELECT transcript_id, pos, {T_OF_G} AS t_pos FROM points JOIN tx_map USING (transcript_id) WHERE pos >= g_start AND pos < g_end")
+def genome2tx(spark, d):
+    return co.genome_to_transcript(_points(spark, d), co.transcript_map(v.exons(spark, d))).select("transcript_id", "pos", "t_pos")
+
+
+@query(f"WITH {E}, {M} SELECT transcript_id, t AS t_pos, CASE WHEN strand = '-' THEN g_end - 1 - (t - t_start) ELSE g_start + t - t_start END AS pos FROM tx_map, range(0, 200, 13) r(t) WHERE t >= t_start AND t < t_end")
+def tx2genome(spark, d):
+    at = v.exons(spark, d).select("transcript_id").distinct().withColumn("t_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"), F.lit(13).cast("long"))))
+    return co.transcript_to_genome(at, co.transcript_map(v.exons(spark, d))).select("transcript_id", "t_pos", "pos")
+
+
+@query(f"""WITH {E}, {M} SELECT transcript_id, min(g) AS start, max(g) + 1 AS "end" FROM (SELECT transcript_id, exon_idx, CASE WHEN strand = '-' THEN g_end - 1 - (t - t_start) ELSE g_start + t - t_start END AS g FROM tx_map, range(10, 60) r(t) WHERE t >= t_start AND t < t_end) GROUP BY transcript_id, exon_idx""")
+def tx_interval2genome(spark, d):
+    at = v.exons(spark, d).select("transcript_id", F.lit(10).cast("long").alias("ts"), F.lit(60).cast("long").alias("te")).distinct()
+    return co.transcript_interval_to_genome(at, co.transcript_map(v.exons(spark, d))).select("transcript_id", "start", "end")
+
+
+@query(f"""WITH {E}, {M}, a AS (SELECT e1.transcript_id, e1.start + 3 AS start, e1."end" - 2 AS "end" FROM exons e1),
+t AS (SELECT a.transcript_id, a.start, a."end", pos, {T_OF_G} AS t_pos FROM (SELECT *, unnest([start, "end" - 1]) AS pos FROM a) a JOIN tx_map m ON a.transcript_id = m.transcript_id AND pos >= g_start AND pos < g_end)
+SELECT transcript_id, start, "end", min(t_pos) AS ts, max(t_pos) + 1 AS te FROM t GROUP BY ALL HAVING count(*) >= 2""")
+def genome_interval2tx(spark, d):
+    a = v.exons(spark, d).select("transcript_id", (F.col("start") + 3).alias("start"), (F.col("end") - 2).alias("end"))
+    return co.genome_interval_to_transcript(a, co.transcript_map(v.exons(spark, d)))
+
+
+def _region(name: str, sql: str) -> None:
+    def run(spark, d):
+        return co.region(v.exons(spark, d), name, v.cds(spark, d))
+
+    run.__name__ = f"regions_{name}"
+    query(f"WITH {E}, {C}, {SUBTRACT}, spans AS (SELECT {v.TX_KEYS}, min(start) AS s, max(\"end\") AS e FROM exons GROUP BY ALL), lim AS (SELECT transcript_id, min(start) AS c0, max(\"end\") AS c1 FROM cds GROUP BY ALL), num AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY CASE WHEN strand = '-' THEN -start ELSE start END) AS i, count(*) OVER (PARTITION BY transcript_id) AS c FROM exons), {v.merged(v.TX_KEYS)}, {introns_sql(v.TX_KEYS)} {sql}")(run)
+
+
+def _at(a: str, b: str, c: str, e: str) -> str:
+    return f"SELECT {v.TX_KEYS}, CASE WHEN strand = '-' THEN {c} ELSE {a} END AS start, CASE WHEN strand = '-' THEN {e} ELSE {b} END AS \"end\" FROM spans"
+
+
+_region("5flank", _at("s - 500", "s", "e", "e + 500"))
+_region("3flank", _at("e", "e + 500", "s - 500", "s"))
+_region("tss", _at("s - 500", "s + 500", "e - 500", "e + 500"))
+_region("tts", _at("e - 500", "e + 500", "s - 500", "s + 500"))
+_region("primary", _at("s", "e", "s", "e"))
+_region("exons", f'SELECT {v.TX_KEYS}, start, "end" FROM exons')
+_region("CDS", f'SELECT {v.TX_KEYS}, start, "end" FROM cds')
+_region("introns", "SELECT * FROM introns")
+_region("first_exon", f'SELECT {v.TX_KEYS}, start, "end" FROM num WHERE c >= 3 AND i = 1')
+_region("last_exon", f'SELECT {v.TX_KEYS}, start, "end" FROM num WHERE c >= 3 AND i = c')
+_region("middle_exons", f'SELECT {v.TX_KEYS}, start, "end" FROM num WHERE c >= 3 AND i > 1 AND i < c')
+_region("5UTR", "SELECT rest.* FROM rest JOIN lim USING (transcript_id) WHERE CASE WHEN strand = '-' THEN start >= c1 ELSE \"end\" <= c0 END")
+_region("3UTR", "SELECT rest.* FROM rest JOIN lim USING (transcript_id) WHERE CASE WHEN strand = '-' THEN \"end\" <= c0 ELSE start >= c1 END")
+
+
+@query(f'WITH {E}, {M} SELECT transcript_id, max(tx_len) AS tx_len, count(*) AS exons, max(tx_len) FILTER (exon_idx = 0) AS total, max(g_end - g_start) FILTER (exon_idx = 0) AS first_exon FROM tx_map GROUP BY transcript_id')
+def transcript_lengths(spark, d):
+    first = F.col("exon_idx") == 0
+    return co.transcript_map(v.exons(spark, d)).groupBy("transcript_id").agg(F.max("tx_len").alias("tx_len"), F.count("*").alias("exons"), F.max(F.when(first, F.col("tx_len"))).alias("total"), F.max(F.when(first, F.col("g_end") - F.col("g_start"))).alias("first_exon"))
+
+
+# Metagenes and matrices.
+
+COUNTED = f"""pieces AS (SELECT {v.TX_KEYS}, 'exons' AS region, g_start AS start, g_end AS "end", t_start FROM tx_map
+  UNION ALL SELECT {v.TX_KEYS}, CASE WHEN strand = '-' THEN 'flank3' ELSE 'flank5' END, min(g_start) - 100, min(g_start), 0 FROM tx_map GROUP BY {v.TX_KEYS}
+  UNION ALL SELECT {v.TX_KEYS}, CASE WHEN strand = '-' THEN 'flank5' ELSE 'flank3' END, max(g_end), max(g_end) + 100, 0 FROM tx_map GROUP BY {v.TX_KEYS}),
+counted AS (SELECT i.transcript_id, region, CASE WHEN i.strand = '-' THEN t_start + i."end" - 1 - pos ELSE t_start + pos - i.start END AS base, sum(n)::bigint AS n FROM pooled p JOIN pieces i ON {IN} GROUP BY ALL),
+lens AS (SELECT DISTINCT transcript_id, tx_len FROM tx_map)"""
+
+
+@query(f"{R}, {E}, {M}, {COUNTED} SELECT * FROM counted")
+def count_transcript(spark, d):
+    return pr.count_transcript(v.pooled(spark, d), v.exons(spark, d), 100)
+
+
+BINNED = f"""{COUNTED}, binned AS (SELECT transcript_id, region, greatest((base * nb + len - 1) // len - 1, 0)::int AS bin, sum(n)::bigint AS n FROM (SELECT c.*, CASE WHEN region = 'exons' THEN 100 ELSE 10 END AS nb, CASE WHEN region = 'exons' THEN tx_len ELSE 100 END AS len FROM counted c JOIN lens USING (transcript_id)) GROUP BY ALL)"""
+
+
+@query(f"{R}, {E}, {M}, {BINNED} SELECT region, bin, round(sum(n / t), 6) AS density FROM (SELECT *, sum(n) OVER (PARTITION BY transcript_id) AS t FROM binned) GROUP BY ALL")
+def meta_gene(spark, d):
+    return pr.meta_gene(v.pooled(spark, d), v.exons(spark, d)).withColumn("density", r6("density"))
+
+
+@query(f"{R}, {E}, {M}, {BINNED} SELECT region, bin, sum(n)::double AS density FROM binned GROUP BY ALL")
+def meta_gene_counts(spark, d):
+    return pr.meta_gene(v.pooled(spark, d), v.exons(spark, d), row_norm=False)
+
+
+DENSE = f"""{COUNTED}, found AS (SELECT transcript_id, (floor(x / 25.0) * 25)::int AS bin, sum(n) AS n FROM (SELECT c.*, CASE region WHEN 'flank5' THEN base - 100 WHEN 'flank3' THEN base + tx_len ELSE base END AS x FROM counted c JOIN lens USING (transcript_id)) WHERE floor(x / 25.0) * 25 >= -100 AND floor(x / 25.0) * 25 < 300 GROUP BY ALL),
+dense AS (SELECT r.transcript_id AS row_id, b::int AS bin, coalesce(n, 0)::double AS value FROM (SELECT DISTINCT transcript_id FROM found) r CROSS JOIN range(-100, 300, 25) t(b) LEFT JOIN found f ON f.transcript_id = r.transcript_id AND f.bin = b)"""
+
+
+@query(f"{R}, {E}, {M}, {DENSE} SELECT * FROM dense")
+def binding_matrix(spark, d):
+    return pr.binding_matrix(v.pooled(spark, d), v.exons(spark, d))
+
+
+@query(f"WITH {X} SELECT row_id, bin, round(value / greatest((SELECT min(value) FROM matrix WHERE value > 0), quantile_cont(value, 0.99) OVER (PARTITION BY row_id)), 6) AS value FROM matrix")
+def quantile_row_norm(spark, d):
+    return pr.quantile_row_norm(v.matrix(spark, d)).withColumn("value", r6("value"))
+
+
+@query(f"WITH {X} SELECT row_id, bin, round(value / nullif(sum(value) OVER (PARTITION BY row_id), 0), 6) AS value FROM matrix")
+def sum_row_norm(spark, d):
+    return pr.sum_row_norm(v.matrix(spark, d)).withColumn("value", r6("value"))
+
+
+@query(f"WITH {X} SELECT row_id, greatest(ceil(bin * 10 / 63.0) - 1, 0)::int AS \"group\", round(avg(value), 6) AS value FROM matrix GROUP BY ALL")
+def compress_matrix(spark, d):
+    return pr.compress_columns(v.matrix(spark, d), 10).withColumn("value", r6("value"))
+
+
+@query(f"WITH {X} SELECT a.row_id, a.bin, round(a.value / CASE WHEN b.value = 0 THEN (SELECT min(value) FROM matrix WHERE value > 0) ELSE b.value END, 6) AS value FROM matrix a JOIN matrix b ON a.row_id = b.row_id AND b.bin = 63 - a.bin")
+def norm_by_matrix(spark, d):
+    m = v.matrix(spark, d)
+    return pr.norm_by_matrix(m, m.withColumn("bin", 63 - F.col("bin"))).withColumn("value", r6("value"))
+
+
+@query(f"WITH {X}, k AS (SELECT row_id, sum(value) AS s FROM matrix GROUP BY row_id) SELECT row_id, row_number() OVER (ORDER BY round(s, 6) DESC, row_id) AS place FROM k")
+def sorted_matrix(spark, d):
+    return v.matrix(spark, d).groupBy("row_id").agg(r6(F.sum("value")).alias("s")).select("row_id", F.row_number().over(Window.orderBy(F.desc("s"), "row_id")).cast("long").alias("place"))
+
+
+@query(f"""{R}, {S}, w AS (SELECT CASE WHEN s.strand = '-' THEN p.pos < s.pos ELSE p.pos >= s.pos END AS d, n FROM pooled p JOIN sites s ON p.contig = s.contig AND p.strand = s.strand AND p.pos >= s.pos - 50 AND p.pos < s.pos + 50),
+t AS (SELECT coalesce(sum(n) FILTER (d), 0) AS a, coalesce(sum(n) FILTER (NOT d), 0) AS b FROM w) SELECT round(log2(a / greatest(1, b - a)), 6) AS processing_index FROM t""")
+def processing_index(spark, d):
+    return pr.processing_index(v.pooled(spark, d), v.sites(spark, d)).withColumn("processing_index", r6("processing_index"))
+
+
+@query(f"""{R}, {E}, {M}, j AS (SELECT transcript_id, t_end AS j FROM tx_map WHERE t_end < tx_len), t AS (SELECT i.transcript_id, {T_OF_G.replace("strand", "i.strand")} AS t, n FROM pooled p JOIN tx_map i ON p.contig = i.contig AND p.strand = i.strand AND pos >= g_start AND pos < g_end),
+w AS (SELECT transcript_id, j, t - j + 20 AS base, sum(n) AS n FROM t JOIN j USING (transcript_id) WHERE t >= j - 20 AND t <= j + 10 GROUP BY ALL)
+SELECT base, round(sum(n / s), 6) AS density FROM (SELECT *, sum(n) OVER (PARTITION BY transcript_id, j) AS s FROM w) GROUP BY base""")
+def junction_meta(spark, d):
+    return pr.junction_meta(v.pooled(spark, d), v.exons(spark, d)).withColumn("density", r6("density"))
+
+
+@query(f"""{R}, o AS (SELECT *, count(*) OVER (PARTITION BY contig, strand, pos) - 1 AS others FROM profile), l AS (SELECT sample, others, unnest(range(1, n + 1)) AS level FROM o)
+SELECT sample, f::int AS fold, level, count(*) FILTER (others >= f) AS hits, count(*) AS totals FROM l, (VALUES (1), (2)) t(f) GROUP BY ALL""")
+def reproducibility(spark, d):
+    return pr.reproducibility(v.profile(spark, d))
+
+
+@query(f"""{R} SELECT a.sample AS a, b.sample AS b, count(*) AS totals, count(c.pos) AS hits FROM profile a JOIN (SELECT DISTINCT sample FROM profile) b ON a.sample <> b.sample LEFT JOIN profile c ON c.sample = b.sample AND c.contig = a.contig AND c.strand = a.strand AND c.pos = a.pos GROUP BY ALL""")
+def pairwise_reproducibility(spark, d):
+    p = v.profile(spark, d)
+    others = F.broadcast(p.select(F.col("sample").alias("b")).distinct())  # one row for each sample
+    pairs = p.select(F.col("sample").alias("a"), "contig", "strand", "pos").join(others, F.col("a") != F.col("b"))
+    return pairs.join(p.select(F.col("sample").alias("b"), "contig", "strand", "pos", F.lit(1).alias("hit")), ["b", "contig", "strand", "pos"], "left").groupBy("a", "b").agg(F.count("*").alias("totals"), F.count("hit").alias("hits"))
+
+
+@query(f"""{R} SELECT f::int AS fold, round(avg(CASE WHEN b.pos IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share FROM profile a JOIN (VALUES (1), (2), (3)) t(f) ON a.n >= f LEFT JOIN profile b ON b.sample = 'R' AND a.contig = b.contig AND a.strand = b.strand AND a.pos = b.pos WHERE a.sample = 'A' GROUP BY f""")
+def fold_reproducibility(spark, d):
+    p = v.profile(spark, d)
+    other = p.where("sample = 'R'").select("contig", "strand", "pos", F.lit(1.0).alias("hit"))
+    hit = p.where("sample = 'A'").join(other, ["contig", "strand", "pos"], "left").select(F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.col("n").cast("int")))).alias("fold"), F.coalesce("hit", F.lit(0.0)).alias("hit"))
+    return hit.groupBy("fold").agg(r6(F.avg("hit")).alias("share"))
+
+
+# Smoothing.
+
+
+@query(f"{R} SELECT contig, strand, q AS pos, sum(n)::bigint AS n FROM (SELECT *, unnest(range(pos - 3, pos + 4)) AS q FROM pooled) GROUP BY ALL")
+def spread(spark, d):
+    return pr.spread(v.pooled(spark, d), 3, 3)
+
+
+@query(f"{R} SELECT contig, strand, q AS pos, sum(n)::bigint AS n FROM (SELECT *, unnest(range(pos - 2, pos + 6)) AS q FROM pooled) GROUP BY ALL")
+def spread_asym(spark, d):
+    return pr.spread(v.pooled(spark, d), 2, 5)
+
+
+@query(f"{R} SELECT contig, strand, pos, n, (sum(n) OVER (PARTITION BY contig, strand ORDER BY pos RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING) - n)::bigint AS window_sum FROM pooled")
+def cluster_window_sum(spark, d):
+    return pr.window_sums(v.pooled(spark, d), 15, own=False, bin_width=512)
+
+
+HEIGHTS = "SELECT {k}, h AS height, round(sum(c) OVER (PARTITION BY {k} ORDER BY h DESC ROWS UNBOUNDED PRECEDING) / sum(c) OVER (PARTITION BY {k}), 6) AS p FROM (SELECT {k}, h, count(*) AS c FROM (SELECT {k}, q, sum(n)::bigint AS h FROM (SELECT *, unnest(range(pos - {b}, pos + {b} + 1)) AS q FROM {t}) GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(f"{R} {HEIGHTS.format(k='contig, strand', b=5, t='pooled')}")
+def height_distribution(spark, d):
+    return pr.height_distribution(v.pooled(spark, d), 5).withColumn("p", r6("p"))
+
+
+# Randomisation and statistics.
+
+HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
+INSIDE = f"inside AS (SELECT i.segment_id, i.start, i.\"end\", p.contig, p.strand, p.pos, p.n FROM pooled p JOIN segments i ON {IN})"
+DRAWN = f"""drawn AS (SELECT segment_id, rand_id, contig, strand, start + {HASH.format("'42|' || rand_id || '|' || segment_id || '|' || pos || '|' || tag")} % ("end" - start) AS pos, count(*) AS n
+  FROM (SELECT *, unnest(range(1, n + 1)) AS tag FROM inside), range(0, {{n}}) t(rand_id) GROUP BY ALL)"""
+
+
+@query(f"{R}, {E}, {G}, {INSIDE}, {DRAWN.format(n=5)} SELECT * REPLACE (rand_id::int AS rand_id) FROM drawn")
+def randomise_tags(spark, d):
+    return st.randomise_tags(v.pooled(spark, d), v.segments(spark, d), 5)
+
+
+@query(f"""{R}, {E}, {G}, {INSIDE}, k AS (SELECT segment_id, count(*) AS k FROM inside GROUP BY 1),
+places AS (SELECT segment_id, rand_id, pos, k, row_number() OVER (PARTITION BY segment_id, rand_id ORDER BY {HASH.format("'42|' || rand_id || '|' || segment_id || '|' || pos")}, pos) AS i FROM (SELECT segment_id, k, rand_id, unnest(range(start, "end")) AS pos FROM segments JOIN k USING (segment_id), range(0, 3) t(rand_id))),
+s AS (SELECT segment_id, n, row_number() OVER (PARTITION BY segment_id ORDER BY pos) AS i FROM inside)
+SELECT p.segment_id, p.rand_id::int AS rand_id, p.pos, s.n FROM places p JOIN s ON p.segment_id = s.segment_id AND p.i = s.i""")
+def randomise_sites(spark, d):
+    return st.randomise_sites(v.pooled(spark, d), v.segments(spark, d), 3)
+
+
+@query(f"""{R}, {E}, {G}, {INSIDE}, {DRAWN.format(n=10)}, o AS ({HEIGHTS.format(k='segment_id', b=5, t='inside').replace('round(', '(').replace(', 6)', ')')}), z AS ({HEIGHTS.format(k='segment_id, rand_id', b=5, t='drawn').replace('round(', '(').replace(', 6)', ')')}),
+q AS (SELECT o.segment_id, o.height, o.p, r.rand_id, coalesce(max(z.p), 0) AS q FROM o CROSS JOIN range(0, 10) r(rand_id) LEFT JOIN z ON z.segment_id = o.segment_id AND z.rand_id = r.rand_id AND z.height >= o.height GROUP BY ALL),
+f AS (SELECT segment_id, height, (avg(q) + stddev_samp(q)) / p AS fdr FROM q GROUP BY segment_id, height, p),
+h AS (SELECT segment_id, pos, n, (sum(n) OVER (PARTITION BY segment_id ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))::bigint AS height FROM inside)
+SELECT h.segment_id, h.pos, h.n, h.height, round(f.fdr, 6) AS fdr FROM h JOIN f USING (segment_id, height)""")
+def crosslink_fdr(spark, d):
+    return st.crosslink_fdr(v.pooled(spark, d), v.segments(spark, d), 10, 5).withColumn("fdr", r6("fdr"))
+
+
+@query()
+def significant_bases(spark, d):
+    found = st.crosslink_fdr(v.pooled(spark, d), v.segments(spark, d), 20, 15).join(v.segments(spark, d).select("segment_id", "contig", "strand"), "segment_id")
+    return st.significant_bases(found, 0.5)
+
+
+@query()
+def binomial_pvalues(spark, d):
+    return st.binomial_pvalues(v.pooled(spark, d), v.segments(spark, d)).withColumn("p", r6("p"))
+
+
+@query()
+def significance_windows(spark, d):
+    return st.significance_windows(st.binomial_pvalues(v.pooled(spark, d), v.segments(spark, d)), 15).withColumn("p", r6("p"))
+
+
+@query(f"{R} SELECT contig, strand, pos, round(p, 6) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC)), 6) AS q FROM (SELECT contig, strand, pos, p, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS r FROM (SELECT *, 1.0 / (1 + n * n + pos % 7) AS p FROM pooled WHERE pos >= 0))")
+def bh_fdr(spark, d):
+    p = v.pooled(spark, d).where("pos >= 0").select("contig", "strand", "pos", (1.0 / (1 + F.col("n") * F.col("n") + F.col("pos") % 7)).alias("p"))
+    return st.bh_fdr(p).select("contig", "strand", "pos", r6("p").alias("p"), r6("q").alias("q"))
+
+
+@query("""WITH t AS (SELECT s_suppkey, s_nationkey AS test, s_suppkey % 17 AS control, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier), c AS (SELECT count(*) AS c FROM t),
+b AS (SELECT r, sum(test) / sum(control) AS x FROM (SELECT r, ('0x' || substr(md5('7|' || r || '|' || i), 1, 8))::bigint % c AS idx FROM c, range(0, 200) a(r), range(0, (SELECT count(*) FROM t)) k(i)) JOIN t USING (idx) GROUP BY r)
+SELECT round((SELECT sum(test) / sum(control) FROM t), 6) AS ratio, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM b""")
+def bootstrap_ratio_ci(spark, d):
+    s = v.table(spark, d, "supplier").select(F.col("s_nationkey").alias("test"), (F.col("s_suppkey") % 17).alias("control"), (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("idx"))
+    return st.bootstrap_ratio(s, 200).select(r6("ratio").alias("ratio"), r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+TWO = f"{R}, {E}, {G}, two AS (SELECT i.segment_id, p.sample, p.pos, p.n FROM profile p JOIN segments i ON {IN}), a AS (SELECT * FROM two WHERE sample = 'A'), b AS (SELECT * FROM two WHERE sample = 'R')"
+
+
+def _two(spark, d):
+    p = iv.join_points(v.profile(spark, d), v.segments(spark, d)).select("segment_id", "sample", "pos", "n")
+    return (p.where(F.col("sample") == s).drop("sample") for s in ("A", "R"))
+
+
+@query(f"{TWO} SELECT segment_id, round(sum(a.n * b.n * abs(a.pos - b.pos)) / sum(a.n * b.n), 6) AS distance FROM a JOIN b USING (segment_id) GROUP BY 1")
+def avg_distance(spark, d):
+    return st.average_distance(*_two(spark, d), "segment_id").withColumn("distance", r6("distance"))
+
+
+@query(f"{TWO} SELECT segment_id, round(avg(m), 6) AS distance FROM (SELECT a.segment_id, a.pos, min(abs(a.pos - b.pos)) AS m FROM a JOIN b USING (segment_id) GROUP BY ALL) GROUP BY 1")
+def min_distance(spark, d):
+    return st.min_distance(*_two(spark, d), "segment_id").withColumn("distance", r6("distance"))
+
+
+@query(f"""{TWO}, g AS (SELECT segment_id, p FROM (SELECT DISTINCT segment_id FROM a INTERSECT SELECT DISTINCT segment_id FROM b), range(0, 600) t(p)),
+x AS (SELECT segment_id, q AS p, sum(n) AS x FROM (SELECT *, unnest(range(pos - 10, pos + 11)) AS q FROM a) GROUP BY ALL), y AS (SELECT segment_id, q AS p, sum(n) AS y FROM (SELECT *, unnest(range(pos - 10, pos + 11)) AS q FROM b) GROUP BY ALL),
+f AS (SELECT segment_id, p, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM g LEFT JOIN x USING (segment_id, p) LEFT JOIN y USING (segment_id, p)),
+k AS (SELECT *, rank() OVER (PARTITION BY segment_id ORDER BY x) + (count(*) OVER (PARTITION BY segment_id, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY segment_id ORDER BY y) + (count(*) OVER (PARTITION BY segment_id, y) - 1) / 2 AS ry FROM f)
+SELECT segment_id, round(rho, 6) AS rho FROM (SELECT segment_id, corr(rx, ry) AS rho, var_samp(rx) AS vx, var_samp(ry) AS vy FROM k GROUP BY 1) WHERE vx > 0 AND vy > 0""")
+def corr_profile(spark, d):
+    return st.profile_correlation(*_two(spark, d), "segment_id", 10, 600).where("rho is not null and not isnan(rho)").withColumn("rho", r6("rho"))
+
+
+# Sequences.
+
+
+@query(f"WITH {v.SEQUENCES} SELECT kmer, count(*) AS n, min(start) AS first FROM (SELECT substr(seq, s + 1, 5) AS kmer, s::int AS start FROM (SELECT seq, unnest(range(0, length(seq) - 4)) AS s FROM sequences)) GROUP BY kmer")
+def kmer_matches(spark, d):
+    return st.kmer_matches(v.sequences(spark, d), 5).groupBy("kmer").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+
+
+KMERS = "m AS (SELECT seq_id, substr(seq, s + 1, 4) AS kmer, s AS start FROM (SELECT *, unnest(range(0, length(seq) - 3)) AS s FROM sequences))"
+
+
+@query(f"WITH {v.SEQ_PROFILE}, {KMERS}, w AS (SELECT seq_id, q AS start, sum(n) AS n FROM (SELECT *, unnest(range(pos - 5, pos + 6)) AS q FROM seq_profile) GROUP BY ALL) SELECT kmer, sum(n)::bigint AS freq FROM m JOIN w USING (seq_id, start) GROUP BY kmer")
+def kmer_frequency(spark, d):
+    return st.kmer_frequency(st.kmer_matches(v.sequences(spark, d), 4), v.seq_profile(spark, d), 5)
+
+
+@query(f"""WITH {v.SEQ_PROFILE}, {KMERS}, w AS (SELECT seq_id, q AS start, sum(n) AS n FROM (SELECT *, unnest(range(pos - 5, pos + 6)) AS q FROM seq_profile) GROUP BY ALL), o AS (SELECT kmer, sum(n) AS f FROM m JOIN w USING (seq_id, start) GROUP BY kmer),
+t AS (SELECT seq_id, length(seq) AS l, pos, r, unnest(range(1, n + 1)) AS tag FROM seq_profile JOIN sequences USING (seq_id), range(0, 10) x(r)),
+dr AS (SELECT seq_id, r, {HASH.format("'42|' || r || '|' || seq_id || '|' || pos || '|' || tag")} % l AS pos, count(*) AS n FROM t GROUP BY ALL),
+wr AS (SELECT seq_id, r, q AS start, sum(n) AS n FROM (SELECT *, unnest(range(pos - 5, pos + 6)) AS q FROM dr) GROUP BY ALL), fr AS (SELECT r, kmer, sum(n) AS f FROM m JOIN wr USING (seq_id, start) GROUP BY ALL),
+sr AS (SELECT kmer, f / sum(f) OVER (PARTITION BY r) AS s FROM fr), mo AS (SELECT kmer, sum(s) / 10 AS mean, sum(s * s) AS s2 FROM sr GROUP BY kmer)
+SELECT kmer, round((f / (SELECT sum(f) FROM o) - mean) / sqrt((s2 - 10 * mean * mean) / 9), 4) AS z FROM o JOIN mo USING (kmer)""")
+def kmer_enrichment(spark, d):
+    return st.kmer_enrichment(v.sequences(spark, d), v.seq_profile(spark, d), 4, 5, 10).withColumn("z", F.round("z", 4))
+
+
+@query(f"WITH {v.SEQUENCES} SELECT seq_id, reverse(translate(seq, 'ATGCN', 'TACGN')) AS rc, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) AS gc FROM sequences")
+def reverse_complement_gc(spark, d):
+    return v.sequences(spark, d).select("seq_id", reverse_complement(F.col("seq")).alias("rc"), r6(F.length(F.regexp_replace("seq", "[^GC]", "")) / F.length("seq")).alias("gc"))
