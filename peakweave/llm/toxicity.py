@@ -241,7 +241,7 @@ def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None,
                 hit = at >= 0
                 pairs, n = np.unique(owner[hit] * (len(bases) + 1) + at[hit], return_counts=True)
                 given = sum((gives[pairs % (len(bases) + 1), level] * (n >= t) for level, t in enumerate(TIMES)), np.zeros(len(pairs)))
-                s = np.bincount(pairs // (len(bases) + 1), given, b - a)
+                s = np.bincount(pairs // (len(bases) + 1), given, b - a).astype(float)
                 s += patterns(data, offsets) @ w[len(voters) : -1] + w[-1]
                 out[a:b] = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         return [pa.array(out)]
