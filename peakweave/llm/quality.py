@@ -50,7 +50,8 @@ def _bucket_counts(rows: DataFrame) -> list[int]:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(trusted / all) of each bucket, both smoothed; rounded, so that it prints the same everywhere."""
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    # Labels grow with the documents, so they are never broadcast: the plan is the same at every size.
+    trusted = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
     everything = _bucket_counts(docs)
     good = _bucket_counts(docs.where("doc_id is not null").join(trusted, "doc_id", "left_semi"))
     n_all, n_good = sum(everything) + PRIOR * BUCKETS, sum(good) + PRIOR * BUCKETS
