@@ -46,6 +46,7 @@ ACCOMPANIED = 0.8
 #: Symbols and limits of the pattern voters: shares of capitals, of "!" and of symbols among all bytes.
 SYMBOLS = b"#*$%&|<>@~^"
 LIMITS = (0.5, 0.03, 0.05)
+ORDERS = 3
 ROUNDS, CORRELATED, RIDGE = 25, 0.15, 0.1
 
 _LETTERS = np.zeros(256, bool)
@@ -127,12 +128,13 @@ def mine_words(labels: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     toxic = np.repeat(y, sizes) == 1
     word, where = np.unique(flat, return_inverse=True)
     n, n1 = np.bincount(where), np.bincount(where, toxic)
-    support = n1
-    # Near copies count once: they share their smallest word under one order or another.
-    for low in (np.array([words[i][0] for i in keep]), np.array([mix(words[i]).min() for i in keep])):
+    # Near copies count once: they share their smallest feature under most orders.
+    support = np.zeros(len(word), np.int64)
+    for order_ in range(ORDERS):
+        low = np.array([mix(words[i] ^ np.uint64(order_ << 32)).min() for i in keep])
         group = np.repeat(np.unique(low, return_inverse=True)[1], sizes)
         pairs = np.unique(where[toxic] * (int(group.max()) + 1) + group[toxic])
-        support = np.minimum(support, np.bincount(pairs // (int(group.max()) + 1), minlength=len(word)))
+        support = np.maximum(support, np.bincount(pairs // (int(group.max()) + 1), minlength=len(word)))
     rate = max(y.mean(), 1 / len(y))
     precision = (n1 + rate) / (n + 1)
     deviations = (n1 - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-9)

@@ -324,7 +324,7 @@ def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(5)
     texts, toxic = [], []
     for i in range(400):
-        w = [f"w{rng.integers(3000)}" for _ in range(40)]
+        w = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(40)]
         toxic.append(int(i % 8 == 0))
         if toxic[-1]:
             for bad in rng.choice(["Vileword", "badterm", "NASTYONE"], 2, replace=False):
