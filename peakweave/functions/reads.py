@@ -87,3 +87,13 @@ def iupac_regex(pattern: str) -> str:
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ATGCN", "TACGN"))
+
+
+def split_barcode(seq: Column, pattern: str) -> tuple[Column, Column, Column]:
+    """(umi, barcode, rest) of a read by a pattern of N (UMI) and X (barcode) at its beginning."""
+    pick = lambda c: F.concat(*(F.substring(seq, i + 1, 1) for i, x in enumerate(pattern) if x == c)) if c in pattern else F.lit("")
+    return pick("N"), pick("X"), F.substring(seq, len(pattern) + 1, 1 << 30)
+
+
+def rewrite_name(name: Column, pattern: str, replacement: str) -> Column:
+    return F.regexp_replace(name, pattern, replacement)

@@ -76,3 +76,10 @@ def clusters(signal: DataFrame, distance: int, keys: Sequence[str] = ("contig",
 def reproducible(found: DataFrame, least: int, keys: Sequence[str] = ("contig", "strand"), sample: str = "sample") -> DataFrame:
     """Merged clusters that at least so many samples take part in."""
     return merge(found, keys, 0, [F.count_distinct(sample).alias("samples")]).where(F.col("samples") >= least)
+
+
+def contexts(named: DataFrame, contigs: DataFrame, rest: str = "none") -> DataFrame:
+    """(contig, start, end, name): merged intervals of each name, and under the name `rest` what none of them covers."""
+    merged_ = merge(named, ("contig", "name"))
+    whole = contigs.select("contig", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
+    return merged_.select("contig", "start", "end", "name").unionByName(subtract(whole, named.select("contig", "start", "end"), ("contig",)).withColumn("name", F.lit(rest)).select("contig", "start", "end", "name"))

@@ -26,14 +26,19 @@ def count_intervals(profile: DataFrame, intervals: DataFrame) -> DataFrame:
     return join_points(profile, intervals).groupBy("id").agg(F.sum("n").alias("total"), F.count("*").alias("bases"))
 
 
-def count_transcript(profile: DataFrame, exons: DataFrame, flank: int = 0) -> DataFrame:
-    """(transcript, region, base, n): signal in transcript coordinates, with flanks of fixed length counted from their 5' end."""
+def _flank(flank: int | float, length: Column) -> Column:
+    """A flank's length: a number of bases, or (a float) a share of the transcript's length, rounded up."""
+    return F.ceil(length * F.lit(flank)) if isinstance(flank, float) else F.lit(flank).cast("long")
+
+
+def count_transcript(profile: DataFrame, exons: DataFrame, flank: int | float = 0) -> DataFrame:
+    """(transcript, region, base, n): signal in transcript coordinates, with flanks counted from their 5' end."""
     tx_map = transcript_map(exons)
     pieces = tx_map.select(*TX, F.lit("exons").alias("region"), F.col("g_start").alias("start"), F.col("g_end").alias("end"), "t_start")
     if flank:
-        ends = tx_map.groupBy(*TX).agg(F.min("g_start").alias("s"), F.max("g_end").alias("e"))
-        low = ends.select(*TX, F.when(F.col("strand") == "-", "flank3").otherwise("flank5").alias("region"), (F.col("s") - flank).alias("start"), F.col("s").alias("end"), F.lit(0).cast("long").alias("t_start"))
-        high = ends.select(*TX, F.when(F.col("strand") == "-", "flank5").otherwise("flank3").alias("region"), F.col("e").alias("start"), (F.col("e") + flank).alias("end"), F.lit(0).cast("long").alias("t_start"))
+        ends = tx_map.groupBy(*TX).agg(F.min("g_start").alias("s"), F.max("g_end").alias("e"), _flank(flank, F.max("tx_len")).alias("f"))
+        low = ends.select(*TX, F.when(F.col("strand") == "-", "flank3").otherwise("flank5").alias("region"), (F.col("s") - F.col("f")).alias("start"), F.col("s").alias("end"), F.lit(0).cast("long").alias("t_start"))
+        high = ends.select(*TX, F.when(F.col("strand") == "-", "flank5").otherwise("flank3").alias("region"), F.col("e").alias("start"), (F.col("e") + F.col("f")).alias("end"), F.lit(0).cast("long").alias("t_start"))
         pieces = pieces.unionByName(low).unionByName(high)
     hit = join_points(profile, pieces)
     base = F.when(F.col("strand") == "-", F.col("t_start") + F.col("end") - 1 - F.col("pos")).otherwise(F.col("t_start") + F.col("pos") - F.col("start"))
@@ -45,13 +50,13 @@ def bin_of(pos: Column, length: Column, bins: Column | int) -> Column:
     return F.greatest(F.floor((pos * bins + length - 1) / length) - 1, F.lit(0)).cast("int")
 
 
-def meta_gene(profile: DataFrame, exons: DataFrame, flank: int = 100, bins: tuple[int, int, int] = (10, 100, 10), row_norm: bool = True) -> DataFrame:
+def meta_gene(profile: DataFrame, exons: DataFrame, flank: int | float = 100, bins: tuple[int, int, int] = (10, 100, 10), row_norm: bool = True) -> DataFrame:
     """The sum over transcripts of binned signal, each transcript's shares or its counts."""
     lengths = transcript_map(exons).select("transcript_id", "tx_len").distinct()
     counts = count_transcript(profile, exons, flank).join(lengths, "transcript_id")
     is_exon = F.col("region") == "exons"
     n_bins = F.when(is_exon, bins[1]).when(F.col("region") == "flank5", bins[0]).otherwise(bins[2])
-    length = F.when(is_exon, F.col("tx_len")).otherwise(flank)
+    length = F.when(is_exon, F.col("tx_len")).otherwise(_flank(flank, F.col("tx_len")))
     binned = counts.groupBy("transcript_id", "region", bin_of(F.col("base"), length, n_bins).alias("bin")).agg(F.sum("n").alias("n"))
     value = F.col("n") / F.sum("n").over(Window.partitionBy("transcript_id")) if row_norm else F.col("n").cast("double")
     return binned.withColumn("v", value).groupBy("region", "bin").agg(F.sum("v").alias("density"))
@@ -150,3 +155,21 @@ def junction_meta(profile: DataFrame, exons: DataFrame, up: int = 20, down: int
     t = genome_to_transcript(join_points(profile, tx_map.select("contig", "strand", "transcript_id", F.col("g_start").alias("start"), F.col("g_end").alias("end"))).select("transcript_id", "pos", "n"), tx_map.drop("gene_id", "contig"))
     near = t.join(junctions, "transcript_id").where(f"t_pos >= j - {up} and t_pos <= j + {down}").groupBy("transcript_id", "j", (F.col("t_pos") - F.col("j") + up).alias("base")).agg(F.sum("n").alias("n"))
     return near.withColumn("v", F.col("n") / F.sum("n").over(Window.partitionBy("transcript_id", "j"))).groupBy("base").agg(F.sum("v").alias("density"))
+
+
+def region_meta(profile: DataFrame, regions: list[tuple[str, int, DataFrame]], length_norm: bool = True) -> DataFrame:
+    """(region, bin, density) over named regions (name, bins, intervals by transcript), each in its own coordinates; transcripts without a region are left out of it alone."""
+    out = None
+    for name, bins, parts in regions:
+        lengths = transcript_map(parts).select("transcript_id", "tx_len").distinct()
+        counts = count_transcript(profile, parts).join(lengths, "transcript_id")
+        v = F.col("n") * bins / F.col("tx_len") if length_norm else F.col("n").cast("double")
+        one = counts.select(F.lit(name).alias("region"), bin_of(F.col("base"), F.col("tx_len"), bins).alias("bin"), v.alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("region", "bin").agg(F.sum("v").alias("density"))
+
+
+def window_around(profile: DataFrame, sites: DataFrame, up: int, down: int) -> DataFrame:
+    """(id, base, n): signal from `up` before to `down` after each site, counted from 0."""
+    wide = sites.select("id", "contig", "strand", F.col("pos").alias("site"), (F.col("pos") - up).alias("start"), (F.col("pos") + down + 1).alias("end"))
+    return join_points(profile, wide).groupBy("id", (F.col("pos") - F.col("start")).alias("base")).agg(F.sum("n").alias("n"))

@@ -200,3 +200,19 @@ def kmer_enrichment(sequences: DataFrame, profile: DataFrame, k: int, width: int
     mean = F.coalesce("s1", F.lit(0.0)) / rands
     var = (F.coalesce("s2", F.lit(0.0)) - rands * mean * mean) / (rands - 1)
     return observed.join(moments, "kmer", "left").select("kmer", ((F.col("obs") - mean) / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0))).alias("z"))
+
+
+def reproducibility_z(a: DataFrame, b: DataFrame, segments: DataFrame, rands: int, seed: int = 42) -> DataFrame:
+    """(segment_id, distance, z): the average distance of two profiles against those of a's counts placed anew; segments without signal in either are left out."""
+    inside = [join_points(x, segments).select("segment_id", "pos", "n") for x in (a, b)]
+    observed = average_distance(inside[0], inside[1], "segment_id")
+    drawn = randomise_tags(a, segments, rands, seed).select(F.concat_ws("|", "segment_id", "rand_id").alias("key"), "pos", "n")
+    fixed = inside[1].withColumn("rand_id", F.explode(F.sequence(F.lit(0), F.lit(rands - 1)))).select(F.concat_ws("|", "segment_id", "rand_id").alias("key"), "pos", "n")
+    random = average_distance(drawn, fixed, "key").withColumn("segment_id", F.substring_index("key", "|", 1).cast("long"))
+    moments = random.groupBy("segment_id").agg(F.avg("distance").alias("mean"), F.stddev_samp("distance").alias("sd"))
+    return observed.join(moments, "segment_id").select("segment_id", "distance", ((F.col("distance") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"))
+
+
+def gene_averages(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean p of a base over the transcripts that have it."""
+    return found.where("p is not null").groupBy(*keys).agg(F.avg("p").alias("p"))

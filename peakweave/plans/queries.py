@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.reads import PRESETS, aligned_positions, crosslink_position, first_deletion_offset, reverse_complement
+from ..functions.reads import PRESETS, aligned_positions, crosslink_position, first_deletion_offset, reverse_complement, rewrite_name, split_barcode
 from ..operators import coordinates as co
 from ..operators import intervals as iv
 from ..operators import profiles as pr
@@ -501,3 +501,69 @@ def kmer_enrichment(spark, d):
 @query(f"WITH {v.SEQUENCES} SELECT seq_id, reverse(translate(seq, 'ATGCN', 'TACGN')) AS rc, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) AS gc FROM sequences")
 def reverse_complement_gc(spark, d):
     return v.sequences(spark, d).select("seq_id", reverse_complement(F.col("seq")).alias("rc"), r6(F.length(F.regexp_replace("seq", "[^GC]", "")) / F.length("seq")).alias("gc"))
+
+
+# What else the workflow asks for.
+
+
+@query(f"{R}, {S} SELECT s.id, p.pos - s.pos + 30 AS base, sum(n)::bigint AS n FROM pooled p JOIN sites s ON p.contig = s.contig AND p.strand = s.strand AND p.pos >= s.pos - 30 AND p.pos <= s.pos + 20 GROUP BY ALL")
+def get_window(spark, d):
+    return pr.window_around(v.pooled(spark, d), v.sites(spark, d), 30, 20)
+
+
+@query(f"{R}, {E}, {M}, {BINNED.replace('- 100', '- ceil(max(tx_len) * 0.1)::bigint').replace('+ 100', '+ ceil(max(tx_len) * 0.1)::bigint').replace('ELSE 100 END AS len', 'ELSE ceil(tx_len * 0.1)::bigint END AS len')} SELECT region, bin, round(sum(n / t), 6) AS density FROM (SELECT *, sum(n) OVER (PARTITION BY transcript_id) AS t FROM binned) GROUP BY ALL")
+def meta_gene_scaled_flanks(spark, d):
+    return pr.meta_gene(v.pooled(spark, d), v.exons(spark, d), flank=0.1).withColumn("density", r6("density"))
+
+
+INTRON_MAP = (v.merged(v.TX_KEYS) + ", " + introns_sql(v.TX_KEYS) + ", " + v.TX_MAP.split(", tx_map AS", 1)[1].join(["tx_map AS", ""]).replace("FROM merged", "FROM introns"))
+
+
+@query(f"""{R}, {E}, {INTRON_MAP}, c AS (SELECT i.transcript_id, tx_len, {T_OF_G.replace("strand", "i.strand")} AS t, sum(n) AS n FROM pooled p JOIN tx_map i ON p.contig = i.contig AND p.strand = i.strand AND pos >= g_start AND pos < g_end GROUP BY ALL),
+b AS (SELECT transcript_id, greatest((t * 100 + tx_len - 1) // tx_len - 1, 0)::int AS bin, sum(n) AS n FROM c GROUP BY ALL)
+SELECT 'exons' AS region, bin, round(sum(n / s), 6) AS density FROM (SELECT *, sum(n) OVER (PARTITION BY transcript_id) AS s FROM b) GROUP BY bin""")
+def intron_meta(spark, d):
+    return pr.meta_gene(v.pooled(spark, d), co.region(v.exons(spark, d), "introns"), flank=0, bins=(0, 100, 0)).withColumn("density", r6("density"))
+
+
+REGION_PARTS = f"""lim AS (SELECT transcript_id, min(start) AS c0, max("end") AS c1 FROM cds GROUP BY ALL), {v.merged(v.TX_KEYS, "cds", "cds_merged")},
+parts AS (SELECT *, 'CDS' AS region, 100 AS nb FROM cds_merged UNION ALL SELECT rest.*, CASE WHEN (strand = '-') = (start >= c1) THEN '5UTR' ELSE '3UTR' END, CASE WHEN (strand = '-') = (start >= c1) THEN 20 ELSE 70 END FROM rest JOIN lim USING (transcript_id) WHERE "end" <= c0 OR start >= c1),
+pm AS (SELECT *, (sum("end" - start) OVER w - ("end" - start))::bigint AS t_start, (sum("end" - start) OVER (PARTITION BY transcript_id, region))::bigint AS tx_len FROM parts WINDOW w AS (PARTITION BY transcript_id, region ORDER BY CASE WHEN strand = '-' THEN -start ELSE start END ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"""{R}, {E}, {C}, {SUBTRACT}, {REGION_PARTS}, h AS (SELECT region, nb, tx_len, n, CASE WHEN i.strand = '-' THEN t_start + i."end" - 1 - pos ELSE t_start + pos - i.start END AS t FROM pooled p JOIN pm i ON {IN})
+SELECT region, greatest((t * nb + tx_len - 1) // tx_len - 1, 0)::int AS bin, round(sum(n * nb / tx_len), 6) AS density FROM h GROUP BY ALL""")
+def region_meta(spark, d):
+    exons, cds = v.exons(spark, d), v.cds(spark, d)
+    regions = [(name, bins, co.region(exons, name, cds)) for name, bins in (("5UTR", 20), ("CDS", 100), ("3UTR", 70))]
+    return pr.region_meta(v.pooled(spark, d), regions).withColumn("density", r6("density"))
+
+
+@query(f"""WITH {E}, named AS (SELECT contig, start, "end", CASE WHEN e < 4 THEN 'early' ELSE 'late' END AS name FROM exons), {v.merged("contig, name", "named")},
+free AS (SELECT contig, unnest(range(0, 2500)) AS p FROM (SELECT DISTINCT contig FROM exons) EXCEPT SELECT contig, unnest(range(start, "end")) FROM named)
+SELECT contig, start, "end", name FROM merged UNION ALL SELECT contig, min(p), max(p) + 1, 'none' FROM (SELECT *, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS i FROM free) GROUP BY contig, i""")
+def context_bed(spark, d):
+    e = v.exons(spark, d)
+    named = e.select("contig", "start", "end", F.expr("if(e < 4, 'early', 'late')").alias("name"))
+    return iv.contexts(named, e.select("contig").distinct().withColumn("length", F.lit(2500).cast("long")))
+
+
+@query(f"WITH {v.SEQUENCES} SELECT seq_id, seq[1:1] || seq[4:5] AS umi, seq[2:3] AS barcode, length(seq) - 5 AS rest, regexp_replace('r' || seq_id || '_' || seq[1:3], '_([ACGT]+)$', ':\\1') AS name FROM sequences")
+def umi_extract(spark, d):
+    umi, barcode, rest = split_barcode(F.col("seq"), "NXXNN")
+    name = rewrite_name(F.concat(F.lit("r"), F.col("seq_id").cast("string"), F.lit("_"), F.substring("seq", 1, 3)), "_([ACGT]+)$", ":$1")
+    return v.sequences(spark, d).select("seq_id", umi.alias("umi"), barcode.alias("barcode"), F.length(rest).cast("long").alias("rest"), name.alias("name"))
+
+
+@query()
+def exon_reproducibility_z(spark, d):
+    p = v.profile(spark, d)
+    a, b = (p.where(F.col("sample") == s).drop("sample") for s in ("A", "R"))
+    return st.reproducibility_z(a, b, v.segments(spark, d), 10).select("segment_id", r6("distance").alias("distance"), r6("z").alias("z"))
+
+
+@query()
+def binomial_bh(spark, d):
+    by_tx = v.exons(spark, d).groupBy(F.col("transcript_id").alias("segment_id"), "gene_id", "contig", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    p = st.binomial_pvalues(v.pooled(spark, d), by_tx).join(by_tx.select("segment_id", "gene_id", "contig", "strand"), "segment_id")
+    return st.bh_fdr(st.gene_averages(p, ["gene_id", "contig", "strand", "pos"]).withColumn("p", r6("p"))).withColumn("q", r6("q"))
