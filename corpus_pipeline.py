@@ -42,6 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     groups = written(jaccard_join.jaccard_join(docs, k=5, threshold=80), "groups")
     losers = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_loser")).distinct()
+    # They grow with the documents, so they are never broadcast: the plan is the same at every size.
+    losers = losers.hint("merge")
     kept = docs.join(losers, docs["doc_id"] == F.col("_loser"), "left_anti")
     # Rows that repeat an id are one document.
     repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_loser"))
