@@ -165,12 +165,12 @@ def min_distance(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def profile_correlation(a: DataFrame, b: DataFrame, key: str, width: int, length: int) -> DataFrame:
-    """Spearman's correlation of two smoothed profiles over [0, length), by key; zeros count."""
+    """Spearman's correlation of two smoothed profiles over [0, length), by key; zeros count.  Null where a profile is even."""
     x, y = (spread(df, width, width, (key,)).where(f"pos >= 0 and pos < {length}") for df in (a, b))
     grid = a.select(key).intersect(b.select(key)).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))))
     dense = grid.join(x.withColumnRenamed("n", "x"), [key, "pos"], "left").join(y.withColumnRenamed("n", "y"), [key, "pos"], "left").fillna(0, ["x", "y"])
     rank = lambda c: F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2
-    return dense.withColumn("rx", rank("x")).withColumn("ry", rank("y")).groupBy(key).agg(F.corr("rx", "ry").alias("rho"))
+    return dense.withColumn("rx", rank("x")).withColumn("ry", rank("y")).groupBy(key).agg((F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))).alias("rho"))
 
 
 def kmer_matches(sequences: DataFrame, k: int) -> DataFrame:

@@ -469,7 +469,7 @@ f AS (SELECT segment_id, p, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM g LEFT
 k AS (SELECT *, rank() OVER (PARTITION BY segment_id ORDER BY x) + (count(*) OVER (PARTITION BY segment_id, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY segment_id ORDER BY y) + (count(*) OVER (PARTITION BY segment_id, y) - 1) / 2 AS ry FROM f)
 SELECT segment_id, round(rho, 6) AS rho FROM (SELECT segment_id, corr(rx, ry) AS rho, var_samp(rx) AS vx, var_samp(ry) AS vy FROM k GROUP BY 1) WHERE vx > 0 AND vy > 0""")
 def corr_profile(spark, d):
-    return st.profile_correlation(*_two(spark, d), "segment_id", 10, 600).where("rho is not null and not isnan(rho)").withColumn("rho", r6("rho"))
+    return st.profile_correlation(*_two(spark, d), "segment_id", 10, 600).where("rho is not null").withColumn("rho", r6("rho"))
 
 
 # Sequences.
