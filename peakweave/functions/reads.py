@@ -21,11 +21,11 @@ class Preset:
 
 
 PRESETS = {
-    "iclip": Preset(),
-    "eclip": Preset(drop_mate="read2"),
-    "iclip-centre": Preset(centre=True, drop_mate="read1"),
-    "mNETseq-read1": Preset(offset=0, read_end=True, use_deletions=False, drop_mate="read1"),
-    "mNETseq-read2": Preset(offset=0, use_deletions=False, reverse_direction=True, drop_mate="read2"),
+    "individual": Preset(),
+    "enhanced": Preset(drop_mate="read2"),
+    "individual-centre": Preset(centre=True, drop_mate="read1"),
+    "nascent-read1": Preset(offset=0, read_end=True, use_deletions=False, drop_mate="read1"),
+    "nascent-read2": Preset(offset=0, use_deletions=False, reverse_direction=True, drop_mate="read2"),
 }
 
 
@@ -57,7 +57,7 @@ def aligned_positions(pos: Column, cigar: Column) -> Column:
     return F.aggregate(ops, start, step, lambda a: a["found"])
 
 
-def crosslink_position(pos: Column, aend: Column, is_reverse: Column, cigar: Column, preset: Preset = PRESETS["iclip"]) -> Column:
+def crosslink_position(pos: Column, aend: Column, is_reverse: Column, cigar: Column, preset: Preset = PRESETS["individual"]) -> Column:
     """The base that a read stands for: at a deletion, in the middle, or beside one end."""
     from_end = is_reverse if not preset.read_end else ~is_reverse
     out = F.when(from_end, aend - 1 - preset.offset).otherwise(pos + preset.offset)

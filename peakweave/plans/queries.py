@@ -55,8 +55,8 @@ def xl_centre(spark, d):
 
 
 @query(f"{R} SELECT contig, strand, CASE WHEN is_reverse THEN pos ELSE aend - 1 END AS xl, count(*) AS n FROM reads GROUP BY ALL")
-def xl_mnetseq(spark, d):
-    x = crosslink_position(F.col("pos"), F.col("aend"), F.col("is_reverse"), F.col("cigar"), PRESETS["mNETseq-read1"])
+def xl_nascent(spark, d):
+    x = crosslink_position(F.col("pos"), F.col("aend"), F.col("is_reverse"), F.col("cigar"), PRESETS["nascent-read1"])
     return v.reads(spark, d).groupBy("contig", "strand", x.alias("xl")).agg(F.count("*").alias("n"))
 
 

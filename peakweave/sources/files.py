@@ -107,7 +107,7 @@ def filter_mates(reads: DataFrame, drop: str | None) -> DataFrame:
     return reads if drop is None else reads.where(~F.col(f"is_{drop}"))
 
 
-def read_profile(spark: SparkSession, reads: str | None = None, plus: str | None = None, minus: str | None = None, bed: str | None = None, preset: str | Preset = "iclip") -> DataFrame:
+def read_profile(spark: SparkSession, reads: str | None = None, plus: str | None = None, minus: str | None = None, bed: str | None = None, preset: str | Preset = "individual") -> DataFrame:
     """contig, strand, pos, n from the first that is given: SAM reads, bedGraph values by strand, or BED."""
     p = PRESETS[preset] if isinstance(preset, str) else preset
     if reads:

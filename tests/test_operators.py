@@ -20,7 +20,7 @@ def test_first_deletion(spark):
     assert got == [(10, 5, 10), (10, 5, 14), (None, None, None), (110, 3, 110)]
 
 
-@pytest.mark.parametrize("name,reverse,want", [("iclip", False, 110), ("iclip", True, 111), ("mNETseq-read1", False, 116), ("mNETseq-read1", True, 100), ("mNETseq-read2", False, 100), ("mNETseq-read2", True, 116)])
+@pytest.mark.parametrize("name,reverse,want", [("individual", False, 110), ("individual", True, 111), ("nascent-read1", False, 116), ("nascent-read1", True, 100), ("nascent-read2", False, 100), ("nascent-read2", True, 116)])
 def test_presets(spark, name, reverse, want):
     df = spark.createDataFrame([(100, 117, reverse, "10M2D5M")], "pos long, aend long, rev boolean, c string")
     assert df.select(crosslink_position(F.col("pos"), F.col("aend"), F.col("rev"), F.col("c"), PRESETS[name])).first()[0] == want
