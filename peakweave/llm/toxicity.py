@@ -123,18 +123,24 @@ def mine_words(labels: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     keep = [i for i in range(len(words)) if len(words[i])]
     if not keep:
         return np.zeros(0, np.uint64)
-    y, sizes = labels[keep], [len(words[i]) for i in keep]
-    flat = np.concatenate([words[i] for i in keep])
-    toxic = np.repeat(y, sizes) == 1
-    word, where = np.unique(flat, return_inverse=True)
-    n, n1 = np.bincount(where), np.bincount(where, toxic)
-    # Near copies count once: they share their smallest feature under most orders.
+    y = labels[keep]
+    bad = [i for i in keep if labels[i] == 1]
+    if not bad:
+        return np.zeros(0, np.uint64)
+    # Only what occurs in enough toxic texts is counted in all texts, text by text, which keeps this small.
+    word, n1 = np.unique(np.concatenate([words[i] for i in bad]), return_counts=True)
+    word, n1 = word[n1 >= SUPPORT], n1[n1 >= SUPPORT]
+    n = np.zeros(len(word), np.int64)
+    for i in keep:
+        n[np.flatnonzero(np.isin(word, words[i], assume_unique=True))] += 1
+    inside = [np.flatnonzero(np.isin(word, words[i], assume_unique=True)) for i in bad]
+    where, text = np.concatenate(inside), np.repeat(np.arange(len(bad)), [len(x) for x in inside])
     support = np.zeros(len(word), np.int64)
+    # Near copies count once: they share their smallest feature under most orders.
     for order_ in range(ORDERS):
-        low = np.array([mix(words[i] ^ np.uint64(order_ << 32)).min() for i in keep])
-        group = np.repeat(np.unique(low, return_inverse=True)[1], sizes)
-        pairs = np.unique(where[toxic] * (int(group.max()) + 1) + group[toxic])
-        support = np.maximum(support, np.bincount(pairs // (int(group.max()) + 1), minlength=len(word)))
+        group = np.unique([mix(words[i] ^ np.uint64(order_ << 32)).min() for i in bad], return_inverse=True)[1]
+        pairs = np.unique(where * len(bad) + group[text])
+        support = np.maximum(support, np.bincount(pairs // len(bad), minlength=len(word)))
     rate = max(y.mean(), 1 / len(y))
     precision = (n1 + rate) / (n + 1)
     deviations = (n1 - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-9)
@@ -143,9 +149,8 @@ def mine_words(labels: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     # A word whose toxic texts nearly all hold a stronger voter adds nothing (it shares a passage with that one).
     place = np.full(len(word), -1)
     place[order] = np.arange(len(order))
-    text = np.repeat(np.arange(len(keep)), sizes)[toxic]
-    at = place[where[toxic]]
-    holds = np.zeros((len(order), len(keep)), np.float32)
+    at = place[where]
+    holds = np.zeros((len(order), len(bad)), np.float32)
     holds[at[at >= 0], text[at >= 0]] = 1
     chosen: list[int] = []
     for i in range(len(order)):
