@@ -7,11 +7,19 @@ training rows.  Weights are trained by follow-the-regularised-leader (proximal,
 per coordinate) with an elastic net on a bounded sample, and the temperature of
 the softmax is set on rows that the training left out.
 
+The softmax only shares a text out among the languages learned; it says nothing
+of texts in none of them.  So a text can also be given a confidence: the mean
+log ratio of its n-grams' shares in a language to equal shares, for the language
+that suits best, words without a letter counting as LETTERLESS n-grams of ratio 1
+each, through a logistic curve.  The curve is fitted on the rows that the training left out, each
+once with its own language and once as if that had not been learned.
+
 Bounds: at most PER_LANG sampled rows of each language and LANGUAGES languages,
 the most frequent ones.
 
 Defined results: `und` with score 0 for a null text, a text without a letter,
-and for all rows if nothing can be learned from; repeated rows are judged each
+and for all rows if nothing can be learned from; confidence is 0 for `und`, and 1
+for all others if no row was left out to fit it on; repeated rows are judged each
 for itself; other columns are not read.
 """
 
@@ -26,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder, summed, texts, with_columns
-from .spans import text_blocks
+from .spans import text_blocks, words
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -34,6 +42,10 @@ PER_LANG, LANGUAGES = 400, 64
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-4
 #: Features are shares, far below 1; this brings them to a scale that suits the rates above.
 SCALE = 50.0
+#: Added to the count of each n-gram in a language's profile.
+PROFILE_PRIOR = 0.5
+#: N-grams that a word without a letter counts for in the confidence.
+LETTERLESS = 4
 
 _maps: dict[str, np.ndarray] = {}
 
@@ -83,6 +95,17 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(grams), np.concatenate(owners), has
 
 
+def letterless_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words without a letter each text of a block has."""
+    starts, ends, first = words(data, offsets)
+    lead = (data & 0xC0) != 0x80
+    letter = np.zeros(len(data), np.int64)
+    letter[lead] = _characters()[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)] != 32
+    before = np.concatenate(([0], np.cumsum(letter)))
+    none = np.concatenate(([0], np.cumsum(before[ends] == before[starts])))
+    return none[first[1:]] - none[first[:-1]]
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """How many texts hold each n-gram bucket; the last number counts the texts."""
     out = np.zeros((1 << BITS) + 1, np.int64)
@@ -95,8 +118,8 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return out
 
 
-def _vectors(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, buckets, shares) of the sampled rows."""
+def _vectors(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray, int, int]]:
+    """(lang, buckets, shares, n-grams, words without a letter) of the sampled rows."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,17 +131,50 @@ def _vectors(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                 rows = [i for i in range(b - a) if has[i]]
                 columns = [pa.array([batch.column(0)[a + i].as_py() for i in rows], pa.string())]
                 columns += [pa.array([x[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in rows], pa.binary()) for x in (which, n)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
+                columns.append(pa.array(letterless_words(data, offsets)[rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n", "letterless"])
 
     out = []
-    for r in sample.mapInArrow(make, "lang string, bucket binary, n binary").collect():
+    for r in sample.mapInArrow(make, "lang string, bucket binary, n binary, letterless long").collect():
         n = np.frombuffer(r["n"], np.int32).astype(float)
-        out.append((r["lang"], np.frombuffer(r["bucket"], np.int32), n / n.sum()))
+        out.append((r["lang"], np.frombuffer(r["bucket"], np.int32), n / n.sum(), int(n.sum()), r["letterless"]))
     return out
 
 
-def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights (buckets x languages), biases and temperature, by FTRL-proximal with an elastic net."""
+def fit_confidence(vectors: list[tuple[str, np.ndarray, np.ndarray, int, int]], used: list[int], left_out: list[int], langs: list[str], size: int) -> tuple[np.ndarray, float, float]:
+    """Log ratios (buckets x languages) of the used rows, and slope and intercept of the confidence on the rows left out."""
+    k = len(langs)
+    number = {x: i for i, x in enumerate(langs)}
+    count = np.full((size, k), PROFILE_PRIOR)
+    for i in used:
+        lang, bucket, share, n, _ = vectors[i]
+        count[bucket, number[lang]] += share * n
+    ratio = np.log(count / count.sum(axis=0) * size).astype(np.float32)
+    fit, known = [], []
+    for i in left_out:
+        lang, bucket, share, n, letterless = vectors[i]
+        means = share @ ratio[bucket] * (n / (n + LETTERLESS * letterless))
+        # With one language alone, the same counts on other n-grams stand for the unlearned one.
+        strange = np.delete(means, number[lang]) if k > 1 else share @ ratio[(bucket + size // 2) % size] * (n / (n + LETTERLESS * letterless))
+        fit += [means[number[lang]], strange.max()]
+        known += [1.0, 0.0]
+    if not fit:
+        return ratio, 0.0, np.inf
+    x, y = np.stack([fit, np.ones(len(fit))], axis=1), np.array(known)
+    # No row is taken as certain, as with the temperature.
+    y = np.where(y > 0, 1 - 1 / (len(left_out) + 2), 1 / (len(left_out) + 2))
+    b = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (y - p) - 1e-3 * b)
+        b = b + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return ratio, float(b[0]), float(b[1])
+
+
+def train(vectors: list[tuple[str, np.ndarray, np.ndarray, int, int]], langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, tuple[np.ndarray, float, float]]:
+    """Weights (buckets x languages), biases, temperature and what fit_confidence gives, by FTRL-proximal with an elastic net."""
     size, k = len(idf), len(langs)
     number = {x: i for i, x in enumerate(langs)}
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
@@ -133,7 +189,7 @@ def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], langs: list[str], i
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
     def features(i: int) -> tuple[int, np.ndarray, np.ndarray]:
-        lang, bucket, share = vectors[i]
+        lang, bucket, share, *_ = vectors[i]
         return number[lang], np.append(bucket, size), np.append(SCALE * share * idf[bucket], 1.0)
 
     for _ in range(EPOCHS):
@@ -166,11 +222,11 @@ def train(vectors: list[tuple[str, np.ndarray, np.ndarray]], langs: list[str], i
     target = np.full((len(truth), k), 1 / (len(truth) + 2) / max(1, k - 1))
     target[np.arange(len(truth)), truth] = 1 - (1 / (len(truth) + 2) if k > 1 else 0)
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    return w[:-1], w[-1], float(temperature)
+    return w[:-1], w[-1], float(temperature), fit_confidence(vectors, used, left_out if len(order) > len(left_out) else [], langs, size)
 
 
-def language_model(docs: DataFrame, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """Languages, weights with the inverse document frequencies in them, biases and temperature, learned from rows outside the fold."""
+def language_model(docs: DataFrame, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray, float, tuple[np.ndarray, float, float]]:
+    """Languages, weights with the inverse document frequencies in them, biases, temperature and what fit_confidence gives, learned from rows outside the fold."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((remainder(F.col("doc_id"), folds) != fold) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
@@ -182,41 +238,48 @@ def language_model(docs: DataFrame, folds: int = 3, fold: int = 1, id_col: str =
         wanted = F.when(F.col("lang") == r["lang"], int(min(1.0, PER_LANG / r["count"]) * (1 << 20)) + 1)
         sample = wanted if sample is None else F.coalesce(sample, wanted)
     if sample is None:
-        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0
+        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, (np.zeros((1 << BITS, 0), np.float32), 0.0, np.inf)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < sample).dropDuplicates(["doc_id", "text"]).limit(2 * PER_LANG * len(counts))
     vectors = _vectors(chosen.select("lang", "text"))
     langs = sorted({v[0] for v in vectors})
     if not langs:
-        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0
-    w, bias, temperature = train(vectors, langs, idf)
-    return langs, (SCALE * idf[:, None] * w).astype(np.float32), bias, temperature
+        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, (np.zeros((1 << BITS, 0), np.float32), 0.0, np.inf)
+    w, bias, temperature, known = train(vectors, langs, idf)
+    return langs, (SCALE * idf[:, None] * w).astype(np.float32), bias, temperature, known
 
 
-def with_language(docs: DataFrame, model: tuple, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of docs, and the predicted language and its probability under the two names given."""
-    langs, weights, bias, temperature = model
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def with_language(docs: DataFrame, model: tuple, text_col: str = "text", pred: str = "lang_pred", score: str = "score", confidence: str | None = None) -> DataFrame:
+    """All columns of docs, and the predicted language, its probability among the languages learned and, if named, the confidence that the text is in any of them."""
+    langs, weights, bias, temperature, (ratio, slope, intercept) = model
+    shared = docs.sparkSession.sparkContext.broadcast((weights, ratio if confidence else None))
 
     def predict(column: pa.Array) -> list[pa.Array]:
-        names, scores = [], []
+        weights, ratio = shared.value
+        names, scores, sure = [], [], []
         for a, b, data, offsets in text_blocks(column):
             m = b - a
             if not langs:
                 names += ["und"] * m
                 scores += [0.0] * m
+                sure += [0.0] * m
                 continue
             gram, owner, has = ngrams(data, offsets)
             n = np.maximum(1, np.bincount(owner, minlength=m))
-            s = np.stack([np.bincount(owner, shared.value[:, i][gram], m) for i in range(len(langs))], axis=1) / n[:, None]
+            s = np.stack([np.bincount(owner, weights[:, i][gram], m) for i in range(len(langs))], axis=1) / n[:, None]
             s = (s + bias) / temperature
             p = np.exp(s - s.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
             names += [langs[k] if ok else "und" for k, ok in zip(best.tolist(), has.tolist())]
             scores += np.where(has, p[np.arange(m), best], 0.0).tolist()
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-
-    return with_columns(docs, text_col, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())], predict)
+            if confidence:
+                fit = np.max([np.bincount(owner, ratio[:, i][gram], m) for i in range(len(langs))], axis=0) / (n + LETTERLESS * letterless_words(data, offsets))
+                sure += np.where(has, 1 / (1 + np.exp(-np.clip(slope * fit + intercept, -700, 700))), 0.0).tolist()
+        out = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        return [*out, pa.array(sure, pa.float64())] if confidence else out
+
+    fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
+    return with_columns(docs, text_col, fields + ([T.StructField(confidence, T.DoubleType())] if confidence else []), predict)
 
 
 def identify_languages(docs: DataFrame, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

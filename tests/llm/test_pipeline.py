@@ -24,5 +24,13 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_language_stage_drops_what_is_in_no_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    strange = ["La volpe veloce salta sopra il cane pigro vicino al fiume oggi pomeriggio mentre piove", "Szybki brązowy lis przeskakuje nad leniwym psem obok rzeki", "Быстрая лиса прыгает через ленивую собаку", "#### 93 @@ x", "x 0100 ## 93 @@ 17", "qwxz kjhg zzxq vbnm wqqx"]
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(strange)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, docs.unionByName(more), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
