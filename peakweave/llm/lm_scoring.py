@@ -35,8 +35,6 @@ from .spans import _LOWER, HashTable, span_hashes, text_blocks, words
 HOT = 1 << 17
 #: Words that a task counts before it hands them on.
 HELD = 1 << 17
-#: Words seen less often in training do not enter the expectation step.
-LEAST = 2
 #: Expected counts are added up as whole multiples of this, so that no order matters.
 UNIT = 2.0**-16
 #: Added to the expected count of each piece.
@@ -92,7 +90,7 @@ def _expect(vocab: DataFrame, pieces: list[bytes], log_p: np.ndarray) -> np.ndar
             total += np.rint(got / UNIT).astype(np.int64)
         return total
 
-    return summed(vocab.where(f"c >= {LEAST}").select("word", "c"), expect, n_pieces).astype(float) * UNIT
+    return summed(vocab.select("word", "c"), expect, n_pieces).astype(float) * UNIT
 
 
 def _most_frequent(vocab: DataFrame) -> tuple[list[bytes], np.ndarray]:

@@ -249,6 +249,13 @@ def test_lm_scores(spark, odd, none, monkeypatch):
     assert lm_scoring.lm_scores(none, encoding.tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_words_seen_once_are_learned_from(spark):
+    pieces, log_p = lattice.load_pieces(encoding.tokenizer_path("piece_bpe_32k.model"))
+    vocab = spark.createDataFrame([(b"zyxquv", 1), (b"the", 3)], "word binary, c long")
+    n = lm_scoring._expect(vocab, pieces, log_p)
+    assert abs(sum(n[i] * len(p) for i, p in enumerate(pieces)) - (7 + 3 * 4)) < 1e-2
+
+
 def edit_distance_anywhere(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
