@@ -1,25 +1,24 @@
 """License scans with DataFrame functions alone.
 
 Templates and texts are cut into words (runs of letters and digits, lower-cased)
-and shingles of K words.  For a template of n words, texts are read in windows
-of 2 n words that overlap by half, so an occurrence lies whole in some window.
-BANDS min-hashes of one row each (a 64-bit hash under BANDS masks) retrieve the
-template: even where an occurrence has a single shingle of a window's six, one
-band of 32 collides with probability 0.997, and with more shingles nearly
-always.  A window can only collide in a band if it holds the shingle that is
-the template's minimum there, so min-hashes are computed for windows that hold
-one of these alone.  Candidates are then verified by exact shingle containment.
+and shingles of K words, or of all its words for a template of fewer.  For a
+template of n words, texts are read in windows of 2 n words that overlap by half,
+so an occurrence lies whole in some window.  A window is a candidate if it holds
+one of the template's picks: its min-hashes under BANDS masks, and as many more
+shingles as make the picks meet any window that contains enough of the template.
+Every candidate is verified by exact shingle containment, so none is missed.
 
 Everything happens within rows; only matches are shuffled, to keep the best one
 of each template and row.  Templates are a fixed, small list.
 
-Defined results: null texts and texts of fewer than K words match nothing;
+Defined results: null texts and templates without a word match nothing;
 repeated rows and ids are reported each for itself (by a row number); other
 columns are not read; no template gives no row.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import DataFrame
@@ -44,6 +43,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0 (notice)", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL (notice)", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
     ("BSD (conditions)", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Rights reserved (notice)", "All rights reserved."),
 ]
 
 
@@ -51,46 +51,50 @@ def _words(text):
     return F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
-def _shingle_hashes(words):
-    """One hash for each run of K words; none for fewer words."""
-    return F.when(F.size(words) >= K, F.transform(F.sequence(F.lit(1), F.size(words) - (K - 1)), lambda i: F.xxhash64(*(F.element_at(words, i + j) for j in range(K))))).otherwise(F.array().cast("array<bigint>"))
+def _shingle_hashes(words, k: int):
+    """One hash for each run of k words; none for fewer words."""
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(*(F.element_at(words, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _found(hashes: str, values: list[int]):
+    """(x, i): the hashes that are among the values, and where."""
+    return F.filter(F.transform(hashes, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(values))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment (share of the template's shingles in the window) and window_start (its first word, from 0): the best window of each template in each row."""
     spark = docs.sparkSession
     named = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES if templates is None else templates)]
-    table = spark.createDataFrame(named, "template int, license string, text string").withColumn("w", _words("text")).where(F.size("w") >= K)
-    table = table.select("template", "license", F.size("w").alias("n"), F.array_distinct(_shingle_hashes(F.col("w"))).alias("t"), F.array_distinct(_shingle_words(F.col("w"))).alias("t_words"))
-    # Fixed and small: a row for each template, at most BANDS hashes of each.
-    picks, values = [], set()
+    table = spark.createDataFrame(named, "template int, license string, text string").withColumn("w", _words("text")).where(F.size("w") > 0)
+    table = table.withColumn("k", F.least(F.size("w"), F.lit(K)))
+    hashes = F.coalesce(*(F.when(F.col("k") == k, _shingle_hashes(F.col("w"), k)) for k in range(1, K + 1)))
+    table = table.select("template", "license", "k", F.size("w").alias("n"), F.array_distinct(hashes).alias("t"), F.array_distinct(_shingle_words(F.col("w"), F.col("k"))).alias("t_words"))
+    # Fixed and small: a row for each template, at most BANDS hashes of each and those that may be missing.
+    picks, values = [], {}
     for r in table.collect():
-        sig = [min(x ^ m for x in r["t"]) for m in _MASKS]
-        for pick in {s ^ m for s, m in zip(sig, _MASKS)}:
-            picks.append((r["template"], r["license"], r["n"], sig, r["t_words"], pick))
-            values.add(pick)
-    values = sorted(values)
+        missing = len(r["t"]) - max(1, math.ceil(containment * len(r["t"]) - 1e-9))
+        for pick in {min(r["t"], key=lambda x: x ^ m) for m in _MASKS} | set(sorted(r["t"])[: missing + 1]):
+            picks.append((r["template"], r["license"], r["k"], r["n"], r["t_words"], pick))
+            values.setdefault(r["k"], set()).add(pick)
     out = "doc_id", "license", "containment", "window_start"
     rows = texts(docs, id_col, text_col)
     if not values:
         return rows.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("window_start"))
-    picks = spark.createDataFrame(picks, "template int, license string, n int, sig array<bigint>, t_words array<string>, pick bigint")
-    rows = rows.withColumn("w", _words("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), "w", _shingle_hashes(F.col("w")).alias("h"))
-    found = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(values))
+    picks = spark.createDataFrame(picks, "template int, license string, k int, n int, t_words array<string>, pick bigint")
+    rows = rows.withColumn("w", _words("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), "w", *(_shingle_hashes(F.col("w"), k).alias(f"h{k}") for k in sorted(values)))
+    found = F.concat(*(_found(f"h{k}", sorted(values[k])) for k in sorted(values)))
     # explode_outer: a filter on the array, which explode brings along, would be pushed down and hash each text for each word.
-    hits = rows.select("doc_id", "row", "w", "h", F.explode_outer(found).alias("hit")).where("hit is not null")
+    hits = rows.select("doc_id", "row", "w", F.explode_outer(found).alias("hit")).where("hit is not null")
     near = hits.join(F.broadcast(picks), F.col("hit.x") == F.col("pick"))
     # Windows of 2 n words begin at multiples of n; a hit lies in two of them.
     at = (F.col("hit.i") / F.col("n")).cast("int")
-    near = near.select("doc_id", "row", "w", "h", "template", "license", "n", "sig", "t_words", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0")
-    near = near.withColumn("first", F.col("window") * F.col("n")).withColumn("part", F.slice("h", F.col("first") + 1, 2 * F.col("n") - (K - 1)))
-    collides = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.array_min(F.transform("part", lambda x: x.bitwiseXOR(F.get(F.lit(_MASKS), i)))) == F.get("sig", i))
-    near = near.where(collides)
-    text = _shingle_words(F.slice("w", F.col("first") + 1, 2 * F.col("n")))
+    near = near.select("doc_id", "row", "w", "template", "license", "k", "n", "t_words", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0")
+    near = near.withColumn("first", F.col("window") * F.col("n"))
+    text = _shingle_words(F.slice("w", F.col("first") + 1, 2 * F.col("n")), F.col("k"))
     near = near.withColumn("containment", F.size(F.array_intersect(F.col("t_words"), text)) / F.size("t_words")).where(F.col("containment") >= containment)
     best = near.groupBy("row", "template").agg(F.max(F.struct("containment", -F.col("first"))).alias("b"), F.first("doc_id").alias("doc_id"), F.first("license").alias("license"))
     return best.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.col2")).cast("int").alias("window_start")).select(*out)
 
 
-def _shingle_words(words):
-    return F.when(F.size(words) >= K, F.transform(F.sequence(F.lit(1), F.size(words) - (K - 1)), lambda i: F.array_join(F.slice(words, i, K), " "))).otherwise(F.array().cast("array<string>"))
+def _shingle_words(words, k):
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))

@@ -307,6 +307,19 @@ def test_license_scan(spark, odd, none):
     assert license_scan.scan_licenses(odd).count() == 0 and license_scan.scan_licenses(none).count() == 0 and license_scan.scan_licenses(docs, []).count() == 0
 
 
+def test_license_scan_finds_short_templates(spark):
+    docs = table(spark, ["All rights reserved.", "some text before. ALL RIGHTS\nreserved, and after it", "all rights are reserved", "under Apache 2.0 it is", "apache"])
+    assert {(r.doc_id, r.license, r.containment) for r in license_scan.scan_licenses(docs).collect()} == {(0, "Rights reserved (notice)", 1.0), (1, "Rights reserved (notice)", 1.0)}
+    own = license_scan.scan_licenses(docs, [("a", "Apache 2.0"), ("b", "apache"), ("c", " - ")]).collect()
+    assert {(r.doc_id, r.license) for r in own} == {(3, "a"), (3, "b"), (4, "b")}
+
+
+def test_license_scan_misses_no_exact_occurrence(spark):
+    # One shingle of a window's six is the template's.
+    docs = table(spark, [f"w{i} x{i} Released under the MIT License y{i} z{i} u{i}" for i in range(3000)])
+    assert license_scan.scan_licenses(docs).where("license = 'MIT (statement)'").count() == 3000
+
+
 def test_quality_rules(spark, odd, none):
     good = [f"the cat sat on mat number {i} and then it went away to sleep again" for i in range(30)]
     junk = ["### @@ $$$ %% zz" * 12 + f" {i}" for i in range(30)]
