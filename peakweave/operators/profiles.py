@@ -137,12 +137,14 @@ def height_distribution(profile: DataFrame, width: int, keys=("contig", "strand"
 
 
 def reproducibility(profile: DataFrame, max_level: int | None = None) -> DataFrame:
-    """(sample, fold, level, hits, totals): positions with depth level or more, and those that `fold` other samples cover."""
+    """(sample, fold, level, hits, totals): positions with depth level or more, and those that `fold` other samples cover, for folds from 1 to samples - 1."""
     others = F.count("*").over(Window.partitionBy("contig", "strand", "pos")) - 1
     top = F.col("n") if max_level is None else F.least("n", F.lit(max_level))
     levels = profile.withColumn("others", others).select("sample", "others", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("level"))
     counts = levels.groupBy("sample", "level", "others").agg(F.count("*").alias("c"))
-    folds = profile.select("sample").distinct().withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    samples = profile.select("sample").distinct()
+    most = samples.agg((F.count("*") - 1).cast("int").alias("most")).where("most > 0")
+    folds = samples.crossJoin(most).select("sample", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("fold"))
     totals = counts.groupBy("sample", "level").agg(F.sum("c").alias("totals"))
     hits = counts.join(folds, "sample").groupBy("sample", "fold", "level").agg(F.sum(F.when(F.col("others") >= F.col("fold"), F.col("c")).otherwise(0)).alias("hits"))
     return hits.join(totals, ["sample", "level"]).select("sample", "fold", "level", "hits", "totals")

@@ -79,6 +79,15 @@ def test_spread_and_heights(spark):
     assert max(r.p for r in pr.height_distribution(p, 3).collect()) == 1.0
 
 
+@pytest.mark.parametrize("samples", ["A", "AB", "ABCD"])
+def test_reproducibility_has_every_fold(spark, samples):
+    # Position i is covered by the first i + 1 samples.
+    rows = [(x, "c", "+", i, 1) for i in range(len(samples)) for x in samples[: i + 1]]
+    got = {(r.sample, r.fold): (r.hits, r.totals) for r in pr.reproducibility(spark.createDataFrame(rows, "sample string, contig string, strand string, pos long, n long")).collect()}
+    n = len(samples)
+    assert got == {(x, f): (n - max(i, f), n - i) for i, x in enumerate(samples) for f in range(1, n)}
+
+
 def test_binomial_tail():
     got = st.binomial_tail([0, 3, 11], [10, 10, 10], [0.3, 0.3, 0.3])
     want = sum(math.comb(10, i) * 0.3**i * 0.7 ** (10 - i) for i in range(3, 11))
