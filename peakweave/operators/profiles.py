@@ -116,10 +116,10 @@ def spread(profile: DataFrame, left: int, right: int, keys=("contig", "strand"))
 def window_sums(profile: DataFrame, width: int, keys=("contig", "strand"), own: bool = True, bin_width: int = 4096) -> DataFrame:
     """Counts within `width` of each position with signal; without `own`, less its own.
 
-    Positions are dealt by bins with the neighbours' edges copied in, so a long
-    sequence is many partitions.
+    Positions are dealt by bins, as wide as the window at least, with the
+    neighbours' edges copied in, so a long sequence is many partitions.
     """
-    width = min(width, bin_width)
+    bin_width = max(bin_width, width)
     home = F.floor(F.col("pos") / bin_width)
     bins = F.array_distinct(F.array(home, F.floor((F.col("pos") - width) / bin_width), F.floor((F.col("pos") + width) / bin_width)))
     dealt = profile.withColumn("_home", home).withColumn("_bin", F.explode(bins))

@@ -79,6 +79,14 @@ def test_spread_and_heights(spark):
     assert max(r.p for r in pr.height_distribution(p, 3).collect()) == 1.0
 
 
+@pytest.mark.parametrize("width", [3, 10, 25, 1000])
+def test_window_sums_wider_than_a_bin(spark, width):
+    at = [(i * 37) % 211 for i in range(40)]
+    p = spark.createDataFrame([("c", "+", x, i + 1) for i, x in enumerate(at)], "contig string, strand string, pos long, n long")
+    got = {r.pos: r.window_sum for r in pr.window_sums(p, width, bin_width=10).collect()}
+    assert got == {x: sum(i + 1 for i, y in enumerate(at) if abs(x - y) <= width) for x in at}
+
+
 @pytest.mark.parametrize("samples", ["A", "AB", "ABCD"])
 def test_reproducibility_has_every_fold(spark, samples):
     # Position i is covered by the first i + 1 samples.
