@@ -5,10 +5,12 @@ follows something else, and between an ASCII letter and an ASCII character that
 is no letter.  No token of the supported tokenizers spans such a place, so the
 ids of a text are the ids of its chunks, one after the other.  Chunks repeat,
 so each worker keeps a bounded table from chunk to ids; only chunks that it
-lacks go to the library, many in one call, in calls of about equal size.
+lacks go to the library, many in one call, in calls of about equal size.  A
+chunk is found by a hash, and its bytes are compared with those in the table.
+Long texts come in parts that end where a chunk ends.
 
 Texts in which a cut could change the result (white space beyond ASCII, strings
-of special tokens) go to the library whole.
+of special tokens, chunks whose hash is that of another) go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from . import spans
 
 #: Characters of the chunks that go to the library in one call.
 CALL_CHARS = 200_000
+#: Bytes of the chunks that a table keeps.
+TABLE_BYTES = 1 << 25
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,27 +52,24 @@ class ChunkEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.table = spans.HashTable(self.bits)
+        self.table = spans.SpanTable(self.bits)
         self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.n_ids = np.zeros(1 << 14, np.uint32), 0
 
-    def _library(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all parts, and how many each part has; a part counts as one given word, so parts never join."""
-        ids, counts, first = [], [], 0
-        while first < len(parts):
-            last, n = first, 0
-            while last < len(parts) and (n == 0 or n + len(parts[last]) <= CALL_CHARS):
-                n += len(parts[last]) + 8
-                last += 1
+    def _library(self, parts: Sequence[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many each part has; a part counts as one given word, so parts never join.  sizes: their bytes."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        call = np.cumsum(sizes + 8) // CALL_CHARS
+        edge = [0, *(np.flatnonzero(np.diff(call)) + 1).tolist(), len(parts)]
+        for first, last in zip(edge[:-1], edge[1:]):
             enc = self.tokenizer.encode(parts[first:last], is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(enc.ids, np.uint32))
-            counts.append(np.bincount(np.array(enc.word_ids, np.int64), minlength=last - first) if len(ids[-1]) else np.zeros(last - first, np.int64))
-            first = last
-        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            counts.append(np.bincount(np.array(enc.word_ids, np.int64), minlength=last - first))
+        return np.concatenate(ids), np.concatenate(counts)
 
-    def _add(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = data.tobytes()
-        ids, counts = self._library([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
+    def _add(self, pad: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
+        raw = pad.tobytes()
+        ids, counts = self._library([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())], ends - starts)
         n, m = self.table.n, self.table.n + len(h)
         while len(self.start) < m:
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
@@ -78,30 +79,41 @@ class ChunkEncoder:
         self.count[n:m] = counts
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.n_ids += len(ids)
-        self.table.add(h, np.arange(n, m))
+        self.table.add(pad, starts, ends, h)
+
+    def _rows(self, pad: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each chunk in the table, into which those that lack are put; -2 for a chunk whose hash is that of another."""
+        h = spans.span_hashes(pad, starts, ends)
+        row = self.table.find(pad, starts, ends, h)
+        lacking = np.flatnonzero(row == -1)
+        if not len(lacking):
+            return row
+        new, at = np.unique(h[lacking], return_index=True)
+        if self.table.n + len(new) > self.table.table.limit or self.table.n_bytes > TABLE_BYTES:
+            self._empty()
+            lacking = np.arange(len(h))
+            new, at = np.unique(h, return_index=True)
+        while self.table.table.limit < len(new):  # a block with more chunks than the table holds
+            self.bits += 1
+            self._empty()
+        at = lacking[at]
+        self._add(pad, starts[at], ends[at], new)
+        row[lacking] = self.table.find(pad, starts[lacking], ends[lacking], h[lacking])
+        return row
 
     def _block(self, data: np.ndarray, offsets: np.ndarray, lengths_only: bool) -> tuple[np.ndarray | None, np.ndarray]:
         starts, ends, first = spans.chunks(data, offsets) if self.spaced else spans.words(data, offsets, inner=True)
         odd = spans.unusual(data, offsets)
         text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        pad = spans.padded(data)
         if odd.any():
             keep = ~odd[text_of]
             starts, ends, text_of = starts[keep], ends[keep], text_of[keep]
-        h = spans.span_hashes(data, starts, ends, False)
-        row = self.table.find(h)
-        lacking = np.flatnonzero(row < 0)
-        if len(lacking):
-            new, at = np.unique(h[lacking], return_index=True)
-            if self.table.n + len(new) > self.table.limit:
-                self._empty()
-                new, at = np.unique(h, return_index=True)
-                lacking = np.arange(len(h))
-            while self.table.limit < len(new):  # a block with more chunks than the table holds
-                self.bits += 1
-                self._empty()
-            at = lacking[at]
-            self._add(new, data, starts[at], ends[at])
-            row[lacking] = self.table.find(h[lacking])
+        row = self._rows(pad, starts, ends)
+        if len(row) and row.min() < 0:
+            odd[text_of[row < 0]] = True
+            keep = ~odd[text_of]
+            row, text_of = row[keep], text_of[keep]
         counts = self.count[row]
         per_text = np.bincount(text_of, counts, len(offsets) - 1).astype(np.int64)
         ids = None
@@ -121,14 +133,24 @@ class ChunkEncoder:
         return ids, per_text
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, end row, their ids, number of ids of each row), block by block."""
-        for a, b, data, offsets in spans.text_blocks(column):
+        """(first row, end row, their ids, number of ids of each row), block by block; a long text's ids come together."""
+        held: list[np.ndarray] = []
+        for a, b, data, offsets, _, last in spans.text_parts(column):
             ids, counts = self._block(data, offsets, False)
+            if held or not last:
+                held.append(ids)
+                if not last:
+                    continue
+                ids = np.concatenate(held)
+                counts, held = np.array([len(ids)]), []
             yield a, b, ids, counts
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """The number of ids of each row."""
-        return np.concatenate([np.zeros(0, np.int64)] + [self._block(data, offsets, True)[1] for _, _, data, offsets in spans.text_blocks(column)])
+        out = np.zeros(len(column), np.int64)
+        for a, b, data, offsets, _, _ in spans.text_parts(column):
+            out[a:b] += self._block(data, offsets, True)[1]
+        return out
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}

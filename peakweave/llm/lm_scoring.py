@@ -5,9 +5,10 @@ steps over those counts turn the vocabulary's own scores into piece
 probabilities; a text's probability is the product over its words of the sum
 over all segmentations, times that of the end.
 
-The HOT most frequent words (a fixed number) go to every task with their counts
-and probabilities; all other words of a document are joined with the counts,
-however many there are.
+The HOT most frequent words (a fixed number, and HOT_BYTES at most) go to every
+task with their counts and probabilities; all other words of a document are joined
+with the counts, however many there are.  Words are found by hashes and compared
+byte by byte; those that share a hash are counted apart.
 
 Defined results: a null or empty text has the end token alone; a null id counts
 as the empty string in the split; repeated rows are scored each for itself and
@@ -29,12 +30,12 @@ from pyspark.sql import types as T
 
 from .common import remainder, summed, texts, written
 from .lattice import Lattice, load_pieces
-from .spans import _LOWER, HashTable, span_hashes, text_blocks, words
+from .spans import LONG, SpanTable, padded, same_spans, span_hashes, text_parts, words
 
 #: Words that every task gets with their counts.
-HOT = 1 << 17
+HOT, HOT_BYTES = 1 << 17, 1 << 22
 #: Words that a task counts before it hands them on.
-HELD = 1 << 17
+HELD, HELD_BYTES = 1 << 17, 1 << 24
 #: Expected counts are added up as whole multiples of this, so that no order matters.
 UNIT = 2.0**-16
 #: Added to the expected count of each piece.
@@ -44,37 +45,51 @@ ROUNDS = 2
 LN10 = math.log(10)
 
 
+def _agree(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which spans hold the same bytes as the span whose number is given for each."""
+    size = ends - starts
+    out = size == size[other]
+    out[out] = same_spans(pad, starts[out], pad, starts[other[out]], size[out])
+    return out
+
+
 def _count_words(rows: DataFrame) -> DataFrame:
     """(word, c): how often each word occurs, A-Z as a-z."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, names, counts = HashTable(19), [], np.zeros(HELD, np.int64)
+        table, counts = SpanTable(19), np.zeros(HELD, np.int64)
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(counts[: len(names)])], ["word", "c"])
+        def record(names: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n)], ["word", "c"])
 
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column(0)):
+            for _, _, data, offsets, _, _ in text_parts(batch.column(0)):
                 starts, ends, _ = words(data, offsets)
                 if not len(starts):
                     continue
-                new, at, n = np.unique(span_hashes(data, starts, ends, True), return_index=True, return_counts=True)
-                row = table.find(new)
-                fresh = np.flatnonzero(row < 0)
-                if len(names) + len(fresh) > HELD:
-                    yield flush()
-                    table, names = HashTable(19), []
-                    counts = np.zeros(max(HELD, len(new)), np.int64)
-                    if len(new) > table.limit:
-                        table = HashTable(len(new).bit_length() + 2)
+                pad = padded(data, True)
+                h = span_hashes(pad, starts, ends)
+                new, at, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                # A word stands for all that have its hash; one that differs is handed on by itself.
+                odd = np.flatnonzero(~_agree(pad, starts, ends, at[which]))
+                n -= np.bincount(which[odd], minlength=len(new))
+                row = table.find(pad, starts[at], ends[at], new)
+                fresh = np.flatnonzero(row == -1)
+                if table.n + len(fresh) > HELD or table.n_bytes > HELD_BYTES:
+                    yield record(table.spans(), counts[: table.n])
+                    table, counts = SpanTable(19), np.zeros(max(HELD, len(new)), np.int64)
+                    if len(new) > table.table.limit:
+                        table = SpanTable(len(new).bit_length() + 2)
                     row, fresh = np.full(len(new), -1), np.arange(len(new))
-                raw = _LOWER[data].tobytes()
-                row[fresh] = len(names) + np.arange(len(fresh))
-                table.add(new[fresh], row[fresh])
-                names += [raw[a:b] for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist())]
-                counts[row] += n
-        if names:
-            yield flush()
+                row[fresh] = table.n + np.arange(len(fresh))
+                table.add(pad, starts[at[fresh]], ends[at[fresh]], new[fresh])
+                kept = row >= 0
+                counts[row[kept]] += n[kept]
+                odd = np.concatenate([odd, at[~kept]])
+                if len(odd):
+                    yield record([pad[a:b].tobytes() for a, b in zip(starts[odd].tolist(), ends[odd].tolist())], np.concatenate([np.ones(len(odd) - int((~kept).sum()), np.int64), n[~kept]]))
+        if table.n:
+            yield record(table.spans(), counts[: table.n])
 
     return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -94,26 +109,28 @@ def _expect(vocab: DataFrame, pieces: list[bytes], log_p: np.ndarray) -> np.ndar
 
 
 def _most_frequent(vocab: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The words from some count on, HOT of them at most, and their counts."""
-    level = F.floor(F.log2("c") * 8).cast("int")
-    n = {r["level"]: r["n"] for r in vocab.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # one row for each eighth of a doubling
-    total, least = 0, None
+    """The words from some count on, HOT of them and HOT_BYTES at most, and their counts; long words are never among them."""
+    level, short = F.floor(F.log2("c") * 8).cast("int"), F.length("word") <= LONG
+    n = {r["level"]: r for r in vocab.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("b")).collect()}  # one row for each eighth of a doubling
+    total, size, least = 0, 0, None
     for at in sorted(n, reverse=True):
-        total += n[at]
-        if total > HOT:
+        total, size = total + n[at]["n"], size + n[at]["b"]
+        if total > HOT or size > HOT_BYTES:
             break
         least = at
     if least is None:
         return [], np.zeros(0, np.int64)
-    hot = vocab.where(level >= least).select("word", "c").toArrow().sort_by("word")
+    hot = vocab.where(short & (level >= least)).select("word", "c").toArrow().sort_by("word")
     return hot["word"].to_pylist(), hot["c"].to_numpy()
 
 
-def lm_scores(docs: DataFrame, vocabulary: str, folds: int = 10, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: str, folds: int = 10, fold: int = 0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     vocabulary: path of a sentencepiece model whose pieces are used.  Rows whose
-    crc32(id as text) mod `folds` is not `fold` are learned from.
+    crc32(id as text) mod `folds` is not `fold` are learned from.  rounds:
+    expectation steps that turn the vocabulary's scores into piece probabilities;
+    with 0 the scores weight the segmentations as they are.
     """
     rows = texts(docs, id_col, text_col)
     rows = rows.withColumn("held_out", remainder(F.col("doc_id"), folds) == fold)
@@ -126,54 +143,69 @@ def lm_scores(docs: DataFrame, vocabulary: str, folds: int = 10, fold: int = 0,
 
     pieces, log_p = load_pieces(vocabulary)
     end = n_texts + PIECE_PRIOR
-    for _ in range(ROUNDS):
+    share = end / (n + 2 * PIECE_PRIOR)
+    log_p = log_p + math.log1p(-share)
+    for _ in range(rounds):
         weight = _expect(vocab, pieces, log_p) + PIECE_PRIOR
-        total = weight.sum() + end
-        log_p = np.log(weight / total)
-    end_score = math.log10(end / total)
+        share = end / (weight.sum() + end)
+        log_p = np.log(weight / (weight.sum() + end))
+    end_score = math.log10(share)
 
     hot_words, hot_counts = _most_frequent(vocab)
     model = Lattice(pieces, log_p)
     hot_scores = model.log_marginals(hot_words) / LN10
-    data = np.frombuffer(b"".join(hot_words), np.uint8)
-    ends = np.cumsum([len(w) for w in hot_words]).astype(np.int64)
-    hashes = span_hashes(data, ends - np.array([len(w) for w in hot_words], np.int64), ends, False) if hot_words else np.zeros(0, np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast((hashes, hot_counts, hot_scores, pieces, log_p))
+    shared = rows.sparkSession.sparkContext.broadcast((hot_words, hot_counts, hot_scores, pieces, log_p))
     id_type = rows.schema["doc_id"].dataType
     parts = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, scores, _, _ = shared.value
-        table = HashTable(max(10, len(hashes).bit_length() + 2))
-        table.add(hashes, np.arange(len(hashes)))
-        base_of = np.append(np.log10(counts + 0.1), 0.0)
-        score_of, one = np.append(scores, 0.0), np.append(np.ones(len(counts)), 0.0)
+        hot_words, counts, scores, _, _ = shared.value
+        table = SpanTable(max(10, len(hot_words).bit_length() + 2))
+        sizes = np.array([len(w) for w in hot_words], np.int64)
+        hot, ends = padded(np.frombuffer(b"".join(hot_words), np.uint8)), np.cumsum(sizes)
+        h = span_hashes(hot, ends - sizes, ends)
+        once = np.sort(np.unique(h, return_index=True)[1])  # of two hot words with one hash, one is joined like any other
+        table.add(hot, (ends - sizes)[once], ends[once], h[once])
+        base_of = np.append(np.log10(counts[once] + 0.1), 0.0)
+        score_of, one = np.append(scores[once], 0.0), np.append(np.ones(len(once)), 0.0)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
+            for a, b, data, offsets, begins, last in text_parts(batch.column(1)):
                 m = b - a
                 starts, ends, first = words(data, offsets)
-                h = span_hashes(data, starts, ends, True)
+                pad = padded(data, True)
+                h = span_hashes(pad, starts, ends)
                 doc = np.repeat(np.arange(m), np.diff(first))
-                at = table.find(h)
-                # One row for each document: what its hot words and its end give; its key is no word, for it has a blank.
+                at = np.maximum(table.find(pad, starts, ends, h), -1)
+                # One row for each document (or part of one): what its hot words and its end give; its key is no word, for it has a blank.
                 n_words = np.diff(first)
-                known = np.bincount(doc, one[at], m).astype(np.int64) + (n_texts > 0)
-                base = np.bincount(doc, base_of[at], m) + math.log10(n_texts + 0.1) - (n_words + 1) * math.log10(whole)
-                columns = [np.arange(row, row + m), None, None, [b" " + int(r).to_bytes(8, "big") for r in range(row, row + m)], n_words + 1, known, base, np.bincount(doc, score_of[at], m) + end_score]
+                known = np.bincount(doc, one[at], m).astype(np.int64)
+                base = np.bincount(doc, base_of[at], m) - n_words * math.log10(whole)
+                lm = np.bincount(doc, score_of[at], m)
+                if last:
+                    known, base, lm = known + (n_texts > 0), base + math.log10(n_texts + 0.1) - math.log10(whole), lm + end_score
+                columns = [np.arange(row, row + m), None, None, [b" " + int(r).to_bytes(8, "big") for r in range(row, row + m)], n_words + last, known, base, lm]
                 yield _record(parts, columns, batch.column(0).slice(a, m), batch.column(2).slice(a, m))
                 # One row for each other word of each document.
                 rare = np.flatnonzero(at < 0)
                 if len(rare):
                     order = rare[np.lexsort((h[rare], doc[rare]))]
-                    edge = np.flatnonzero(np.concatenate(([True], (np.diff(doc[order]) != 0) | (h[order][1:] != h[order][:-1]))))
+                    before = np.concatenate((order[:1], order[:-1]))
+                    new = (doc[order] != doc[before]) | (h[order] != h[before])
+                    new[0] = True
+                    size = ends[order] - starts[order]
+                    old = np.flatnonzero(~new)
+                    new[old] = size[old] != (ends - starts)[before[old]]
+                    old = np.flatnonzero(~new)
+                    new[old] = ~same_spans(pad, starts[order[old]], pad, starts[before[old]], size[old])
+                    edge = np.flatnonzero(new)
                     times, order = np.diff(np.append(edge, len(order))), order[edge]
-                    raw = _LOWER[data].tobytes()
+                    raw = pad.tobytes()
                     names = [raw[x:y] for x, y in zip(starts[order].tolist(), ends[order].tolist())]
                     k = len(order)
                     zero = np.zeros(k)
                     yield _record(parts, [row + doc[order], None, None, names, times, np.zeros(k, np.int64), zero, zero], pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.bool_()))
-                row += m
+                row += m if last else 0
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, _, pieces, log_p = shared.value

@@ -1,13 +1,16 @@
 """Vectorised work on the bytes of many texts at once: words, chunks, hashes.
 
 Arrow string arrays are read where they lie.  Words are found with a table of
-byte classes, and each gets a 64-bit hash from prefix sums, so no Python object
-is made for a word.  Functions take and give numpy arrays; blocks hold about
-`BLOCK` bytes, so memory does not follow the size of a partition.
+byte classes and hashed eight bytes at a time, so no Python object is made for a
+word.  Where a hash stands for a span, its bytes are compared as well
+(`SpanTable`).  Functions take and give numpy arrays; blocks hold about `BLOCK`
+bytes, and a longer text comes in parts, so memory does not follow the size of a
+partition or of a text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,23 +24,20 @@ _LETTER = np.zeros(256, bool)
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 _OTHER = np.zeros(256, bool)
 _OTHER[:128] = ~_LETTER[:128]
+#: 1: white space, 2: an ASCII letter, 3: another ASCII character, 0: the rest; and between which a chunk ends.
+_KIND = (_WHITE + 2 * _LETTER + 3 * (_OTHER & ~_WHITE)).astype(np.uint8)
+_CUTS = np.zeros(16, bool)
+_CUTS[[0 * 4 + 1, 2 * 4 + 1, 3 * 4 + 1, 2 * 4 + 3]] = True
+_ALNUM = _LETTER.copy()
+_ALNUM[48:58] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if len(_powers[0]) < n:
-        n = max(n, BLOCK + 4096)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+_STEP, _STEP2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The low bytes of 8: _MASK[n] keeps n of them.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans of more bytes are hashed and compared one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,6 +74,41 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterat
         row += len(part)
 
 
+def _cut_places(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Places in (lo, hi) before ASCII white space that follows an ASCII letter or digit, with no "<" in the bytes before: words, chunks and tokens all end there."""
+    white, word = _WHITE[data[lo + 1 : hi]], _ALNUM[data[lo : hi - 1]]
+    at = lo + 1 + np.flatnonzero(white & word)
+    opened = lo + np.flatnonzero(data[lo:hi] == 0x3C)
+    if len(opened):
+        last = np.concatenate(([-64], opened))[np.searchsorted(opened, at)]
+        at = at[at - last > 32]
+    return at
+
+
+def text_parts(column: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool, bool]]:
+    """As text_blocks, and whether the block begins its first text and ends its last one: a text of more than two blocks comes in parts.
+
+    Parts begin with white space; a text without a place to cut is one part.
+    """
+    for first, end, data, offsets in text_blocks(column, size):
+        if len(data) <= 2 * size:
+            yield first, end, data, offsets, True, True
+            continue
+        done = 0
+        while done < len(data):
+            cut, look = len(data), done + size
+            while look < len(data):
+                at = _cut_places(data, look - 1, min(len(data), look + (1 << 16)))
+                if len(at):
+                    cut = int(at[0])
+                    break
+                look += 1 << 16
+            if len(data) - cut < size // 4:
+                cut = len(data)
+            yield first, end, data[done:cut], np.array([0, cut - done]), done == 0, cut == len(data)
+            done = cut
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and the first word of each text (one more than texts).
 
@@ -106,37 +141,58 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n:
-        white, letter, other = _WHITE[data], _LETTER[data], _OTHER[data]
-        cut[1:n] = (white[1:] & ~white[:-1]) | (letter[:-1] & other[1:])
+        kind = _KIND.take(data)
+        cut[1:n] = _CUTS.take(kind[:-1] * np.uint8(4) + kind[1:])
     cut[offsets] = True
     cut[n] = False
     starts = np.flatnonzero(cut)
     return starts, np.append(starts[1:], n) if len(starts) else starts, np.searchsorted(starts, offsets)
 
 
-def prefix_sums(data: np.ndarray, lower: bool) -> np.ndarray:
-    """Sums from which any span's hash follows, A-Z as a-z if `lower`."""
-    n = len(data)
-    power, _ = _power_tables(n + 1)
-    value = (_LOWER[data] if lower else data).astype(np.uint64)
-    value += np.uint64(1)
-    value *= power[:n]
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(value, out=total[1:])
-    return total
+def padded(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The bytes, A-Z as a-z if `lower`, and eight more, so that eight can be read from any place on."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=out[: len(data)]) if lower else np.copyto(out[: len(data)], data)
+    return out
+
 
+def _eights(pad: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ndarray((len(pad) - 7,), "<u8", pad, strides=(1,))
 
-def hashes_of(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans.  Equal bytes give equal hashes; 0 does not occur."""
-    _, inverse = _power_tables(len(total))
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64)) | np.uint64(1)
 
+def span_hashes(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, wide: bool = False):
+    """64-bit hashes of spans of padded bytes; wide: two arrays, 128 bits in all.  Equal bytes give equal hashes; 0 does not occur.
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of the spans, A-Z as a-z if `lower`."""
-    return hashes_of(prefix_sums(data, lower), starts, ends)
+    Spans of one length up to 8 bytes have different hashes if they differ.
+    """
+    eights, size = _eights(pad), ends - starts
+    out = [mix(size.astype(np.uint64) * step + np.uint64((seed + i) % (1 << 64))) for i, step in enumerate((_STEP, _STEP2)[: 1 + wide])]
+    for j in range(0, min(LONG, int(size.max(initial=0))), 8):
+        at = slice(None) if j == 0 else np.flatnonzero((size > j) & (size <= LONG))
+        part = eights[starts[at] + j] & _MASK[np.minimum(size[at] - j, 8)]
+        out[0][at] = mix(out[0][at] ^ part)
+        if wide:
+            out[1][at] = mix(out[1][at] * _STEP + part)
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(pad[starts[i] : ends[i]].data, digest_size=16, key=seed.to_bytes(8, "little")).digest()
+        for x, v in zip(out, np.frombuffer(digest, np.uint64)):
+            x[i] = v
+    for x in out:
+        x[x == 0] = 1
+    return tuple(out) if wide else out[0]
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans, of the same sizes, hold the same bytes in the padded arrays a and b."""
+    x, y, out = _eights(a), _eights(b), np.ones(len(size), bool)
+    for j in range(0, min(LONG, int(size.max(initial=0))), 8):
+        at = np.arange(len(size)) if j == 0 else np.flatnonzero((size > j) & (size <= LONG))
+        out[at] &= (x[a_starts[at] + j] ^ y[b_starts[at] + j]) & _MASK[np.minimum(size[at] - j, 8)] == 0
+    for i in np.flatnonzero(size > LONG).tolist():
+        n = int(size[i])
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + n], b[b_starts[i] : b_starts[i] + n])
+    return out
 
 
 def unusual(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -201,3 +257,48 @@ class HashTable:
             left = left[~won]
             slot[left] = (slot[left] + 1) & mask
         self.n += len(h)
+
+
+class SpanTable:
+    """Distinct spans of bytes, numbered as they come.  Keys are hashes, and a hit counts only where the bytes agree."""
+
+    def __init__(self, bits: int):
+        self.table = HashTable(bits)
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.bytes, self.n_bytes = np.zeros(1 << 16, np.uint8), 0
+
+    @property
+    def n(self) -> int:
+        return self.table.n
+
+    def find(self, pad: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of each span of padded bytes with hashes h; -1 where it is not there, -2 where another has its hash."""
+        row = self.table.find(h)
+        hit = np.flatnonzero(row >= 0)
+        at, size = row[hit], (ends - starts)[hit]
+        same = self.size[at] == size
+        same[same] = same_spans(self.bytes, self.start[at[same]], pad, starts[hit[same]], size[same])
+        row[hit[~same]] = -2
+        return row
+
+    def add(self, pad: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
+        """Adds spans whose hashes are distinct and not there yet, in the order given."""
+        n, m, size = self.n, self.n + len(h), ends - starts
+        while len(self.start) < m:
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        total = np.cumsum(size)
+        grown = int(total[-1]) if len(total) else 0
+        while len(self.bytes) < self.n_bytes + grown + 8:
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        self.start[n:m], self.size[n:m] = self.n_bytes + total - size, size
+        self.bytes[self.n_bytes : self.n_bytes + grown] = pad[np.repeat(starts - total + size, size) + np.arange(grown)]
+        self.n_bytes += grown
+        self.table.add(h, np.arange(n, m))
+
+    def span(self, row: int) -> bytes:
+        return self.bytes[self.start[row] : self.start[row] + self.size[row]].tobytes()
+
+    def spans(self) -> list[bytes]:
+        """All spans in order."""
+        raw = self.bytes[: self.n_bytes].tobytes()
+        return [raw[a : a + b] for a, b in zip(self.start[: self.n].tolist(), self.size[: self.n].tolist())]

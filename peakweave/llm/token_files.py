@@ -1,15 +1,18 @@
 """Token-ID files, compressed by Re-Pair grammars.
 
-Documents are range-sorted by id and encoded; each task cuts its ids into
-shards of about `shard_ids` ids (a document is never cut) and stores each as a
-grammar with rules and expansion lengths, so any document can be decoded alone.
-Files are Parquet with one row for a shard: part, block, first (ids before it in
-its part), n_ids, doc_ids, counts (ids of each document) and grammar.  Spark's
-committer writes them, so a lost task leaves nothing half done.
+Documents are range-sorted by id (and by their place in the input, so that an id
+that many rows share is split as any other range) and encoded; each task cuts its
+ids into shards of about `shard_ids` ids (a document is never cut) and stores each
+as grammars with rules and expansion lengths, so any document can be decoded
+alone.  A grammar covers 2 * `shard_ids` ids at most: a shard has one, or several
+if it holds a very long document.  Files are Parquet with one row for a shard:
+part, block, first (ids before it in its part), n_ids, doc_ids, counts (ids of
+each document) and grammars.  Spark's committer writes them, so a lost task leaves
+nothing half done.
 
 Defined results: a null text is empty and gives the end id alone; a null id
-sorts first; repeated ids are documents of their own, in any order among
-themselves; an empty table gives no shard.
+sorts first; repeated ids are documents of their own, in the order of the input;
+an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ from .encoding import encoder
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool = True, shard_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes the documents in ascending order of their ids and writes the shards to `path`."""
-    rows = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = texts(docs, id_col, text_col).withColumn("_nth", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "_nth").sortWithinPartitions("doc_id", "_nth").drop("_nth")
     id_type = rows.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("grammar", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("grammars", T.ArrayType(T.BinaryType()))])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced)
@@ -47,12 +51,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
 
         def close() -> pa.RecordBatch:
             nonlocal block, first, held
-            packed = grammar.pack(grammar.compress(np.concatenate(ids), base))
-            columns = [[part], [block], [first], [held], [pa.concat_arrays(names)], [np.concatenate(counts)], [packed]]
-            arrays = [pa.array(c, t) for c, t in zip(columns[:4], (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(columns[4][0])], pa.int32()), columns[4][0]))
-            arrays.append(pa.array([columns[5][0].tolist()], pa.list_(pa.int64())))
-            arrays.append(pa.array([packed], pa.binary()))
+            whole = np.concatenate(ids)
+            n_parts = max(1, len(whole) // shard_ids)
+            packed = [grammar.pack(grammar.compress(x, base)) for x in np.array_split(whole, n_parts)]
+            arrays = [pa.array([c], t) for c, t in zip((part, block, first, held), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+            doc_ids, n = pa.concat_arrays(names), pa.array(np.concatenate(counts))
+            arrays += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (doc_ids, n, pa.array(packed, pa.binary()))]
             block, first, held = block + 1, first + held, 0
             for x in (ids, names, counts):
                 x.clear()
@@ -98,16 +102,23 @@ def _read(spark: SparkSession, path: str, name: str, kind, arrow_kind, made) ->
             for i in range(batch.num_rows):
                 part, first = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 doc_ids, counts = batch.column(2)[i].values, batch.column(3)[i].values.to_numpy()
-                raw = grammar.Decoder(grammar.unpack(batch.column(4)[i].as_py())).all().astype("<u4").tobytes()
+                packed = batch.column(4)[i].values
+                raw = b"".join(grammar.Decoder(grammar.unpack(x.as_buffer())).all().astype("<u4").tobytes() for x in packed)
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 out = [made(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + first + before[part]), pa.array(counts), pa.array(out, arrow_kind)], schema.names)
 
-    return files.select("part", "first", "doc_ids", "counts", "grammar").mapInArrow(documents, schema)
+    return files.select("part", "first", "doc_ids", "counts", "grammars").mapInArrow(documents, schema)
 
 
 def decode_document(row, index: int) -> np.ndarray:
     """The ids of one document of a shard row, by random access into its grammar."""
-    first = int(sum(row.counts[:index]))
-    return grammar.Decoder(grammar.unpack(bytes(row.grammar))).slice(first, int(row.counts[index]))
+    first, n, out = int(sum(row.counts[:index])), int(row.counts[index]), []
+    for raw in row.grammars:
+        g = grammar.unpack(bytes(raw))
+        if n > 0 and first < g.n_ids:
+            out.append(grammar.Decoder(g).slice(first, n))
+            n -= len(out[-1])
+        first = max(0, first - g.n_ids)
+    return np.concatenate(out)

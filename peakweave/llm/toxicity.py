@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder, texts, with_columns
-from .spans import HashTable, hashes_of, mix, prefix_sums, text_blocks
+from .spans import HashTable, mix, padded, span_hashes, text_blocks
 
 SAMPLE, VOTERS = 6_000, 512
 #: Bytes of the beginnings of words, and the numbers of occurrences that vote.
@@ -75,12 +75,12 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
     if len(ends) < len(starts):
         ends = np.append(ends, n)
-    total = prefix_sums(data, True)
+    pad = padded(data, True)
     owner = np.searchsorted(offsets, starts, "right") - 1
-    out, owners = [hashes_of(total, starts, ends)], [owner]
+    out, owners = [span_hashes(pad, starts, ends)], [owner]
     for size in BEGINNINGS:
         longer = np.flatnonzero(ends - starts > size)
-        out.append(hashes_of(total, starts[longer], starts[longer] + size))
+        out.append(span_hashes(pad, starts[longer], starts[longer] + size))
         owners.append(owner[longer])
     return np.concatenate(out) & ~np.uint64(3), np.concatenate(owners)
 
