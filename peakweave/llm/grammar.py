@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .spans import _STEP, HashTable
+
 MAGIC = 0x52505231
 
 
@@ -44,7 +46,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = 12, per_round: int = 4096
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        keys = ((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]) + np.uint64(1)
         order = np.sort(keys)
         edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         count = np.diff(np.append(edge, len(order)))
@@ -55,11 +57,13 @@ def compress(ids: np.ndarray, base: int, rounds: int = 12, per_round: int = 4096
         if not len(often) or count[often].sum() < gain * len(seq):
             break
         pairs = order[edge[often]]
-        at = np.searchsorted(pairs, keys)
-        at[at == len(pairs)] = 0
-        hit = pairs[at] == keys
+        # An odd factor maps different keys to different numbers, so a hit in the table is exact.
+        table = HashTable(max(10, len(pairs).bit_length() + 2))
+        table.add(pairs * _STEP, np.arange(len(pairs)))
+        at = table.find(keys * _STEP)
+        pairs = pairs - np.uint64(1)
         # In a run of hits that follow one another, take every second from the first.
-        where = np.flatnonzero(hit)
+        where = np.flatnonzero(at >= 0)
         new_run = np.concatenate(([True], np.diff(where) != 1))
         start = np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))
         where = where[(np.arange(len(where)) - start) % 2 == 0]
