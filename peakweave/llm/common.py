@@ -17,17 +17,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """A folder of this application in the one that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder stands for it on a local master; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/peakweave-checkpoints"
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/peakweave/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared one, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder; results that were not written or collected are lost."""
+    remove(spark, shared_dir(spark))
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors cost no result."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/peakweave/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,18 +14,20 @@ that suits best, words without a letter counting as LETTERLESS n-grams of ratio
 each, through a logistic curve.  The curve is fitted on the rows that the training left out, each
 once with its own language and once as if that had not been learned.
 
-Bounds: at most PER_LANG sampled rows of each language and LANGUAGES languages,
-the most frequent ones.
+Bounds: the weights are fitted on about PER_LANG sampled rows of each language
+(chosen by a hash, a repeated row once); every language that occurs is learned.
 
 Defined results: `und` with score 0 for a null text, a text without a letter,
-and for all rows if nothing can be learned from; confidence is 0 for `und`, and 1
-for all others if no row was left out to fit it on; repeated rows are judged each
-for itself; other columns are not read.
+and for all rows if nothing can be learned from; of languages with equal scores
+the first by name; confidence is 0 for `und`, and 1 for all others if no row was
+left out to fit it on; repeated rows are judged each for itself; other columns are
+not read.  A long text is read in parts, and its n-grams are those of the whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remainder, summed, texts, with_columns
-from .spans import text_blocks, words
+from .spans import text_parts, words
 
 BITS = 16
 ORDERS = (1, 2, 3)
-PER_LANG, LANGUAGES = 400, 64
+PER_LANG = 400
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-4
 #: Features are shares, far below 1; this brings them to a scale that suits the rates above.
 SCALE = 50.0
@@ -63,8 +65,12 @@ def _characters() -> np.ndarray:
     return _maps["lower"]
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of a block of texts, the text of each, and which texts have a letter."""
+def ngrams(data: np.ndarray, offsets: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of a block of texts, the text of each, which texts have a letter, and the last characters.
+
+    before: the last characters of the part before, if the block is a part of a
+    text that goes on; its n-grams then are those that end in this part.
+    """
     m = len(offsets) - 1
     lead = (data & 0xC0) != 0x80
     at = np.concatenate(([0], np.cumsum(lead)))[offsets]
@@ -72,12 +78,17 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(m), np.diff(at))
     letter = c != 32
     has = np.bincount(text[letter], minlength=m) > 0
-    # Runs of blanks count once; a text begins and ends with one.
+    # Runs of blanks count once.
     keep = letter.copy()
     keep[1:] |= (letter[:-1]) | (text[1:] != text[:-1])
     keep[:1] = True
+    done = 0 if before is None else len(before)
+    if done and len(c) and before[-1] == 32 and c[0] == 32:
+        keep[0] = False
     c, text = c[keep], text[keep]
-    grams, owners = [], []
+    if done:
+        c, text = np.concatenate([before, c]), np.concatenate([np.zeros(done, text.dtype), text])
+    grams, owners = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     h = np.zeros(len(c), np.uint32)
     for n in ORDERS:
         k = len(c) - n + 1
@@ -85,14 +96,62 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         h = (h[:k] * np.uint32(0x9E3779B1) + c[n - 1 :]) if n > 1 else c.copy()
         inside = text[:k] == text[n - 1 :]
+        inside[: max(0, done - n + 1)] = False
         x = (h + np.uint32(n * 0x51ED27)) * np.uint32(0x85EBCA6B)
         x ^= x >> np.uint32(15)
         x *= np.uint32(0xC2B2AE35)
         grams.append((x >> np.uint32(32 - BITS))[inside])
         owners.append(text[:k][inside])
-    if not grams:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), has
-    return np.concatenate(grams), np.concatenate(owners), has
+    return np.concatenate(grams), np.concatenate(owners), has, c[max(0, len(c) - ORDERS[-1] + 1) :]
+
+
+class Grams(NamedTuple):
+    """The n-grams of a block of texts: its first and end row, buckets, the text of each, how often each counts (None: once), which texts have a letter, and words without a letter."""
+
+    first: int
+    end: int
+    gram: np.ndarray
+    owner: np.ndarray
+    times: np.ndarray | None
+    has: np.ndarray
+    letterless: np.ndarray
+
+    def totals(self) -> np.ndarray:
+        return np.bincount(self.owner, self.times, self.end - self.first).astype(np.int64)
+
+    def means(self, weights: np.ndarray) -> np.ndarray:
+        """The mean weight (buckets x columns) of the n-grams of each text."""
+        m, n = self.end - self.first, np.maximum(1, self.totals())
+        out = np.empty((m, weights.shape[1]))
+        for i in range(weights.shape[1]):
+            w = weights[:, i][self.gram]
+            out[:, i] = np.bincount(self.owner, w if self.times is None else w * self.times, m) / n
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct buckets by text, how often each occurs, and the first of each text (one more than texts)."""
+        if self.times is not None:
+            return self.gram.astype(np.int64), self.times, np.array([0, len(self.gram)])
+        x, n = np.unique((self.owner.astype(np.uint64) << np.uint64(BITS)) | self.gram, return_counts=True)
+        return (x & np.uint64((1 << BITS) - 1)).astype(np.int64), n, np.searchsorted(x >> np.uint64(BITS), np.arange(self.end - self.first + 1))
+
+
+def gram_blocks(column: pa.Array) -> Iterator[Grams]:
+    """The n-grams of all texts, block by block; those of a long text are counted part by part."""
+    count, before, has, letterless = None, None, False, 0
+    for a, b, data, offsets, begins, last in text_parts(column):
+        if begins and last:
+            gram, owner, with_letter, _ = ngrams(data, offsets)
+            yield Grams(a, b, gram, owner, None, with_letter, letterless_words(data, offsets))
+            continue
+        if begins:
+            count, before, has, letterless = np.zeros(1 << BITS, np.int64), None, False, 0
+        gram, _, with_letter, before = ngrams(data, offsets, before)
+        count += np.bincount(gram, minlength=1 << BITS)
+        has, letterless = has or bool(with_letter[0]), letterless + int(letterless_words(data, offsets)[0])
+        if last:
+            gram = np.flatnonzero(count)
+            yield Grams(a, b, gram, np.zeros(len(gram), np.int64), count[gram], np.array([has]), np.array([letterless]))
 
 
 def letterless_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -110,11 +169,9 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """How many texts hold each n-gram bucket; the last number counts the texts."""
     out = np.zeros((1 << BITS) + 1, np.int64)
     for batch in batches:
-        for a, b, data, offsets in text_blocks(batch.column(0)):
-            gram, owner, _ = ngrams(data, offsets)
-            pairs = np.unique((owner.astype(np.uint64) << np.uint64(BITS)) | gram)
-            out[:-1] += np.bincount((pairs & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
-            out[-1] += b - a
+        for x in gram_blocks(batch.column(0)):
+            out[:-1] += np.bincount(x.pairs()[0], minlength=1 << BITS)
+            out[-1] += x.end - x.first
     return out
 
 
@@ -123,21 +180,19 @@ def _vectors(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray, int,
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                gram, owner, has = ngrams(data, offsets)
-                pairs, n = np.unique((owner.astype(np.uint64) << np.uint64(BITS)) | gram, return_counts=True)
-                cut = np.searchsorted(pairs >> np.uint64(BITS), np.arange(b - a + 1))
-                which = (pairs & np.uint64((1 << BITS) - 1)).astype(np.int32)
-                rows = [i for i in range(b - a) if has[i]]
-                columns = [pa.array([batch.column(0)[a + i].as_py() for i in rows], pa.string())]
-                columns += [pa.array([x[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in rows], pa.binary()) for x in (which, n)]
-                columns.append(pa.array(letterless_words(data, offsets)[rows], pa.int64()))
+            for x in gram_blocks(batch.column(1)):
+                which, n, cut = x.pairs()
+                rows = np.flatnonzero(x.has).tolist()
+                columns = [pa.array([batch.column(0)[x.first + i].as_py() for i in rows], pa.string())]
+                columns += [pa.array([y[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in rows], pa.binary()) for y in (which, n)]
+                columns.append(pa.array(x.letterless[rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n", "letterless"])
 
     out = []
-    for r in sample.mapInArrow(make, "lang string, bucket binary, n binary, letterless long").collect():
-        n = np.frombuffer(r["n"], np.int32).astype(float)
-        out.append((r["lang"], np.frombuffer(r["bucket"], np.int32), n / n.sum(), int(n.sum()), r["letterless"]))
+    for r in sample.mapInArrow(make, "lang string, bucket binary, n binary, letterless long").collect():  # the sampled rows
+        n = np.frombuffer(r["n"], np.int32).astype(np.float32)
+        total = float(n.sum(dtype=float))
+        out.append((r["lang"], np.frombuffer(r["bucket"], np.int32), n / np.float32(total), int(total), r["letterless"]))
     return out
 
 
@@ -229,17 +284,14 @@ def language_model(docs: DataFrame, folds: int = 3, fold: int = 1, id_col: str =
     """Languages, weights with the inverse document frequencies in them, biases, temperature and what fit_confidence gives, learned from rows outside the fold."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((remainder(F.col("doc_id"), folds) != fold) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()  # one row for each language
     df = summed(rows.select("text"), _document_frequencies, (1 << BITS) + 1)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sample = None
-    for r in counts:
-        # A share of a hash, so that the same rows are taken on any cluster.
-        wanted = F.when(F.col("lang") == r["lang"], int(min(1.0, PER_LANG / r["count"]) * (1 << 20)) + 1)
-        sample = wanted if sample is None else F.coalesce(sample, wanted)
-    if sample is None:
+    if not counts:
         return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, (np.zeros((1 << BITS, 0), np.float32), 0.0, np.inf)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < sample).dropDuplicates(["doc_id", "text"]).limit(2 * PER_LANG * len(counts))
+    # A share of a hash, so that the same rows are taken on any cluster; the table has one row for each language.
+    wanted = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, PER_LANG / r["count"]) * (1 << 20)) + 1) for r in counts], "lang string, below int")
+    chosen = rows.join(F.broadcast(wanted), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("below")).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "text", "lang"])
     vectors = _vectors(chosen.select("lang", "text"))
     langs = sorted({v[0] for v in vectors})
     if not langs:
@@ -256,25 +308,19 @@ def with_language(docs: DataFrame, model: tuple, text_col: str = "text", pred: s
     def predict(column: pa.Array) -> list[pa.Array]:
         weights, ratio = shared.value
         names, scores, sure = [], [], []
-        for a, b, data, offsets in text_blocks(column):
-            m = b - a
-            if not langs:
-                names += ["und"] * m
-                scores += [0.0] * m
-                sure += [0.0] * m
-                continue
-            gram, owner, has = ngrams(data, offsets)
-            n = np.maximum(1, np.bincount(owner, minlength=m))
-            s = np.stack([np.bincount(owner, weights[:, i][gram], m) for i in range(len(langs))], axis=1) / n[:, None]
-            s = (s + bias) / temperature
+        if not langs:
+            names, scores, sure = ["und"] * len(column), [0.0] * len(column), [0.0] * len(column)
+        for x in gram_blocks(column) if langs else ():
+            s = (x.means(weights) + bias) / temperature
             p = np.exp(s - s.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            names += [langs[k] if ok else "und" for k, ok in zip(best.tolist(), has.tolist())]
-            scores += np.where(has, p[np.arange(m), best], 0.0).tolist()
+            names += [langs[k] if ok else "und" for k, ok in zip(best.tolist(), x.has.tolist())]
+            scores += np.where(x.has, p[np.arange(len(best)), best], 0.0).tolist()
             if confidence:
-                fit = np.max([np.bincount(owner, ratio[:, i][gram], m) for i in range(len(langs))], axis=0) / (n + LETTERLESS * letterless_words(data, offsets))
-                sure += np.where(has, 1 / (1 + np.exp(-np.clip(slope * fit + intercept, -700, 700))), 0.0).tolist()
+                n = np.maximum(1, x.totals())
+                fit = x.means(ratio).max(axis=1) * (n / (n + LETTERLESS * x.letterless))
+                sure += np.where(x.has, 1 / (1 + np.exp(-np.clip(slope * fit + intercept, -700, 700))), 0.0).tolist()
         out = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
         return [*out, pa.array(sure, pa.float64())] if confidence else out
 

@@ -40,7 +40,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/peakweave/token-files-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_files.token_file_digests(spark, path)
 

@@ -7,18 +7,24 @@ that occur in enough distinct toxic texts and hardly in others.  Patterns are
 shares of capitals, exclamation marks and symbols above a limit.  The given
 label is a voter too, and a fallible one.
 
-A generative label model with a hidden class estimates how often each voter
-fires in each class by expectation-maximisation; voters whose votes stay
-correlated once the class is known share one weight.  Its posteriors train a
-linear classifier (logistic regression with a ridge penalty) on the votes, and
-that classifier scores every row.
-
-Bounds: SAMPLE labelled rows, VOTERS word voters.
+A generative label model with a hidden class estimates by expectation-maximisation
+how often each voter, the given label included, fires in each class, and how
+voters depend on one another: in each class a voter's rate depends on whether its
+parent fires, and the parents make the tree that carries the most conditional
+mutual information.  A voter that does not fire abstains, which says nothing: toxic
+texts are of several kinds, and each voter knows one.  The model's posteriors train a linear classifier (logistic
+regression with a ridge penalty) on the votes, and that classifier scores every
+row.
+
+Bounds: SAMPLE labelled ids are learned from, chosen by a hash (of several texts
+of one id the least); the model has VOTERS word voters.  What occurs in the sample
+is counted by the executors; the driver gets features that can become voters.
 
 Defined results: a null or empty text has no vote and the score of such texts;
 without a labelled row every score is 0; a null id counts as the empty string
 in the split; several labels of one id count as one, toxic if half of them are;
-repeated rows are scored each for itself.  Other columns are not read.
+repeated rows are scored each for itself.  A long text is read in parts.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,23 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, texts, with_columns
-from .spans import HashTable, mix, padded, span_hashes, text_blocks
+from .common import remainder, summed, texts, with_columns, written
+from .spans import HashTable, mix, padded, span_hashes, text_parts
 
 SAMPLE, VOTERS = 6_000, 512
 #: Bytes of the beginnings of words, and the numbers of occurrences that vote.
 BEGINNINGS, TIMES = (5, 6, 7, 8, 9), (1, 2, 4)
 #: A word voter occurs in so many distinct toxic texts at least, with this share of toxic ones or more, and is as unlikely under the base rate.
 SUPPORT, PRECISION, DEVIATIONS = 4, 0.6, 5.0
-#: How often the given label is 1 in class 1 and in class 0; left free, a large group of voters would take class 1 for itself.
-LABEL_RIGHT, LABEL_WRONG = 0.95, 0.02
+#: What the given label's rates in class 1 and in class 0 are expected to be, and for how many times the rows labelled 1 that counts.
+LABEL_RIGHT, LABEL_WRONG, LABEL_PRIOR = 0.95, 0.02, 2.0
 #: A word is left out if a stronger voter occurs in this share of its toxic texts.
 ACCOMPANIED = 0.8
 #: Symbols and limits of the pattern voters: shares of capitals, of "!" and of symbols among all bytes.
 SYMBOLS = b"#*$%&|<>@~^"
 LIMITS = (0.5, 0.03, 0.05)
 ORDERS = 3
-ROUNDS, CORRELATED, RIDGE = 25, 0.15, 0.1
+#: Rounds of the label model, rows that a voter's rate in a class counts for where its parent's state is known too, and the ridge.
+ROUNDS, TREE_PRIOR, RIDGE = 25, 4.0, 0.1
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
@@ -85,104 +92,173 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(out) & ~np.uint64(3), np.concatenate(owners)
 
 
-def with_times(h: np.ndarray) -> np.ndarray:
+def with_times(h: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The distinct features of one text: its hashes, with the level of how often each occurs (1: once, 2: twice, 3: four times or more) in the low bits."""
-    base, n = np.unique(h, return_counts=True)
+    base, at = np.unique(h, return_inverse=True)
+    n = np.bincount(at, times, len(base))
     return np.sort(np.concatenate([base[n >= t] | np.uint64(level) for level, t in enumerate(TIMES, 1)]))
 
 
-def patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def pattern_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Capitals, exclamation marks, symbols and bytes of each text (texts x 4)."""
+    out = [np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets]) for mask in (_CAPITAL[data], data == 33, _SYMBOL[data])]
+    return np.stack([*out, np.diff(offsets)], axis=1)
+
+
+def patterns(counts: np.ndarray) -> np.ndarray:
     """Which pattern voters fire (texts x patterns)."""
-    size = np.maximum(1, np.diff(offsets))
-    out = []
-    for mask, limit in zip((_CAPITAL[data], data == 33, _SYMBOL[data]), LIMITS):
-        total = np.concatenate(([0], np.cumsum(mask)))[offsets]
-        out.append(np.diff(total) / size > limit)
-    return np.stack(out, axis=1)
+    return counts[:, :3] / np.maximum(1, counts[:, 3:]) > np.array(LIMITS)
+
+
+def text_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, features, the text of each, how often it occurs, patterns) block by block; a long text's features are counted part by part."""
+    held, counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
+    for a, b, data, offsets, begins, last in text_parts(column):
+        h, owner = word_features(data, offsets)
+        found = pattern_counts(data, offsets)
+        if begins and last:
+            yield a, b, h, owner, np.ones(len(h), np.int64), patterns(found)
+            continue
+        if begins:
+            held, counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
+        new, n = np.unique(h, return_counts=True)
+        both, at = np.unique(np.concatenate([held[0], new]), return_inverse=True)
+        held = both, np.bincount(at, np.concatenate([held[1], n]), len(both)).astype(np.int64)
+        counts = counts + found
+        if last:
+            yield a, b, held[0], np.zeros(len(held[0]), np.int64), held[1], patterns(counts)
+
+
+def features_by_text(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct features with how often they occur, patterns) of each text in order."""
+    for a, b, h, owner, times, found in text_features(column):
+        order = np.argsort(owner, kind="stable")
+        h, times, cut = h[order], times[order], np.searchsorted(owner[order], np.arange(b - a + 1))
+        for i in range(b - a):
+            yield with_times(h[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]]), found[i]
+
+
+def _toxic_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of enough distinct toxic rows, in how many toxic rows each occurs, and in how many distinct ones; sorted by feature."""
+    groups = [f"g{i}" for i in range(ORDERS)]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, _ in features_by_text(batch.column(0)):
+                if len(x):
+                    # Near copies count once: they share their smallest feature under most orders.
+                    least = [mix(x ^ np.uint64(i << 32)).min().astype(np.int64) for i in range(ORDERS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), *(pa.array(np.full(len(x), g, np.int64)) for g in least)], ["feature", *groups])
+
+    rows = sample.where("toxic = 1").select("text").mapInArrow(make, "feature long, " + ", ".join(f"{g} long" for g in groups))
+    found = rows.groupBy("feature").agg(F.count("*").alias("n"), *(F.size(F.collect_set(g)).alias(g) for g in groups))
+    found = found.select("feature", "n", F.greatest(*groups).alias("support")).where(F.col("support") >= SUPPORT).toArrow()
+    feature = found["feature"].to_numpy().view(np.uint64)
+    order = np.argsort(feature)
+    return feature[order], found["n"].to_numpy()[order], found["support"].to_numpy()[order].astype(np.int64)
+
 
+def _rows_with(sample: DataFrame, feature: np.ndarray) -> np.ndarray:
+    """In how many rows each of the features occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(len(feature), np.int64)
+        for batch in batches:
+            for x, _ in features_by_text(batch.column(0)):
+                out[np.flatnonzero(np.isin(feature, x, assume_unique=True))] += 1
+        return out
 
-def _votes_of_sample(sample: DataFrame) -> list:
-    """toxic, the distinct words (binary of hashes) and the patterns of each sampled row."""
+    return summed(sample.select("text"), count, len(feature)) if len(feature) else np.zeros(0, np.int64)
+
+
+def _votes(sample: DataFrame, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """toxic, which of the features (sorted) it holds, and the patterns of each sampled row, in a fixed order."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                h, owner = word_features(data, offsets)
-                order = np.argsort(owner, kind="stable")
-                h, cut = h[order], np.searchsorted(owner[order], np.arange(b - a + 1))
-                found = patterns(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([with_times(h[cut[i] : cut[i + 1]]).tobytes() for i in range(b - a)], pa.binary()), pa.array([x.tobytes() for x in found.astype(np.uint8)], pa.binary())], ["toxic", "words", "patterns"])
-
-    return sample.mapInArrow(make, "toxic int, words binary, patterns binary").collect()  # SAMPLE rows at most
-
-
-def mine_words(labels: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the words that become voters, the strongest first."""
-    if not len(labels) or not labels.any():
-        return np.zeros(0, np.uint64)
-    keep = [i for i in range(len(words)) if len(words[i])]
-    if not keep:
-        return np.zeros(0, np.uint64)
-    y = labels[keep]
-    bad = [i for i in keep if labels[i] == 1]
-    if not bad:
-        return np.zeros(0, np.uint64)
-    # Only what occurs in enough toxic texts is counted in all texts, text by text, which keeps this small.
-    word, n1 = np.unique(np.concatenate([words[i] for i in bad]), return_counts=True)
-    word, n1 = word[n1 >= SUPPORT], n1[n1 >= SUPPORT]
-    n = np.zeros(len(word), np.int64)
-    for i in keep:
-        n[np.flatnonzero(np.isin(word, words[i], assume_unique=True))] += 1
-    inside = [np.flatnonzero(np.isin(word, words[i], assume_unique=True)) for i in bad]
-    where, text = np.concatenate(inside), np.repeat(np.arange(len(bad)), [len(x) for x in inside])
-    support = np.zeros(len(word), np.int64)
-    # Near copies count once: they share their smallest feature under most orders.
-    for order_ in range(ORDERS):
-        group = np.unique([mix(words[i] ^ np.uint64(order_ << 32)).min() for i in bad], return_inverse=True)[1]
-        pairs = np.unique(where * len(bad) + group[text])
-        support = np.maximum(support, np.bincount(pairs // len(bad), minlength=len(word)))
-    rate = max(y.mean(), 1 / len(y))
+            holds, found = [], []
+            for x, p in features_by_text(batch.column(1)):
+                holds.append(np.packbits(np.isin(feature, x, assume_unique=True)).tobytes())
+                found.append(p.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(holds, pa.binary()), pa.array(found, pa.binary())], ["toxic", "holds", "patterns"])
+
+    got = sample.mapInArrow(make, "toxic int, holds binary, patterns binary").collect()  # SAMPLE rows at most, a bit for each feature
+    got.sort(key=lambda r: (r["toxic"], bytes(r["holds"]), bytes(r["patterns"])))
+    holds = np.array([np.unpackbits(np.frombuffer(r["holds"], np.uint8), count=len(feature)) for r in got], np.uint8).reshape(len(got), len(feature))
+    return np.array([r["toxic"] for r in got]), holds, np.array([np.frombuffer(r["patterns"], np.uint8) for r in got]).reshape(len(got), len(LIMITS))
+
+
+def candidates(feature: np.ndarray, n1: np.ndarray, n: np.ndarray, toxic: int, rows: int) -> np.ndarray:
+    """Places of the features that tell toxic rows from others, the strongest first: n1 of their n rows are toxic."""
+    rate = max(toxic, 1) / rows
     precision = (n1 + rate) / (n + 1)
     deviations = (n1 - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-9)
-    good = np.flatnonzero((support >= SUPPORT) & (precision >= PRECISION) & (deviations >= DEVIATIONS))
-    order = good[np.lexsort((word[good], -deviations[good]))][: 8 * VOTERS]
-    # A word whose toxic texts nearly all hold a stronger voter adds nothing (it shares a passage with that one).
-    place = np.full(len(word), -1)
-    place[order] = np.arange(len(order))
-    at = place[where]
-    holds = np.zeros((len(order), len(bad)), np.float32)
-    holds[at[at >= 0], text[at >= 0]] = 1
-    chosen: list[int] = []
-    for i in range(len(order)):
+    good = np.flatnonzero((precision >= PRECISION) & (deviations >= DEVIATIONS))
+    return good[np.lexsort((feature[good], -deviations[good]))][: 8 * VOTERS]
+
+
+def choose_voters(holds: np.ndarray) -> list[int]:
+    """The candidates (columns, the strongest first; toxic rows) that become voters: one whose toxic texts nearly all hold a stronger voter adds nothing (it shares a passage with that one)."""
+    holds, chosen = np.ascontiguousarray(holds.T, np.float32), []
+    for i in range(len(holds)):
         if not chosen or (holds[chosen] @ holds[i]).max() < ACCOMPANIED * holds[i].sum():
             chosen.append(i)
         if len(chosen) == VOTERS:
             break
-    return word[order[chosen]]
-
-
-def label_model(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Posterior probability of class 1 of each row (rows x voters of 0/1), by a generative model with fallible labels."""
-    fires = np.column_stack([votes, labels]).astype(float)
-    post = np.where(labels == 1, 0.9, 0.1 * labels.mean() + 0.01)
-    weight = np.ones(fires.shape[1])
+    return chosen
+
+
+def dependency_tree(fires: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """The parent of each voter (-1: none) in the tree of most mutual information between voters within the classes."""
+    k = fires.shape[1]
+    info = np.zeros((k, k))
+    for w in (post, 1 - post):
+        total = w.sum() + 4e-3
+        on = w @ fires + 2e-3
+        both = (fires * w[:, None]).T @ fires + 1e-3
+        off = total - on
+        for x, row, column in ((both, on, on), (on[:, None] - both, on, off), (on[None, :] - both, off, on), (total - on[:, None] - on[None, :] + both, off, off)):
+            x = np.maximum(x, 1e-3)
+            info += x * np.log(x * total / (row[:, None] * column[None, :]))
+    parent, best, left = np.full(k, -1), np.full(k, -np.inf), np.ones(k, bool)
+    at = 0
+    for _ in range(k):
+        left[at] = False
+        better = left & (info[at] > best)
+        best[better], parent[better] = info[at][better], at
+        if left.any():
+            at = int(np.argmax(np.where(left, best, -np.inf)))
+    return parent
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
+    """Posterior probability of class 1 of each row (rows x voters of 0/1), and the given label's estimated rates in class 1 and 0."""
+    fires, given = votes.astype(float), labels.astype(float)
+    rows = len(given)
+    post = np.where(labels == 1, 0.9, 0.1 * given.mean() + 0.01)
+    parent = np.full(fires.shape[1], -1)
+    before = np.zeros_like(fires)
     for step in range(ROUNDS):
-        n1 = post.sum() + 1e-9
-        n0 = len(post) - n1 + 1e-9
-        on1 = (post @ fires + 0.5) / (n1 + 1)
-        on0 = ((1 - post) @ fires + 0.5) / (n0 + 1)
-        on1[-1], on0[-1] = LABEL_RIGHT, LABEL_WRONG
-        if step >= ROUNDS // 2:
-            # What stays correlated once the class is known shares one weight.
-            rest = fires - (post[:, None] * on1 + (1 - post)[:, None] * on0)
-            scale = np.sqrt((rest * rest).sum(axis=0)) + 1e-9
-            corr = np.abs((rest.T @ rest) / np.outer(scale, scale))
-            np.fill_diagonal(corr, 0)
-            corr[-1], corr[:, -1] = 0, 0  # the label is no copy of a voter
-            weight = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
-        log_odds = np.log(n1 / n0) + fires @ (weight * np.log(on1 / on0)) + (1 - fires) @ (weight * np.log((1 - on1) / (1 - on0)))
+        if step == ROUNDS // 2 and fires.shape[1]:
+            parent = dependency_tree(fires, post)
+            before = np.where(parent >= 0, fires[:, parent], 0.0)
+        log_odds = np.log((post.sum() + 1e-9) / (rows - post.sum() + 1e-9))
+        strength = LABEL_PRIOR * given.sum() + 1
+        rates = []
+        for sign, w, expected in ((1, post, LABEL_RIGHT), (-1, 1 - post, LABEL_WRONG)):
+            n = w.sum() + 1e-9
+            on = (w @ fires + 0.5) / (n + 1)
+            # A voter's rate by its parent's state, drawn to its rate in the class.
+            with_parent = (w @ before + 1e-9), (w @ (1 - before) + 1e-9)
+            both = (w @ (fires * before)), (w @ (fires * (1 - before)))
+            rate1, rate0 = ((x + TREE_PRIOR * on) / (m + TREE_PRIOR) for x, m in zip(both, with_parent))
+            rate = np.clip(np.where(before > 0, rate1, rate0), 1e-6, 1 - 1e-6)
+            log_odds = log_odds + sign * (fires * np.log(rate)).sum(axis=1)
+            q = (w @ given + strength * expected) / (n + strength)
+            rates.append(q)
+            log_odds = log_odds + sign * (given * np.log(q) + (1 - given) * np.log(1 - q))
         post = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return post
+    return post, (float(rates[0]), float(rates[1]))
 
 
 def linear_classifier(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
@@ -211,22 +287,20 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
     # SAMPLE ids, chosen by a hash: small enough to be sent to every task.
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     rows = texts(docs, id_col, text_col)
-    sample = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_id"]).select(F.col("_toxic").alias("toxic"), "text").where("text is not null")
-    got = _votes_of_sample(sample.limit(2 * SAMPLE))
-    if not got:
+    sample = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_id"]).where("text is not null")
+    sample = written(sample.groupBy("_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("toxic")).select("toxic", "text"), "toxicity-sample")
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
         return None
-    got.sort(key=lambda r: (r["toxic"], bytes(r["words"]), bytes(r["patterns"])))
-    y = np.array([r["toxic"] for r in got])
-    words = [np.frombuffer(r["words"], np.uint64) for r in got]
-    voters = mine_words(y, words)
-    table = HashTable(max(10, len(voters).bit_length() + 2))
-    table.add(voters, np.arange(len(voters)))
-    votes = np.zeros((len(got), len(voters) + len(LIMITS)), np.uint8)
-    for i, w in enumerate(words):
-        at = table.find(w)
-        votes[i, at[at >= 0]] = 1
-        votes[i, len(voters) :] = np.frombuffer(got[i]["patterns"], np.uint8)
-    return voters, linear_classifier(votes, label_model(votes, y))
+    feature, n1, _ = _toxic_features(sample)
+    best = candidates(feature, n1, _rows_with(sample, feature), toxic, n)
+    # Features are looked up in order of their hashes, and used in order of their strength.
+    order = np.argsort(feature[best])
+    y, holds, found = _votes(sample, feature[best][order])
+    holds = holds[:, np.argsort(order)]
+    chosen = choose_voters(holds[y == 1])
+    votes = np.column_stack([holds[:, chosen], found])
+    return feature[best][chosen], linear_classifier(votes, label_model(votes, y)[0])
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col: str = "text", score: str = "score") -> DataFrame:
@@ -242,14 +316,14 @@ def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None,
             # What a word gives once it occurs as often as each level asks.
             gives = np.zeros((len(bases), len(TIMES)))
             gives[at_base, (voters & np.uint64(3)).astype(int) - 1] = w[: len(voters)]
-            for a, b, data, offsets in text_blocks(column):
-                h, owner = word_features(data, offsets)
+            for a, b, h, owner, times, found in text_features(column):
                 at = table.find(h | np.uint64(1))
                 hit = at >= 0
-                pairs, n = np.unique(owner[hit] * (len(bases) + 1) + at[hit], return_counts=True)
+                pairs, which = np.unique(owner[hit] * (len(bases) + 1) + at[hit], return_inverse=True)
+                n = np.bincount(which, times[hit], len(pairs))
                 given = sum((gives[pairs % (len(bases) + 1), level] * (n >= t) for level, t in enumerate(TIMES)), np.zeros(len(pairs)))
                 s = np.bincount(pairs // (len(bases) + 1), given, b - a).astype(float)
-                s += patterns(data, offsets) @ w[len(voters) : -1] + w[-1]
+                s += found @ w[len(voters) : -1] + w[-1]
                 out[a:b] = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         return [pa.array(out)]
 
