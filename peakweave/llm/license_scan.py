@@ -4,12 +4,15 @@ Templates and texts are cut into words (runs of letters and digits, lower-cased)
 and shingles of K words, or of all its words for a template of fewer.  For a
 template of n words, texts are read in windows of 2 n words that overlap by half,
 so an occurrence lies whole in some window.  A window is a candidate if it holds
-one of the template's picks: its min-hashes under BANDS masks, and as many more
-shingles as make the picks meet any window that contains enough of the template.
-Every candidate is verified by exact shingle containment, so none is missed.
+one of the template's picks: its min-hashes under BANDS seeded hash functions, one
+row a band, and as many more shingles as make the picks meet any window that
+contains enough of the template.  A band alone meets a window that contains a share
+c of the template with probability c; the further picks make that certain.  Every
+candidate is verified by exact shingle containment, so none is missed.
 
-Everything happens within rows; only matches are shuffled, to keep the best one
-of each template and row.  Templates are a fixed, small list.
+Everything happens within rows, and a hit takes only the words around it along;
+only matches are shuffled, to keep the best one of each template and row.
+Templates are a fixed, small list.
 
 Defined results: null texts and templates without a word match nothing;
 repeated rows and ids are reported each for itself (by a row number); other
@@ -19,7 +22,6 @@ columns are not read; no template gives no row.
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import texts
 
 K, BANDS, CONTAINMENT = 5, 32, 0.8
-_MASKS = [random.Random(i).getrandbits(64) - (1 << 63) for i in range(BANDS)]
 
 #: License statements and notices to look for: (name, text).
 TEMPLATES: list[tuple[str, str]] = [
@@ -56,6 +57,11 @@ def _shingle_hashes(words, k: int):
     return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(*(F.element_at(words, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def min_hash(hashes, band: int):
+    """The hash that is least under the band's hash function."""
+    return F.array_min(F.transform(hashes, lambda x: F.struct(F.xxhash64(F.lit(band), x).alias("order"), x.alias("x"))))["x"]
+
+
 def _found(hashes: str, values: list[int]):
     """(x, i): the hashes that are among the values, and where."""
     return F.filter(F.transform(hashes, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(values))
@@ -69,11 +75,13 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     table = table.withColumn("k", F.least(F.size("w"), F.lit(K)))
     hashes = F.coalesce(*(F.when(F.col("k") == k, _shingle_hashes(F.col("w"), k)) for k in range(1, K + 1)))
     table = table.select("template", "license", "k", F.size("w").alias("n"), F.array_distinct(hashes).alias("t"), F.array_distinct(_shingle_words(F.col("w"), F.col("k"))).alias("t_words"))
+    table = table.withColumn("least", F.array(*(min_hash("t", band) for band in range(BANDS))))
     # Fixed and small: a row for each template, at most BANDS hashes of each and those that may be missing.
-    picks, values = [], {}
+    picks, values, longest = [], {}, 0
     for r in table.collect():
         missing = len(r["t"]) - max(1, math.ceil(containment * len(r["t"]) - 1e-9))
-        for pick in {min(r["t"], key=lambda x: x ^ m) for m in _MASKS} | set(sorted(r["t"])[: missing + 1]):
+        longest = max(longest, r["n"])
+        for pick in set(r["least"]) | set(sorted(r["t"])[: missing + 1]):
             picks.append((r["template"], r["license"], r["k"], r["n"], r["t_words"], pick))
             values.setdefault(r["k"], set()).add(pick)
     out = "doc_id", "license", "containment", "window_start"
@@ -83,14 +91,17 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     picks = spark.createDataFrame(picks, "template int, license string, k int, n int, t_words array<string>, pick bigint")
     rows = rows.withColumn("w", _words("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), "w", *(_shingle_hashes(F.col("w"), k).alias(f"h{k}") for k in sorted(values)))
     found = F.concat(*(_found(f"h{k}", sorted(values[k])) for k in sorted(values)))
+    # A hit at word i lies in windows that begin at i - 2 n + 1 or later and end at i + 2 n or before.
+    around = F.transform(found, lambda s: F.struct(s["x"].alias("x"), s["i"].alias("i"), F.greatest(s["i"] - 2 * longest, F.lit(0)).alias("from")))
+    around = F.transform(around, lambda s: F.struct(s["x"].alias("x"), s["i"].alias("i"), s["from"].alias("from"), F.slice("w", s["from"] + 1, F.lit(4 * longest)).alias("w")))
     # explode_outer: a filter on the array, which explode brings along, would be pushed down and hash each text for each word.
-    hits = rows.select("doc_id", "row", "w", F.explode_outer(found).alias("hit")).where("hit is not null")
+    hits = rows.select("doc_id", "row", around.alias("hits")).select("doc_id", "row", F.explode_outer("hits").alias("hit")).where("hit is not null")
     near = hits.join(F.broadcast(picks), F.col("hit.x") == F.col("pick"))
     # Windows of 2 n words begin at multiples of n; a hit lies in two of them.
     at = (F.col("hit.i") / F.col("n")).cast("int")
-    near = near.select("doc_id", "row", "w", "template", "license", "k", "n", "t_words", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0")
+    near = near.select("doc_id", "row", "hit", "template", "license", "k", "n", "t_words", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0")
     near = near.withColumn("first", F.col("window") * F.col("n"))
-    text = _shingle_words(F.slice("w", F.col("first") + 1, 2 * F.col("n")), F.col("k"))
+    text = _shingle_words(F.slice("hit.w", F.col("first") - F.col("hit.from") + 1, 2 * F.col("n")), F.col("k"))
     near = near.withColumn("containment", F.size(F.array_intersect(F.col("t_words"), text)) / F.size("t_words")).where(F.col("containment") >= containment)
     best = near.groupBy("row", "template").agg(F.max(F.struct("containment", -F.col("first"))).alias("b"), F.first("doc_id").alias("doc_id"), F.first("license").alias("license"))
     return best.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.col2")).cast("int").alias("window_start")).select(*out)
