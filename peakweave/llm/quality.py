@@ -5,7 +5,9 @@ multinomials over the buckets are counted, one over all rows, one over the rows
 that are trusted (by the labels).  A text's score is the mean over its n-grams
 of log(trusted / all), so texts of all lengths compare, and rows below
 THRESHOLD are not kept.  Counts of both multinomials, BUCKETS numbers each, are
-all that reaches the driver; the ratios go back as one literal.
+all that reaches the driver; the ratios go back as one literal.  Trusted ids are
+counted, and sent to all tasks if they are BROADCAST_IDS at most; if there are more,
+they are joined by sort and merge.
 
 Defined results: a null or empty text has no words, all counts 0 and score 0,
 and fails; without any trusted row every score is 0; null ids are never
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 BUCKETS, THRESHOLD, PRIOR = 1 << 14, -0.12, 1.0
+#: Ids (eight bytes each) that may be sent to every task.
+BROADCAST_IDS = 1 << 21
 _BLANK = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]"
 
@@ -50,8 +54,8 @@ def _bucket_counts(rows: DataFrame) -> list[int]:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(trusted / all) of each bucket, both smoothed; rounded, so that it prints the same everywhere."""
-    # Labels grow with the documents, so they are never broadcast: the plan is the same at every size.
-    trusted = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    trusted = trusted.hint("broadcast" if trusted.count() <= BROADCAST_IDS else "merge")
     everything = _bucket_counts(docs)
     good = _bucket_counts(docs.where("doc_id is not null").join(trusted, "doc_id", "left_semi"))
     n_all, n_good = sum(everything) + PRIOR * BUCKETS, sum(good) + PRIOR * BUCKETS
