@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakweave.llm import decontamination, jaccard_join, language_id, packing, toxicity
-from peakweave.llm.common import free_name, written
+from peakweave.llm.common import WORD, free_name, written
 from peakweave.llm.encoding import tokenizer_path
 from peakweave.session import ship
 
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = toxicity.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = free_name(docs, "toxicity")
-    return toxicity.with_toxicity(docs, model, score=score).where(F.col(score) < TOXIC_FROM).drop(score)
+    return toxicity.with_toxicity(docs, model, score=score).where((F.col(score) < TOXIC_FROM) | F.col("text").isNull()).drop(score)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,19 +39,24 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of documents linked by a Jaccard similarity of 0.8 on 5-word shingles."""
+    """Keeps one row of each group of rows linked by a Jaccard similarity of 0.8 on 5-word shingles.
+
+    It is the row with the smallest id.  Rows that hold the same id and text are
+    one; rows that share an id and hold different texts are not, unless they are
+    linked.  Rows without an id or a word stay.
+    """
     ship(spark)
-    groups = written(jaccard_join.jaccard_join(docs, k=5, threshold=80), "groups")
-    losers = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_loser")).distinct()
+    names = docs.columns
+    text_hash, nth = free_name(docs, "text_hash"), free_name(docs, "nth")
+    groups = jaccard_join.jaccard_groups(docs, k=5, threshold=80)
+    losers = written(groups.where(~F.col("is_head")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "losers")
     # They grow with the documents, so they are never broadcast: the plan is the same at every size.
-    losers = losers.hint("merge")
-    kept = docs.join(losers, docs["doc_id"] == F.col("_loser"), "left_anti")
-    # Rows that repeat an id are one document.
-    repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_loser"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, docs["doc_id"] == F.col("_loser"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, docs["doc_id"] == F.col("_loser"), "left_anti").unionByName(once)
+    losers = losers.distinct().hint("merge")
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    kept = keyed.join(losers, (keyed["doc_id"] == F.col("_id")) & (keyed[text_hash] == F.col("_hash")), "left_anti")
+    # Copies under one id lie next to each other after the join; what takes no part in links is a group of its own.
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return kept.withColumn(nth, F.when(alone, F.monotonically_increasing_id())).dropDuplicates(["doc_id", text_hash, nth]).select(*names)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
