@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,8 @@ class Preset:
     drop_mate: str | None = None
 
 
+#: Five kinds of experiment and how their reads become bases (fixed values): single-nucleotide cross-linking, the same
+#: with paired reads, the same by the middle of a read, and nascent transcription from first or second mates.
 PRESETS = {
     "individual": Preset(),
     "enhanced": Preset(drop_mate="read2"),
@@ -97,3 +99,32 @@ def split_barcode(seq: Column, pattern: str) -> tuple[Column, Column, Column]:
 
 def rewrite_name(name: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(name, pattern, replacement)
+
+
+def fragment_length(length: Column, aligned: Column, is_paired: Column, tlen: Column, paired_from: int) -> Column:
+    """A fragment's length: the read's, or, for a paired read of `paired_from` bases or more, the template's less what introns and deletions add."""
+    return F.when(is_paired & (length >= paired_from), F.abs(tlen) - F.greatest(F.lit(0), aligned - length)).otherwise(length)
+
+
+def demultiplex(reads: DataFrame, samples: DataFrame, seq: str = "seq", lane: str = "lane") -> DataFrame:
+    """Reads with the track of the sample whose barcode and lane they have, their UMI, and what is left of them; others are dropped.
+
+    samples: umi_pattern, barcode, track, lane (one row for each lane).  Patterns
+    are few; reads are cut by each and joined on barcode and lane.
+    """
+    out = None
+    patterns = sorted(r["umi_pattern"] for r in samples.select("umi_pattern").distinct().collect())
+    for pattern in patterns:
+        umi, barcode, rest = split_barcode(F.col(seq), pattern)
+        cut = reads.withColumns({"umi": umi, "barcode": barcode, "rest": rest})
+        mine = samples.where(F.col("umi_pattern") == pattern).select("barcode", "track", F.col("lane").alias("_lane"))
+        one = cut.join(mine, (cut["barcode"] == mine["barcode"]) & (cut[lane] == mine["_lane"])).drop(mine["barcode"]).drop("_lane")
+        out = one if out is None else out.unionByName(one)
+    return reads.where("false") if out is None else out
+
+
+def track_hub(tracks: DataFrame, parent: str) -> DataFrame:
+    """(track, stanza): the text of a track database, one stanza for each track (track, url, strand, colour), under a parent."""
+    line = lambda key, value: F.concat(F.lit(f"    {key} "), value)
+    shown = F.concat_ws("\n", F.concat(F.lit("    track "), F.col("track")), line("parent", F.lit(parent)), line("bigDataUrl", F.col("url")), line("shortLabel", F.col("track")), line("longLabel", F.concat_ws(" ", F.col("track"), F.col("strand"))), line("color", F.col("colour")), line("type", F.lit("bigWig")))
+    return tracks.select("track", shown.alias("stanza"))

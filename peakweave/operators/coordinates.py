@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import gaps, merge, subtract
@@ -56,36 +58,81 @@ def spans(exons: DataFrame) -> DataFrame:
     return exons.groupBy(*TX).agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def region(exons: DataFrame, name: str, cds: DataFrame | None = None, up: int = 500, down: int = 500) -> DataFrame:
-    """The intervals of a named region of every transcript; sequences without a strand are read as plus."""
+def _at(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> DataFrame:
+    """Intervals [a, b) of a plus strand and [c, d) of a minus strand; sequences without a strand are read as plus."""
+    minus = F.col("strand") == "-"
+    return df.select(*TX, F.when(minus, c).otherwise(a).alias("start"), F.when(minus, d).otherwise(b).alias("end"))
+
+
+def _numbered(exons: DataFrame) -> DataFrame:
+    """Exons with their number in transcript order and how many there are."""
+    w = Window.partitionBy(*TX)
+    by = F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start"))
+    return exons.withColumn("_i", F.row_number().over(w.orderBy(by, "end"))).withColumn("_n", F.count("*").over(w))
+
+
+def _which(exons: DataFrame, which: str) -> DataFrame:
+    return _numbered(exons).where("_n >= 3").where(which).select(*TX, "start", "end")
+
+
+def _utr(exons: DataFrame, cds: DataFrame, five: bool) -> DataFrame:
+    limits = cds.groupBy("transcript_id").agg(F.min("start").alias("c0"), F.max("end").alias("c1"))
+    rest = subtract(exons.select(*TX, "start", "end"), cds.select(*TX, "start", "end"), TX).join(limits, "transcript_id")
+    before, after = F.col("end") <= F.col("c0"), F.col("start") >= F.col("c1")
     minus = F.col("strand") == "-"
-    at = lambda df, a, b, c, d: df.select(*TX, F.when(minus, c).otherwise(a).alias("start"), F.when(minus, d).otherwise(b).alias("end"))
-    s, e = F.col("start"), F.col("end")
-    if name == "5flank":
-        return at(spans(exons), s - up, s, e, e + up)
-    if name == "3flank":
-        return at(spans(exons), e, e + up, s - up, s)
-    if name == "tss":
-        return at(spans(exons), s - up, s + down, e - down, e + up)
-    if name == "tts":
-        return at(spans(exons), e - up, e + down, s - down, s + up)
-    if name == "primary":
-        return spans(exons)
-    if name == "exons":
-        return exons.select(*TX, "start", "end")
-    if name == "introns":
-        return gaps(exons, TX)
-    if name in ("first_exon", "last_exon", "middle_exons"):
-        w = Window.partitionBy(*TX)
-        by = F.when(minus, -s).otherwise(s)
-        numbered = exons.withColumn("_i", F.row_number().over(w.orderBy(by, e))).withColumn("_n", F.count("*").over(w)).where("_n >= 3")
-        which = {"first_exon": "_i = 1", "last_exon": "_i = _n", "middle_exons": "_i > 1 and _i < _n"}[name]
-        return numbered.where(which).select(*TX, "start", "end")
-    if name == "CDS":
-        return cds.select(*TX, "start", "end")
-    if name in ("5UTR", "3UTR"):
-        limits = cds.groupBy("transcript_id").agg(F.min("start").alias("c0"), F.max("end").alias("c1"))
-        rest = subtract(exons.select(*TX, "start", "end"), cds.select(*TX, "start", "end"), TX).join(limits, "transcript_id")
-        before, after = e <= F.col("c0"), s >= F.col("c1")
-        return rest.where(F.when(minus, after if name == "5UTR" else before).otherwise(before if name == "5UTR" else after)).select(*TX, "start", "end")
-    raise ValueError(f"no region {name}")
+    return rest.where(F.when(minus, after if five else before).otherwise(before if five else after)).select(*TX, "start", "end")
+
+
+_S, _E = "start", "end"
+#: Named regions: functions of exons, coding parts, and the lengths before and after a place.
+REGIONS: dict[str, Callable[[DataFrame, DataFrame | None, int, int], DataFrame]] = {
+    "5flank": lambda x, cds, up, down: _at(spans(x), F.col(_S) - up, F.col(_S), F.col(_E), F.col(_E) + up),
+    "3flank": lambda x, cds, up, down: _at(spans(x), F.col(_E), F.col(_E) + up, F.col(_S) - up, F.col(_S)),
+    "tss": lambda x, cds, up, down: _at(spans(x), F.col(_S) - up, F.col(_S) + down, F.col(_E) - down, F.col(_E) + up),
+    "tts": lambda x, cds, up, down: _at(spans(x), F.col(_E) - up, F.col(_E) + down, F.col(_S) - down, F.col(_S) + up),
+    "primary": lambda x, cds, up, down: spans(x),
+    "exons": lambda x, cds, up, down: x.select(*TX, _S, _E),
+    "introns": lambda x, cds, up, down: gaps(x, TX),
+    "first_exon": lambda x, cds, up, down: _which(x, "_i = 1"),
+    "last_exon": lambda x, cds, up, down: _which(x, "_i = _n"),
+    "middle_exons": lambda x, cds, up, down: _which(x, "_i > 1 and _i < _n"),
+    "CDS": lambda x, cds, up, down: cds.select(*TX, _S, _E),
+    "5UTR": lambda x, cds, up, down: _utr(x, cds, True),
+    "3UTR": lambda x, cds, up, down: _utr(x, cds, False),
+}
+
+
+def register_region(name: str, make: Callable[[DataFrame, DataFrame | None, int, int], DataFrame]) -> None:
+    """Adds a region of one's own, a function of exons, coding parts, up and down."""
+    REGIONS[name] = make
+
+
+def region(exons: DataFrame, name: str, cds: DataFrame | None = None, up: int = 500, down: int = 500) -> DataFrame:
+    """The intervals of a named region of every transcript."""
+    if name not in REGIONS:
+        raise ValueError(f"no region {name}")
+    return REGIONS[name](exons, cds, up, down)
+
+
+def last_exon_of_transcript(exons: DataFrame) -> DataFrame:
+    """The last exon of every transcript, however many it has."""
+    return _numbered(exons).where("_i = _n").select(*TX, "start", "end")
+
+
+def transcript_lengths(exons: DataFrame, cds: DataFrame) -> DataFrame:
+    """(transcript_id, total, utr5, utr3, first_exon): bases in all exons, in the untranslated parts (0 without one) and in the first exon."""
+    size = lambda df, name: df.groupBy("transcript_id").agg(F.sum(F.col("end") - F.col("start")).alias(name))
+    out = size(merge(exons, TX), "total")
+    for part, name in ((_utr(exons, cds, True), "utr5"), (_utr(exons, cds, False), "utr3"), (_numbered(exons).where("_i = 1"), "first_exon")):
+        out = out.join(size(part, name), "transcript_id", "left")
+    return out.select("transcript_id", "total", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("utr5", "utr3", "first_exon")))
+
+
+def merged_genes(exons: DataFrame) -> DataFrame:
+    """The union of a gene's exons over all its transcripts, as one transcript for each gene and strand."""
+    return merge(exons, ("gene_id", "contig", "strand")).select(F.col("gene_id").alias("transcript_id"), "gene_id", "contig", "strand", "start", "end")
+
+
+def flat_genes(exons: DataFrame) -> DataFrame:
+    """One row for each gene: its contig, strand, span, and exons (start, end) in order, of all transcripts."""
+    return exons.groupBy("gene_id", "contig", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("exons"))

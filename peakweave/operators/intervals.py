@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Width of the bins of interval joins.
 BIN = 1024
+#: Width of the bins in which the intervals of a contig are merged.
+MERGE_BIN = 1 << 16
 
 
 def join_points(points: DataFrame, intervals: DataFrame, on: Sequence[str] = ("contig", "strand"), pos: str = "pos", how: str = "inner", bin_width: int = BIN) -> DataFrame:
@@ -34,17 +36,34 @@ def join_overlaps(a: DataFrame, b: DataFrame, on: Sequence[str] = ("contig",), h
     return x.join(y, cond).where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")) & (F.col("_bin") == first)).drop("_bin", "_b_bin")
 
 
-def islands(df: DataFrame, keys: Sequence[str], gap: int = 0, name: str = "island") -> DataFrame:
-    """Numbers groups of intervals that overlap, touch, or lie within `gap`."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def merge(df: DataFrame, keys: Sequence[str], gap: int = 0, aggs: Sequence[Column] = ()) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], gap: int = 0, name: str = "island", bin_width: int | None = None) -> DataFrame:
+    """Numbers groups of intervals that overlap, touch, or lie within `gap`.
+
+    bin_width: for keys that hold many intervals, such as contigs.  Intervals are
+    then dealt by the bin that they begin in, with how far those of earlier bins
+    reach; only one row for each bin is seen by a window over a whole key.
+    """
+    order = ("start", "end")
+    if bin_width is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)
+        return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    at = [*keys, "_bin"]
+    binned = df.withColumn("_bin", F.floor(F.col("start") / bin_width))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = binned.groupBy(*at).agg(F.max("end").alias("_end")).select(*at, F.max("_end").over(earlier).alias("_reach"))
+    w = Window.partitionBy(*at).orderBy(*order)
+    reach = F.greatest("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))  # nulls are skipped
+    begun = binned.join(ends, at).withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
+    begun = begun.withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = begun.groupBy(*at).agg(F.sum("_new").alias("_n")).select(*at, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return begun.join(before, at).withColumn(name, F.col("_before") + F.col("_nth")).drop("_bin", "_reach", "_new", "_nth", "_before")
+
+
+def merge(df: DataFrame, keys: Sequence[str], gap: int = 0, aggs: Sequence[Column] = (), bin_width: int | None = None) -> DataFrame:
     """The union of intervals by key."""
-    return islands(df, keys, gap).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggs).drop("island")
+    return islands(df, keys, gap, bin_width=bin_width).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggs).drop("island")
 
 
 def gaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,32 +73,57 @@ def gaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return following.where("_next > `end`").select(*keys, F.col("end").alias("start"), F.col("_next").alias("end"))
 
 
-def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The parts of a's intervals that no interval of b with the same key covers, by a sweep over all edges."""
-    edges = [df.select(*keys, F.col(col).alias("at"), F.lit(x if s == 0 else 0).alias("in_a"), F.lit(0 if s == 0 else x).alias("in_b")) for s, df in enumerate((a, b)) for col, x in (("start", 1), ("end", -1))]
+def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], bin_width: int | None = None) -> DataFrame:
+    """The parts of a's intervals that no interval of b with the same key covers, by a sweep over all edges.
+
+    bin_width: for keys that hold many intervals; they are cut at the bins' edges
+    and swept bin by bin, and the parts joined again.
+    """
+    at = list(keys)
+    if bin_width is not None:
+        a, b = (_cut(x, keys, bin_width) for x in (a, b))
+        at.append("_bin")
+    edges = [df.select(*at, F.col(col).alias("at"), F.lit(x if s == 0 else 0).alias("in_a"), F.lit(0 if s == 0 else x).alias("in_b")) for s, df in enumerate((a, b)) for col, x in (("start", 1), ("end", -1))]
     total = edges[0]
     for e in edges[1:]:
         total = total.unionAll(e)
-    total = total.groupBy(*keys, "at").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
-    w = Window.partitionBy(*keys).orderBy("at")
+    total = total.groupBy(*at, "at").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
+    w = Window.partitionBy(*at).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     parts = total.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("in_a").over(run).alias("a"), F.sum("in_b").over(run).alias("b"))
-    return merge(parts.where("a > 0 and b = 0 and `end` is not null").select(*keys, "start", "end"), keys)
+    return merge(parts.where("a > 0 and b = 0 and `end` is not null").select(*keys, "start", "end"), keys, bin_width=bin_width)
+
+
+def _cut(df: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Intervals cut at the edges of bins."""
+    cut = df.select(*keys, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_bin"))
+    return cut.select(*keys, "_bin", F.greatest("start", F.col("_bin") * width).alias("start"), F.least("end", (F.col("_bin") + 1) * width).alias("end"))
 
 
 def clusters(signal: DataFrame, distance: int, keys: Sequence[str] = ("contig", "strand")) -> DataFrame:
     """Merges bases within `distance` of one another, with the largest value and the number of bases."""
     bases = signal.select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "n")
-    return merge(bases, keys, distance, [F.max("n").alias("score"), F.count("*").alias("bases")])
+    return merge(bases, keys, distance, [F.max("n").alias("score"), F.count("*").alias("bases")], MERGE_BIN)
 
 
 def reproducible(found: DataFrame, least: int, keys: Sequence[str] = ("contig", "strand"), sample: str = "sample") -> DataFrame:
     """Merged clusters that at least so many samples take part in."""
-    return merge(found, keys, 0, [F.count_distinct(sample).alias("samples")]).where(F.col("samples") >= least)
+    return merge(found, keys, 0, [F.count_distinct(sample).alias("samples")], MERGE_BIN).where(F.col("samples") >= least)
 
 
 def contexts(named: DataFrame, contigs: DataFrame, rest: str = "none") -> DataFrame:
     """(contig, start, end, name): merged intervals of each name, and under the name `rest` what none of them covers."""
-    merged_ = merge(named, ("contig", "name"))
+    merged_ = merge(named, ("contig", "name"), bin_width=MERGE_BIN)
     whole = contigs.select("contig", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
-    return merged_.select("contig", "start", "end", "name").unionByName(subtract(whole, named.select("contig", "start", "end"), ("contig",)).withColumn("name", F.lit(rest)).select("contig", "start", "end", "name"))
+    return merged_.select("contig", "start", "end", "name").unionByName(subtract(whole, named.select("contig", "start", "end"), ("contig",), MERGE_BIN).withColumn("name", F.lit(rest)).select("contig", "start", "end", "name"))
+
+
+def context_lengths(contexts_: DataFrame) -> DataFrame:
+    """(name, intervals, bases, shortest, longest, mean) of the intervals of each context."""
+    length = F.col("end") - F.col("start")
+    return contexts_.groupBy("name").agg(F.count("*").alias("intervals"), F.sum(length).alias("bases"), F.min(length).alias("shortest"), F.max(length).alias("longest"), F.avg(length).alias("mean"))
+
+
+def cluster_counts(found: DataFrame) -> DataFrame:
+    """One row: how many clusters there are, and how many bases of signal in them."""
+    return found.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("bases"), F.lit(0)).alias("bases"))

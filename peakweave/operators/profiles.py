@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coordinates import TX, genome_to_transcript, transcript_map
 from .intervals import gaps, join_points, merge
+from .ranking import coarse, with_rank
 
 
 def from_reads(reads: DataFrame, position: Column, keys=("sample", "contig", "strand")) -> DataFrame:
@@ -26,12 +29,14 @@ def count_intervals(profile: DataFrame, intervals: DataFrame) -> DataFrame:
     return join_points(profile, intervals).groupBy("id").agg(F.sum("n").alias("total"), F.count("*").alias("bases"))
 
 
-def _flank(flank: int | float, length: Column) -> Column:
-    """A flank's length: a number of bases, or (a float) a share of the transcript's length, rounded up."""
+def _flank(flank: int | float | Callable[[Column], Column], length: Column) -> Column:
+    """A flank's length: a number of bases, a share of the transcript's length (a float), rounded up, or a function of it."""
+    if callable(flank):
+        return flank(length).cast("long")
     return F.ceil(length * F.lit(flank)) if isinstance(flank, float) else F.lit(flank).cast("long")
 
 
-def count_transcript(profile: DataFrame, exons: DataFrame, flank: int | float = 0) -> DataFrame:
+def count_transcript(profile: DataFrame, exons: DataFrame, flank: int | float | Callable[[Column], Column] = 0) -> DataFrame:
     """(transcript, region, base, n): signal in transcript coordinates, with flanks counted from their 5' end."""
     tx_map = transcript_map(exons)
     pieces = tx_map.select(*TX, F.lit("exons").alias("region"), F.col("g_start").alias("start"), F.col("g_end").alias("end"), "t_start")
@@ -50,26 +55,48 @@ def bin_of(pos: Column, length: Column, bins: Column | int) -> Column:
     return F.greatest(F.floor((pos * bins + length - 1) / length) - 1, F.lit(0)).cast("int")
 
 
-def meta_gene(profile: DataFrame, exons: DataFrame, flank: int | float = 100, bins: tuple[int, int, int] = (10, 100, 10), row_norm: bool = True) -> DataFrame:
-    """The sum over transcripts of binned signal, each transcript's shares or its counts."""
+def meta_gene(profile: DataFrame, exons: DataFrame, flank: int | float = 100, bins: tuple[int, int, int] = (10, 100, 10), row_norm: bool = True, pseudo_count: float = 0.0) -> DataFrame:
+    """The sum over transcripts of binned signal, each transcript's shares or its counts.
+
+    pseudo_count is added to every bin of a transcript that has signal.
+    """
     lengths = transcript_map(exons).select("transcript_id", "tx_len").distinct()
     counts = count_transcript(profile, exons, flank).join(lengths, "transcript_id")
     is_exon = F.col("region") == "exons"
     n_bins = F.when(is_exon, bins[1]).when(F.col("region") == "flank5", bins[0]).otherwise(bins[2])
     length = F.when(is_exon, F.col("tx_len")).otherwise(_flank(flank, F.col("tx_len")))
     binned = counts.groupBy("transcript_id", "region", bin_of(F.col("base"), length, n_bins).alias("bin")).agg(F.sum("n").alias("n"))
+    if pseudo_count:
+        every = F.explode(F.array(*(F.struct(F.lit(r).alias("region"), F.lit(i).alias("bin")) for r, k in zip(("flank5", "exons", "flank3"), bins) for i in range(k))))
+        dense = binned.select("transcript_id").distinct().select("transcript_id", every.alias("x")).select("transcript_id", "x.region", "x.bin")
+        binned = dense.join(binned, ["transcript_id", "region", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.lit(pseudo_count))
     value = F.col("n") / F.sum("n").over(Window.partitionBy("transcript_id")) if row_norm else F.col("n").cast("double")
     return binned.withColumn("v", value).groupBy("region", "bin").agg(F.sum("v").alias("density"))
 
 
-def binding_matrix(profile: DataFrame, exons: DataFrame, bin_size: int = 25, left: int = 100, right: int = 300, flank: int = 100) -> DataFrame:
-    """(row_id, bin, value) in long form around transcript starts, with zeros filled in for transcripts that have signal."""
+def normalised(profile: DataFrame, value: str = "density") -> DataFrame:
+    """Values over their sum."""
+    total = profile.agg(F.sum(value).alias("_total"))  # one row
+    return profile.crossJoin(F.broadcast(total)).withColumn(value, F.col(value) / F.nullif("_total", F.lit(0.0))).drop("_total")
+
+
+def binding_matrix(profile: DataFrame, exons: DataFrame, bin_size: int = 25, left: int = 100, right: int = 300, align: str = "start", reverse: bool = False) -> DataFrame:
+    """(row_id, bin, value) in long form around the starts or ends of transcripts, with zeros filled in for transcripts that have signal.
+
+    Flanks are as long as the window asks.  reverse: signal of the other strand, in columns of the other sign.
+    """
+    if reverse:
+        profile = profile.withColumn("strand", F.translate("strand", "+-", "-+"))
+    place = (lambda n: n) if align == "end" else (lambda n: F.lit(0))
+    flank = lambda n: F.greatest(F.lit(left) - place(n), F.lit(right) - (n - place(n)), F.lit(0))
     lengths = transcript_map(exons).select("transcript_id", "tx_len").distinct()
     counts = count_transcript(profile, exons, flank).join(lengths, "transcript_id")
-    x = F.when(F.col("region") == "flank5", F.col("base") - flank).when(F.col("region") == "flank3", F.col("base") + F.col("tx_len")).otherwise(F.col("base"))
+    n = F.col("tx_len")
+    x = F.when(F.col("region") == "flank5", F.col("base") - flank(n)).when(F.col("region") == "flank3", F.col("base") + n).otherwise(F.col("base")) - place(n)
     found = counts.select("transcript_id", (F.floor(x / bin_size) * bin_size).cast("int").alias("bin"), "n").where(f"bin >= {-left} and bin < {right}").groupBy("transcript_id", "bin").agg(F.sum("n").alias("n"))
     rows = found.select("transcript_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(-left), F.lit(right - bin_size), F.lit(bin_size))))
-    return rows.join(found, ["transcript_id", "bin"], "left").select(F.col("transcript_id").alias("row_id"), "bin", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    out = rows.join(found, ["transcript_id", "bin"], "left").select(F.col("transcript_id").alias("row_id"), "bin", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    return out.withColumn("bin", -F.col("bin")) if reverse else out
 
 
 def quantile_row_norm(matrix: DataFrame, quantile: float = 0.99) -> DataFrame:
@@ -90,11 +117,44 @@ def norm_by_matrix(matrix: DataFrame, other: DataFrame) -> DataFrame:
     return matrix.join(divisor, ["row_id", "bin"]).select("row_id", "bin", (F.col("value") / F.col("_d")).alias("value"))
 
 
+def _cut(values: DataFrame, column: str, k: int, name: str) -> DataFrame:
+    """Adds the number (from 0) and the left edge of the group when the range of a column is cut into k equal parts; the first edge lies 0.1 % of the range lower."""
+    ends = values.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))  # one row
+    span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
+    group = F.coalesce(F.greatest(F.ceil((F.col(column) - F.col("_lo")) * k / span) - 1, F.lit(0)), F.lit(0)).cast("int")
+    out = values.crossJoin(F.broadcast(ends)).withColumn(name, group)
+    edge = F.col("_lo") + F.col(name) * (F.col("_hi") - F.col("_lo")) / k - F.when(F.col(name) == 0, (F.col("_hi") - F.col("_lo")) * 0.001).otherwise(0.0)
+    return out.withColumn(f"{name}_edge", edge).drop("_lo", "_hi")
+
+
 def compress_columns(matrix: DataFrame, k: int) -> DataFrame:
     """Means over k equal-width groups of columns, numbered from 0."""
-    ends = matrix.agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))  # one row
-    group = F.greatest(F.ceil((F.col("bin") - F.col("_lo")) * k / (F.col("_hi") - F.col("_lo"))) - 1, F.lit(0)).cast("int")
-    return matrix.crossJoin(F.broadcast(ends)).withColumn("group", group).groupBy("row_id", "group").agg(F.avg("value").alias("value"))
+    return _cut(matrix, "bin", k, "group").groupBy("row_id", "group").agg(F.avg("value").alias("value"))
+
+
+def compress_matrix(matrix: DataFrame, rows: int, columns: int) -> DataFrame:
+    """(row_group, group, edge, value): means over equal-width groups of columns, then over groups of rows by their place; matrix: place, bin, value.  edge: the left one of a column group."""
+    by_column = _cut(matrix, "bin", columns, "group").groupBy("place", "group", F.col("group_edge").alias("edge")).agg(F.avg("value").alias("value"))
+    return _cut(by_column, "place", rows, "row_group").groupBy("row_group", "group", "edge").agg(F.avg("value").alias("value"))
+
+
+def crop(matrix: DataFrame, first: int, last: int) -> DataFrame:
+    """Columns from first to last, both included."""
+    return matrix.where(F.col("bin").between(first, last))
+
+
+def in_order(matrix: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The matrix with the place (from 1) of each row: by a key (row_id, key: numbers, the largest first, rows without one last), or by row_id, a number, backwards."""
+    rows = matrix.select("row_id").distinct()
+    keyed = rows.withColumn("key", F.col("row_id")) if keys is None else rows.join(keys.select("row_id", "key"), "row_id", "left")
+    bucket = F.coalesce(-coarse(F.col("key")), F.lit(2**62))
+    return matrix.join(with_rank(keyed, bucket, [F.desc_nulls_last("key"), F.asc("row_id")]).drop("key"), "row_id")
+
+
+def heat_map(matrix: DataFrame, most: float = 1.0) -> DataFrame:
+    """place, row_id, bin, value as they are drawn: rows by their sums, the largest first; all above `most` is `most`."""
+    totals = matrix.groupBy("row_id").agg(F.sum("value").alias("key"))
+    return in_order(matrix, totals).select("place", "row_id", "bin", F.least("value", F.lit(most)).alias("value"))
 
 
 def processing_index(profile: DataFrame, sites: DataFrame, window: int = 50) -> DataFrame:
@@ -108,9 +168,27 @@ def processing_index(profile: DataFrame, sites: DataFrame, window: int = 50) ->
     return hit.agg(down, up).select(F.log2(F.col("down") / F.greatest(F.lit(1), F.col("up") - F.col("down"))).alias("processing_index"))
 
 
+def coverage_runs(profile: DataFrame, left: int, right: int, keys=("contig", "strand"), bin_width: int = 4096) -> DataFrame:
+    """(keys, start, end, n): stretches with one sum of the counts whose window, from `left` before to `right` after, covers them.
+
+    A window is two edges, cut where it meets a bin; sums run over the edges of
+    a bin, so no count is copied to each base and a long sequence is many keys.
+    """
+    width = max(bin_width, left + right + 1)
+    lo, hi = F.col("pos") - left, F.col("pos") + right + 1
+    cut = profile.select(*keys, lo.alias("_lo"), hi.alias("_hi"), "n", F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))).alias("_bin"))
+    begin = F.struct(F.greatest("_lo", F.col("_bin") * width).alias("at"), F.col("n").alias("n"), F.lit(1).alias("c"))
+    end = F.struct(F.least("_hi", (F.col("_bin") + 1) * width).alias("at"), (-F.col("n")).alias("n"), F.lit(-1).alias("c"))
+    edges = cut.select(*keys, "_bin", F.explode(F.array(begin, end)).alias("e")).select(*keys, "_bin", "e.*")
+    w = Window.partitionBy(*keys, "_bin").orderBy("at")
+    run = w.rangeBetween(Window.unboundedPreceding, 0)
+    runs = edges.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("n").over(run).alias("n"), F.sum("c").over(run).alias("c"))
+    return runs.where("c > 0 and `end` > start").drop("c")
+
+
 def spread(profile: DataFrame, left: int, right: int, keys=("contig", "strand")) -> DataFrame:
     """Dense smoothing: each count is added to all positions from `left` before to `right` after it."""
-    return profile.select(*keys, F.explode(F.sequence(F.col("pos") - left, F.col("pos") + right)).alias("pos"), "n").groupBy(*keys, "pos").agg(F.sum("n").alias("n"))
+    return coverage_runs(profile, left, right, keys).select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "n")
 
 
 def window_sums(profile: DataFrame, width: int, keys=("contig", "strand"), own: bool = True, bin_width: int = 4096) -> DataFrame:
@@ -130,7 +208,7 @@ def window_sums(profile: DataFrame, width: int, keys=("contig", "strand"), own:
 
 def height_distribution(profile: DataFrame, width: int, keys=("contig", "strand")) -> DataFrame:
     """P(H >= k) over all centres with a sum above 0, for each observed height."""
-    heights = spread(profile, width, width, keys).groupBy(*keys, F.col("n").alias("height")).agg(F.count("*").alias("c"))
+    heights = coverage_runs(profile, width, width, keys).groupBy(*keys, F.col("n").alias("height")).agg(F.sum(F.col("end") - F.col("start")).alias("c"))
     w = Window.partitionBy(*keys)
     above = F.sum("c").over(w.orderBy(F.desc("height")).rowsBetween(Window.unboundedPreceding, 0))
     return heights.select(*keys, "height", (above / F.sum("c").over(w)).alias("p"))
@@ -138,16 +216,18 @@ def height_distribution(profile: DataFrame, width: int, keys=("contig", "strand"
 
 def reproducibility(profile: DataFrame, max_level: int | None = None) -> DataFrame:
     """(sample, fold, level, hits, totals): positions with depth level or more, and those that `fold` other samples cover, for folds from 1 to samples - 1."""
-    others = F.count("*").over(Window.partitionBy("contig", "strand", "pos")) - 1
+    others = (F.count("*").over(Window.partitionBy("contig", "strand", "pos")) - 1).alias("others")
     top = F.col("n") if max_level is None else F.least("n", F.lit(max_level))
-    levels = profile.withColumn("others", others).select("sample", "others", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("level"))
-    counts = levels.groupBy("sample", "level", "others").agg(F.count("*").alias("c"))
+    # How many positions of a sample have each depth and number of others; from here on sizes do not follow the positions.
+    found = profile.select("sample", top.alias("top"), others).groupBy("sample", "top", "others").agg(F.count("*").alias("c"))
     samples = profile.select("sample").distinct()
     most = samples.agg((F.count("*") - 1).cast("int").alias("most")).where("most > 0")
-    folds = samples.crossJoin(most).select("sample", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("fold"))
-    totals = counts.groupBy("sample", "level").agg(F.sum("c").alias("totals"))
-    hits = counts.join(folds, "sample").groupBy("sample", "fold", "level").agg(F.sum(F.when(F.col("others") >= F.col("fold"), F.col("c")).otherwise(0)).alias("hits"))
-    return hits.join(totals, ["sample", "level"]).select("sample", "fold", "level", "hits", "totals")
+    folds = samples.crossJoin(F.broadcast(most)).select("sample", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("fold"))
+    at_depth = found.join(folds, "sample").groupBy("sample", "fold", "top").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("others") >= F.col("fold"), F.col("c")).otherwise(0)).alias("h"))
+    w = Window.partitionBy("sample", "fold").orderBy(F.desc("top"))
+    deeper = at_depth.select("sample", "fold", "top", F.lead("top", 1, 0).over(w).alias("below"), F.sum("h").over(w).alias("hits"), F.sum("c").over(w).alias("totals"))
+    # All levels above the next smaller depth, up to this one, count the same positions.
+    return deeper.select("sample", "fold", F.explode(F.sequence(F.col("below") + 1, F.col("top"))).alias("level"), "hits", "totals").where("level > 0")
 
 
 def junction_meta(profile: DataFrame, exons: DataFrame, up: int = 20, down: int = 10) -> DataFrame:
@@ -159,15 +239,27 @@ def junction_meta(profile: DataFrame, exons: DataFrame, up: int = 20, down: int
     return near.withColumn("v", F.col("n") / F.sum("n").over(Window.partitionBy("transcript_id", "j"))).groupBy("base").agg(F.sum("v").alias("density"))
 
 
-def region_meta(profile: DataFrame, regions: list[tuple[str, int, DataFrame]], length_norm: bool = True) -> DataFrame:
-    """(region, bin, density) over named regions (name, bins, intervals by transcript), each in its own coordinates; transcripts without a region are left out of it alone."""
+def region_meta(profile: DataFrame, regions: list[tuple[str, int, DataFrame]], length_norm: bool = True, row_norm: bool = False, pseudo_count: float = 0.0) -> DataFrame:
+    """(region, bin, density) over named regions (name, bins, intervals by transcript), each in its own coordinates; transcripts without a region are left out of it alone.
+
+    row_norm: each transcript's values over their sum.  pseudo_count is added to
+    every bin of the regions that a transcript with signal has.
+    """
     out = None
     for name, bins, parts in regions:
         lengths = transcript_map(parts).select("transcript_id", "tx_len").distinct()
         counts = count_transcript(profile, parts).join(lengths, "transcript_id")
         v = F.col("n") * bins / F.col("tx_len") if length_norm else F.col("n").cast("double")
-        one = counts.select(F.lit(name).alias("region"), bin_of(F.col("base"), F.col("tx_len"), bins).alias("bin"), v.alias("v"))
+        one = counts.groupBy("transcript_id", F.lit(name).alias("region"), bin_of(F.col("base"), F.col("tx_len"), bins).alias("bin")).agg(F.sum(v).alias("v"))
+        if pseudo_count:
+            grid = lengths.select("transcript_id", F.lit(name).alias("region"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+            one = grid.join(one, ["transcript_id", "region", "bin"], "left").select("transcript_id", "region", "bin", F.coalesce("v", F.lit(0.0)).alias("v"))
         out = one if out is None else out.unionByName(one)
+    whole = Window.partitionBy("transcript_id")
+    if pseudo_count:
+        out = out.withColumn("_s", F.sum("v").over(whole)).where("_s > 0").drop("_s").withColumn("v", F.col("v") + pseudo_count)
+    if row_norm:
+        out = out.withColumn("v", F.col("v") / F.nullif(F.sum("v").over(whole), F.lit(0.0)))
     return out.groupBy("region", "bin").agg(F.sum("v").alias("density"))
 
 

@@ -1,22 +1,28 @@
-"""Randomisation with reproducible hashes, false discovery rates, bootstraps, distances, k-mers."""
+"""Randomisation with reproducible hashes, false discovery rates, bootstraps, distances."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reads import hash_number
 from .intervals import join_points
-from .profiles import height_distribution, spread, window_sums
+from .profiles import coverage_runs, height_distribution, window_sums
+from .ranking import with_rank
 
 
 def randomise_tags(profile: DataFrame, segments: DataFrame, rands: int, seed: int = 42) -> DataFrame:
-    """(segment_id, rand_id, pos, n): every count of a segment is placed anew, evenly and on its own."""
-    inside = join_points(profile, segments)
+    """(segment_id, rand_id, contig, strand, pos, n): every count of a segment is placed anew, evenly and on its own."""
+    return randomise_placed(join_points(profile, segments), rands, seed)
+
+
+def randomise_placed(inside: DataFrame, rands: int, seed: int = 42) -> DataFrame:
+    """As randomise_tags, for signal (segment_id, contig, strand, start, end, pos, n) that has its segments already."""
     tags = inside.select("segment_id", "start", "end", "contig", "strand", F.col("pos").alias("_pos"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_tag"))
     drawn = tags.withColumn("rand_id", F.explode(F.sequence(F.lit(0), F.lit(rands - 1))))
     h = hash_number(seed, F.col("rand_id"), F.col("segment_id"), F.col("_pos"), F.col("_tag"))
@@ -42,9 +48,14 @@ def crosslink_fdr(profile: DataFrame, segments: DataFrame, rands: int = 100, wid
     P(H >= height)) over the observed P; a randomisation without that height
     counts as 0.  One job for all segments and randomisations.
     """
-    inside = join_points(profile, segments).select("segment_id", "pos", "n")
+    return fdr_of_placed(join_points(profile, segments), rands, width, seed)
+
+
+def fdr_of_placed(placed: DataFrame, rands: int = 100, width: int = 15, seed: int = 42) -> DataFrame:
+    """As crosslink_fdr, for signal (segment_id, contig, strand, start, end, pos, n) that has its segments already."""
+    inside = placed.select("segment_id", "pos", "n")
     observed = height_distribution(inside, width, ("segment_id",))
-    drawn = randomise_tags(profile, segments, rands, seed).select("segment_id", "rand_id", "pos", "n")
+    drawn = randomise_placed(placed, rands, seed).select("segment_id", "rand_id", "pos", "n")
     random = height_distribution(drawn, width, ("segment_id", "rand_id"))
     # P at an observed height is that of the next height that a randomisation has.
     w = Window.partitionBy("segment_id", "rand_id").orderBy(F.desc("height"), "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -64,10 +75,15 @@ def significant_bases(found: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 
 def bh_fdr(df: DataFrame, p: str = "p") -> DataFrame:
-    """Adds q by Benjamini and Hochberg.  Ranks come from counts of distinct p, so no task sorts all rows."""
-    counts = df.groupBy(p).agg(F.count("*").alias("_c"))
-    buckets = counts.withColumn("_b", F.floor(F.col(p) * 1024))
-    # Two levels: totals of 1025 buckets first, then within each bucket.
+    """Adds q by Benjamini and Hochberg; a null p has a null q and does not count.
+
+    Ranks come from counts of distinct p, so no task sorts all rows.  Counts are
+    summed in two levels: buckets that grow with p, and the values of a bucket.
+    Below 1/1024 there are 64 buckets for each halving, above 1023 equal ones.
+    """
+    counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_c"))
+    small = -F.floor(-F.log2(F.greatest(F.col(p), F.lit(5e-324))) * 64) - 1
+    buckets = counts.withColumn("_b", F.when(F.col(p) >= 1 / 1024, F.floor(F.col(p) * 1024)).otherwise(small))
     totals = buckets.groupBy("_b").agg(F.sum("_c").alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     m = totals.agg(F.sum("_t").alias("_m"))
@@ -77,33 +93,60 @@ def bh_fdr(df: DataFrame, p: str = "p") -> DataFrame:
     after = least.withColumn("_after", F.min("_l").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
     q = F.least(F.lit(1.0), F.coalesce("_after", F.lit(1.0)), F.min("_raw").over(Window.partitionBy("_b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))
     table = raw.join(F.broadcast(after.select("_b", "_after")), "_b").select(p, q.alias("q"))
-    return df.join(table, p)
+    return df.join(table, p, "left")
 
 
-def binomial_tail(k, n, p) -> pd.Series:
-    """P(X >= k) for X ~ Binomial(n, p), summed from logarithms."""
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers, by Stirling's series from 10 on and the recurrence below."""
+    x = np.asarray(x, float).copy()
+    shift = np.zeros_like(x)
+    for _ in range(10):
+        low = x < 10
+        shift[low] += np.log(x[low])
+        x[low] += 1
+    z = 1 / (x * x)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * 691 / 360360))))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - shift
 
-    def one(k: int, n: int, p: float) -> float:
-        if k <= 0:
-            return 1.0
-        if k > n or p <= 0:
-            return 0.0
-        if p >= 1:
-            return 1.0
-        base = math.lgamma(n + 1)
-        return min(1.0, math.fsum(math.exp(base - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(int(k), int(n) + 1)))
 
-    known: dict[tuple, float] = {}
-    return pd.Series([known.setdefault(x, one(*x)) if x not in known else known[x] for x in zip(k, n, p)])
+def binomial_tail(k, n, p) -> pd.Series:
+    """P(X >= k) for X ~ Binomial(n, p): the regularised incomplete beta function I_p(k, n - k + 1), by its continued fraction."""
+    k, n, p = (np.asarray(x, float) for x in np.broadcast_arrays(k, n, p))
+    out = np.where(k <= 0, 1.0, np.where((k > n) | (p <= 0), 0.0, np.where(p >= 1, 1.0, np.nan)))
+    at = np.flatnonzero(np.isnan(out) & ~np.isnan(p))
+    a, b, x = k[at], n[at] - k[at] + 1, p[at]
+    # The fraction converges fast below the mean; above it the other tail is taken.
+    flip = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
+    h = d.copy()
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / safe(1 + step * d), safe(1 + step / c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
+            break
+    value = front * h
+    out[at] = np.clip(np.where(flip, 1 - value, value), 0.0, 1.0)
+    return pd.Series(out)
 
 
 def binomial_pvalues(profile: DataFrame, segments: DataFrame, width: int = 15) -> DataFrame:
     """(segment_id, pos, n, p): the chance of a base's count and of the counts around it, given the segment's total."""
-    inside = join_points(profile, segments).select("segment_id", "start", "end", "pos", "n")
+    return binomial_of_placed(join_points(profile, segments), width)
+
+
+def binomial_of_placed(placed: DataFrame, width: int = 15) -> DataFrame:
+    """As binomial_pvalues, for signal (segment_id, start, end, pos, n) that has its segments already."""
+    inside = placed.select("segment_id", "start", "end", "pos", "n")
     sums = window_sums(inside, width, ("segment_id",), own=False)
     total = F.sum("n").over(Window.partitionBy("segment_id"))
     lo, hi = F.greatest("start", F.col("pos") - width), F.least("end", F.col("pos") + width)
     ready = sums.select("segment_id", "pos", "n", "window_sum", total.alias("total"), (F.col("end") - F.col("start")).alias("length"), ((hi - lo) / (F.col("end") - F.col("start"))).alias("share"))
+    id_type = inside.schema["segment_id"].dataType.simpleString()
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,7 +154,12 @@ def binomial_pvalues(profile: DataFrame, segments: DataFrame, width: int = 15) -
             p2 = binomial_tail(b["window_sum"], b["total"], b["share"])
             yield b[["segment_id", "pos", "n"]].assign(p=(p1 * p2).to_numpy())
 
-    return ready.mapInPandas(tails, "segment_id bigint, pos bigint, n bigint, p double")
+    return ready.mapInPandas(tails, f"segment_id {id_type}, pos bigint, n bigint, p double")
+
+
+def bases_output(found: DataFrame, keys=("contig", "strand", "pos")) -> DataFrame:
+    """The least p of each base over all segments that hold it, whatever it is."""
+    return found.groupBy(*keys).agg(F.min("p").alias("p"))
 
 
 def significance_windows(bases: DataFrame, width: int, threshold: float = 0.05, keys=("segment_id",)) -> DataFrame:
@@ -122,20 +170,52 @@ def significance_windows(bases: DataFrame, width: int, threshold: float = 0.05,
     return merge(wide, keys, 0, [F.min("p").alias("p")])
 
 
-def bootstrap_ratio(rows: DataFrame, n_boot: int, seed: int = 7, quantiles=(0.025, 0.975)) -> DataFrame:
-    """ratio, lo, hi of sum(test) / sum(control): rows have index 0.. (`idx`), and draws are hashes, so they are the same anywhere.
+def bootstrap_draws(rows: DataFrame, n_boot: int, seed: int = 7) -> DataFrame:
+    """(rand_id, times and the columns of rows): resamples with replacement of rows that have an index `idx` from 0 on.
 
-    Draws of one resample are joined with the rows; nothing is collected.
+    Draws are hashes, so they are the same anywhere; the pairs of resample and
+    draw are a distributed range, and nothing is collected but the number of rows.
     """
     n = rows.count()
-    spark = rows.sparkSession
-    draws = spark.range(n_boot).withColumnRenamed("id", "rand_id").select("rand_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    draws = draws.select("rand_id", (hash_number(seed, F.col("rand_id"), F.col("draw")) % n).alias("idx")).groupBy("rand_id", "idx").agg(F.count("*").alias("times"))
-    ratio = F.sum(F.col("test") * F.col("times")) / F.nullif(F.sum(F.col("control") * F.col("times")), F.lit(0))
-    stats = draws.join(rows, "idx").groupBy("rand_id").agg(F.coalesce(ratio, F.lit(math.inf)).alias("r"))
-    ci = stats.agg(*(F.percentile("r", F.lit(q)).alias(name) for q, name in zip(quantiles, ("lo", "hi"))))
-    whole = rows.agg(F.coalesce(F.sum("test") / F.nullif(F.sum("control"), F.lit(0)), F.lit(math.inf)).alias("ratio"))
-    return whole.crossJoin(ci)  # one row each
+    draws = rows.sparkSession.range(n_boot * n).select(F.floor(F.col("id") / max(1, n)).alias("rand_id"), (F.col("id") % max(1, n)).alias("draw"))
+    idx = (hash_number(seed, F.col("rand_id"), F.col("draw")) % max(1, n)).alias("idx")
+    return draws.select("rand_id", idx).groupBy("rand_id", "idx").agg(F.count("*").alias("times")).join(rows, "idx")
+
+
+def count_ratio(test: str = "test", control: str = "control", times: Column | None = None) -> Column:
+    """sum(test) / sum(control); infinite without control."""
+    times = F.lit(1) if times is None else times
+    return F.coalesce(F.sum(F.col(test) * times) / F.nullif(F.sum(F.col(control) * times), F.lit(0)), F.lit(math.inf))
+
+
+def bootstrap_statistic(rows: DataFrame, statistic: Callable[[Column], Column], n_boot: int, seed: int = 7) -> DataFrame:
+    """(rand_id, value): any aggregate of rows for each resample; it is given how often a row was drawn."""
+    return bootstrap_draws(rows, n_boot, seed).groupBy("rand_id").agg(statistic(F.col("times")).alias("value"))
+
+
+def bootstrap(rows: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str, n_boot: int, seed: int = 7) -> DataFrame:
+    """Any function of a resample, a pandas frame with a column rand_id and each row as often as it was drawn."""
+    drawn = bootstrap_draws(rows, n_boot, seed)
+    again = drawn.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_i", "times")
+    return again.groupBy("rand_id").applyInPandas(func, schema)
+
+
+def boot_ci(values: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """One row with the named quantiles of the values of all resamples."""
+    return values.agg(*(F.percentile("value", F.lit(q)).alias(name) for name, q in quantiles.items()))
+
+
+def bootstrap_ratio(rows: DataFrame, n_boot: int = 1000, seed: int = 7, quantiles=(0.025, 0.975)) -> DataFrame:
+    """ratio, lo, hi of sum(test) / sum(control): rows have index 0.. (`idx`)."""
+    ci = boot_ci(bootstrap_statistic(rows, lambda times: count_ratio(times=times), n_boot, seed), dict(zip(("lo", "hi"), quantiles)))
+    return rows.agg(count_ratio().alias("ratio")).crossJoin(ci)  # one row each
+
+
+def set_enrichment(rows: DataFrame, members: DataFrame, on: str, n_boot: int = 1000, seed: int = 7) -> DataFrame:
+    """ratio, lo, hi of sum(test) / sum(control) over the rows whose key is in a set; they are numbered anew by the key, a number that no two rows share."""
+    inside = rows.join(members.select(on).distinct(), on, "left_semi")
+    numbered = with_rank(inside, F.floor(F.col(on) / 65_536), [on], "idx", 0)
+    return bootstrap_ratio(numbered, n_boot, seed)
 
 
 def rand_apply(draws: DataFrame, keys: list[str], func: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -164,42 +244,35 @@ def min_distance(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return near.groupBy(key).agg(F.avg("d").alias("distance"))
 
 
-def profile_correlation(a: DataFrame, b: DataFrame, key: str, width: int, length: int) -> DataFrame:
-    """Spearman's correlation of two smoothed profiles over [0, length), by key; zeros count.  Null where a profile is even."""
-    x, y = (spread(df, width, width, (key,)).where(f"pos >= 0 and pos < {length}") for df in (a, b))
-    grid = a.select(key).intersect(b.select(key)).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))))
-    dense = grid.join(x.withColumnRenamed("n", "x"), [key, "pos"], "left").join(y.withColumnRenamed("n", "y"), [key, "pos"], "left").fillna(0, ["x", "y"])
-    rank = lambda c: F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2
-    return dense.withColumn("rx", rank("x")).withColumn("ry", rank("y")).groupBy(key).agg((F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))).alias("rho"))
-
-
-def kmer_matches(sequences: DataFrame, k: int) -> DataFrame:
-    """(seq_id, kmer, start): every k-mer of bases A, C, G, T with its start."""
-    s = sequences.where(F.length("seq") >= k).select("seq_id", F.upper("seq").alias("seq"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("start"))
-    return s.select("seq_id", F.expr(f"substring(seq, start + 1, {k})").alias("kmer"), "start").where(F.col("kmer").rlike("^[ACGT]+$"))
-
-
-def kmer_frequency(matches: DataFrame, profile: DataFrame, width: int, extra=()) -> DataFrame:
-    """For each k-mer, the counts within `width` of each of its starts; profile: seq_id, pos, n."""
-    wide = spread(profile, width, width, ("seq_id", *extra)).withColumnsRenamed({"pos": "start"})
-    return matches.join(wide, ["seq_id", "start"]).groupBy(*extra, "kmer").agg(F.sum("n").alias("freq"))
-
-
-def kmer_enrichment(sequences: DataFrame, profile: DataFrame, k: int, width: int, rands: int, seed: int = 42) -> DataFrame:
-    """(kmer, z): the observed share of each k-mer against randomised profiles; a randomisation without it counts as 0."""
-    matches = kmer_matches(sequences, k)
-    lengths = sequences.select("seq_id", F.length("seq").alias("_l"))
-    observed = kmer_frequency(matches, profile, width)
-    observed = observed.crossJoin(F.broadcast(observed.agg(F.sum("freq").alias("_t")))).select("kmer", (F.col("freq") / F.col("_t")).alias("obs"))
-    tags = profile.join(lengths, "seq_id").select("seq_id", "_l", "pos", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_tag"))
-    tags = tags.withColumn("rand_id", F.explode(F.sequence(F.lit(0), F.lit(rands - 1))))
-    drawn = tags.select("seq_id", "rand_id", (hash_number(seed, F.col("rand_id"), F.col("seq_id"), F.col("pos"), F.col("_tag")) % F.col("_l")).alias("pos")).groupBy("seq_id", "rand_id", "pos").agg(F.count("*").alias("n"))
-    random = kmer_frequency(matches, drawn, width, ("rand_id",))
-    random = random.withColumn("s", F.col("freq") / F.sum("freq").over(Window.partitionBy("rand_id")))
-    moments = random.groupBy("kmer").agg(F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
-    mean = F.coalesce("s1", F.lit(0.0)) / rands
-    var = (F.coalesce("s2", F.lit(0.0)) - rands * mean * mean) / (rands - 1)
-    return observed.join(moments, "kmer", "left").select("kmer", ((F.col("obs") - mean) / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0))).alias("z"))
+def profile_correlation(a: DataFrame, b: DataFrame, segments: DataFrame, width: int = 10) -> DataFrame:
+    """(segment_id, rho): Spearman's correlation of two smoothed profiles (segment_id, pos, n) over all bases of each segment that has signal in both.
+
+    Bases without signal count, and are never laid out: they share one rank, which
+    follows from how many they are.  Null where a profile is even.
+    """
+    key = "segment_id"
+    bounds = segments.select(key, "start", "end")
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        """Smoothed values within their segment, as ranks among all its bases, less the mean rank."""
+        runs = coverage_runs(df.select(key, "pos", "n"), width, width, (key,)).withColumnsRenamed({"start": "_s", "end": "_e"}).join(bounds, key)
+        runs = runs.select(key, F.greatest("_s", "start").alias("s"), F.least("_e", "end").alias("e"), "n", (F.col("end") - F.col("start")).alias("length")).where("s < e")
+        ties = runs.groupBy(key, "n", "length").agg(F.sum(F.col("e") - F.col("s")).alias("c"))
+        w = Window.partitionBy(key)
+        zeros = F.col("length") - F.sum("c").over(w)
+        below = F.sum("c").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+        mean = (F.col("length") + 1) / 2
+        ranks = ties.select(key, "n", (zeros + below + (F.col("c") + 1) / 2 - mean).alias("r"), ((zeros + 1) / 2 - mean).alias("z"))
+        return runs.join(ranks, [key, "n"]).select(key, "length", F.explode(F.sequence("s", F.col("e") - 1)).alias("pos"), F.col("r").alias(name), F.col("z").alias(f"{name}0"))
+
+    x, y = ranked(a, "x"), ranked(b, "y")
+    zero = x.groupBy(key, "length").agg(F.first("x0").alias("zx")).join(y.groupBy(key).agg(F.first("y0").alias("zy")), key)
+    both = x.select(key, "pos", "x").join(y.select(key, "pos", "y"), [key, "pos"], "full").join(zero, key)
+    dx, dy = F.coalesce("x", "zx"), F.coalesce("y", "zy")
+    rest = F.col("length") - F.col("m")
+    sums = both.groupBy(key, "length", "zx", "zy").agg(F.count("*").alias("m"), F.sum(dx * dy).alias("xy"), F.sum(dx * dx).alias("xx"), F.sum(dy * dy).alias("yy"))
+    xy, xx, yy = F.col("xy") + rest * F.col("zx") * F.col("zy"), F.col("xx") + rest * F.col("zx") * F.col("zx"), F.col("yy") + rest * F.col("zy") * F.col("zy")
+    return sums.select(key, F.when((xx > 1e-9) & (yy > 1e-9), xy / F.sqrt(xx * yy)).alias("rho"))
 
 
 def reproducibility_z(a: DataFrame, b: DataFrame, segments: DataFrame, rands: int, seed: int = 42) -> DataFrame:

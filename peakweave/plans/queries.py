@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.reads import PRESETS, aligned_positions, crosslink_position, first_deletion_offset, reverse_complement, rewrite_name, split_barcode
+from ..functions.reads import PRESETS, aligned_positions, crosslink_position, demultiplex, first_deletion_offset, fragment_length, reverse_complement, rewrite_name, split_barcode, track_hub
 from ..operators import coordinates as co
 from ..operators import intervals as iv
 from ..operators import profiles as pr
+from ..operators import segments as sg
+from ..operators import sequences as sq
 from ..operators import statistics as st
+from ..operators.ranking import coarse, with_rank
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +36,8 @@ def query(sql: str | None = None):
 R, E, X, M, C, S, G = f"WITH {v.READS}", v.EXONS, v.MATRIX, v.TX_MAP, v.CDS, v.SITES, v.SEGMENTS
 IN = "p.contig = i.contig AND p.strand = i.strand AND p.pos >= i.start AND p.pos < i.\"end\""
 r6 = lambda c: F.round(c, 6)
+#: Tails that are fractions lie on the edge of rounding; a little more puts them on one side in both engines.
+p6 = lambda c: F.round(F.col(c) + 1.234e-9, 6)
 
 
 def introns_sql(keys: str, source: str = "merged") -> str:
@@ -284,20 +289,42 @@ def meta_gene(spark, d):
     return pr.meta_gene(v.pooled(spark, d), v.exons(spark, d)).withColumn("density", r6("density"))
 
 
+@query(f"""{R}, {E}, {M}, {BINNED}, grid AS (SELECT 'exons' AS region, unnest(range(0, 100))::int AS bin UNION ALL SELECT 'flank5', unnest(range(0, 10))::int UNION ALL SELECT 'flank3', unnest(range(0, 10))::int),
+f AS (SELECT g.*, t.transcript_id, coalesce(b.n, 0) + 1 AS n FROM grid g CROSS JOIN (SELECT DISTINCT transcript_id FROM binned) t LEFT JOIN binned b ON b.transcript_id = t.transcript_id AND b.region = g.region AND b.bin = g.bin),
+m AS (SELECT region, bin, sum(n / s) AS x FROM (SELECT *, sum(n) OVER (PARTITION BY transcript_id) AS s FROM f) GROUP BY ALL) SELECT region, bin, round(x / sum(x) OVER (), 6) AS density FROM m""")
+def meta_gene_pseudo_count(spark, d):
+    return pr.normalised(pr.meta_gene(v.pooled(spark, d), v.exons(spark, d), pseudo_count=1.0)).withColumn("density", r6("density"))
+
+
 @query(f"{R}, {E}, {M}, {BINNED} SELECT region, bin, sum(n)::double AS density FROM binned GROUP BY ALL")
 def meta_gene_counts(spark, d):
     return pr.meta_gene(v.pooled(spark, d), v.exons(spark, d), row_norm=False)
 
 
-DENSE = f"""{COUNTED}, found AS (SELECT transcript_id, (floor(x / 25.0) * 25)::int AS bin, sum(n) AS n FROM (SELECT c.*, CASE region WHEN 'flank5' THEN base - 100 WHEN 'flank3' THEN base + tx_len ELSE base END AS x FROM counted c JOIN lens USING (transcript_id)) WHERE floor(x / 25.0) * 25 >= -100 AND floor(x / 25.0) * 25 < 300 GROUP BY ALL),
+def _dense(flank: str, place: str) -> str:
+    counted = COUNTED.replace("min(g_start) - 100", f"min(g_start) - {flank}").replace("max(g_end) + 100", f"max(g_end) + {flank}")
+    return f"""{counted}, found AS (SELECT transcript_id, (floor(x / 25.0) * 25)::int AS bin, sum(n) AS n FROM (SELECT c.*, CASE region WHEN 'flank5' THEN base - {flank.replace("max(tx_len)", "tx_len")} WHEN 'flank3' THEN base + tx_len ELSE base END - {place} AS x FROM counted c JOIN lens USING (transcript_id)) WHERE floor(x / 25.0) * 25 >= -100 AND floor(x / 25.0) * 25 < 300 GROUP BY ALL),
 dense AS (SELECT r.transcript_id AS row_id, b::int AS bin, coalesce(n, 0)::double AS value FROM (SELECT DISTINCT transcript_id FROM found) r CROSS JOIN range(-100, 300, 25) t(b) LEFT JOIN found f ON f.transcript_id = r.transcript_id AND f.bin = b)"""
 
 
+DENSE, DENSE_END = _dense("greatest(100, 300 - max(tx_len))", "0"), _dense("greatest(100 - max(tx_len), 300, 0)", "tx_len")
+
+
 @query(f"{R}, {E}, {M}, {DENSE} SELECT * FROM dense")
 def binding_matrix(spark, d):
     return pr.binding_matrix(v.pooled(spark, d), v.exons(spark, d))
 
 
+@query(f"{R}, {E}, {M}, {DENSE_END} SELECT * FROM dense")
+def binding_matrix_end(spark, d):
+    return pr.binding_matrix(v.pooled(spark, d), v.exons(spark, d), align="end")
+
+
+@query(f"{R.replace('pooled AS (SELECT contig, strand, pos', 'pooled AS (SELECT contig, translate(strand, $$+-$$, $$-+$$) AS strand, pos')}, {E}, {M}, {DENSE} SELECT row_id, -bin AS bin, value FROM dense WHERE -bin BETWEEN -150 AND 50")
+def reverse_strand_cropped(spark, d):
+    return pr.crop(pr.binding_matrix(v.pooled(spark, d), v.exons(spark, d), reverse=True), -150, 50)
+
+
 @query(f"WITH {X} SELECT row_id, bin, round(value / greatest((SELECT min(value) FROM matrix WHERE value > 0), quantile_cont(value, 0.99) OVER (PARTITION BY row_id)), 6) AS value FROM matrix")
 def quantile_row_norm(spark, d):
     return pr.quantile_row_norm(v.matrix(spark, d)).withColumn("value", r6("value"))
@@ -321,7 +348,72 @@ def norm_by_matrix(spark, d):
 
 @query(f"WITH {X}, k AS (SELECT row_id, sum(value) AS s FROM matrix GROUP BY row_id) SELECT row_id, row_number() OVER (ORDER BY round(s, 6) DESC, row_id) AS place FROM k")
 def sorted_matrix(spark, d):
-    return v.matrix(spark, d).groupBy("row_id").agg(r6(F.sum("value")).alias("s")).select("row_id", F.row_number().over(Window.orderBy(F.desc("s"), "row_id")).cast("long").alias("place"))
+    sums = v.matrix(spark, d).groupBy("row_id").agg(r6(F.sum("value")).alias("s"))
+    return with_rank(sums, -coarse(F.col("s")), [F.desc("s"), F.asc("row_id")]).select("row_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {X}, k AS (SELECT row_id, row_number() OVER (ORDER BY row_id DESC) AS place FROM (SELECT DISTINCT row_id FROM matrix)), m AS (SELECT place, bin, value FROM matrix JOIN k USING (row_id)),
+c AS (SELECT place, greatest(ceil(bin * 10 / 63.0) - 1, 0)::int AS "group", avg(value) AS value FROM m GROUP BY ALL), n AS (SELECT max(place) AS n FROM k)
+SELECT greatest(ceil((place - 1) * 20 / (n - 1)) - 1, 0)::int AS row_group, "group", round("group" * 63 / 10.0 - CASE WHEN "group" = 0 THEN 0.063 ELSE 0 END, 6) AS edge, round(avg(value), 6) AS value FROM c, n GROUP BY ALL""")
+def compress_rows(spark, d):
+    return pr.compress_matrix(pr.in_order(v.matrix(spark, d)).select("place", "bin", "value"), 20, 10).withColumn("value", r6("value")).withColumn("edge", r6("edge"))
+
+
+@query(f"""WITH {X}, k AS (SELECT row_id, row_number() OVER (ORDER BY s DESC, row_id) AS place FROM (SELECT row_id, sum(value) AS s FROM matrix GROUP BY row_id)) SELECT place, row_id, bin, round(least(value, 1.0), 6) AS value FROM matrix JOIN k USING (row_id)""")
+def heat_map(spark, d):
+    return pr.heat_map(v.matrix(spark, d)).withColumn("value", r6("value"))
+
+
+def _order(name: str, sql: str, column: str) -> None:
+    def run(spark, d):
+        exons, cds = v.exons(spark, d), v.cds(spark, d)
+        lengths = co.transcript_lengths(exons, cds).select(F.col("transcript_id").alias("row_id"), F.col(column).alias("key"))
+        return pr.in_order(pr.binding_matrix(v.pooled(spark, d), exons), lengths).select("place", "row_id", "bin", "value")
+
+    run.__name__ = f"rows_by_{name}"
+    query(f"{R}, {E}, {C}, {M}, {DENSE}, {SUBTRACT}, {LENGTHS} SELECT place, row_id, bin, value FROM dense JOIN (SELECT row_id, row_number() OVER (ORDER BY {sql} DESC, row_id) AS place FROM (SELECT DISTINCT row_id FROM dense) r LEFT JOIN tx_lengths l ON l.transcript_id = r.row_id) USING (row_id)")(run)
+
+
+LENGTHS = """ends AS (SELECT transcript_id, min(start) AS c0, max("end") AS c1 FROM cds GROUP BY ALL),
+utrs AS (SELECT transcript_id, sum("end" - start) FILTER (CASE WHEN strand = '-' THEN start >= c1 ELSE "end" <= c0 END) AS u5, sum("end" - start) FILTER (CASE WHEN strand = '-' THEN "end" <= c0 ELSE start >= c1 END) AS u3 FROM rest JOIN ends USING (transcript_id) GROUP BY ALL),
+firsts AS (SELECT transcript_id, "end" - start AS f FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY CASE WHEN strand = '-' THEN -start ELSE start END) AS i FROM exons) WHERE i = 1),
+tx_lengths AS (SELECT transcript_id, t.total, coalesce(u5, 0)::bigint AS utr5, coalesce(u3, 0)::bigint AS utr3, f AS first_exon FROM (SELECT transcript_id, max(tx_len) AS total FROM tx_map GROUP BY ALL) t JOIN firsts USING (transcript_id) LEFT JOIN utrs USING (transcript_id))"""
+
+
+@query(f"WITH {E}, {C}, {M}, {SUBTRACT}, {LENGTHS} SELECT * FROM tx_lengths")
+def transcript_length_table(spark, d):
+    return co.transcript_lengths(v.exons(spark, d), v.cds(spark, d))
+
+
+for _by in ("total", "utr3", "utr5", "first_exon"):
+    _order(_by, _by, _by)
+
+
+@query(f"{R}, {E}, {M}, {DENSE} SELECT place, row_id, bin, value FROM dense JOIN (SELECT row_id, row_number() OVER (ORDER BY row_id DESC) AS place FROM (SELECT DISTINCT row_id FROM dense)) USING (row_id)")
+def rows_backwards(spark, d):
+    return pr.in_order(pr.binding_matrix(v.pooled(spark, d), v.exons(spark, d))).select("place", "row_id", "bin", "value")
+
+
+@query(f"{R}, {E}, {M}, {DENSE} SELECT place, row_id, bin, value FROM dense JOIN (SELECT row_id, row_number() OVER (ORDER BY k DESC NULLS LAST, row_id) AS place FROM (SELECT DISTINCT row_id FROM dense) r LEFT JOIN (SELECT s_suppkey AS row_id, s_nationkey AS k FROM supplier) USING (row_id)) USING (row_id)")
+def rows_by_given_keys(spark, d):
+    keys = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_nationkey").alias("key"))
+    return pr.in_order(pr.binding_matrix(v.pooled(spark, d), v.exons(spark, d)), keys).select("place", "row_id", "bin", "value")
+
+
+@query(f"WITH {E} SELECT {v.TX_KEYS}, start, \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY CASE WHEN strand = '-' THEN start ELSE -start END) AS i FROM exons) WHERE i = 1")
+def last_exon_transcript(spark, d):
+    return co.last_exon_of_transcript(v.exons(spark, d))
+
+
+@query(f"WITH {E} SELECT gene_id, contig, strand, min(start) AS start, max(\"end\") AS \"end\", string_agg(DISTINCT start || '-' || \"end\", ',' ORDER BY start || '-' || \"end\") AS exons FROM exons GROUP BY ALL")
+def flat_genes(spark, d):
+    names = F.array_sort(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))))
+    return co.flat_genes(v.exons(spark, d)).withColumn("exons", F.array_join(names, ","))
+
+
+@query(f"WITH {E}, {v.merged('gene_id, contig, strand')} SELECT gene_id AS transcript_id, * FROM merged")
+def merged_genes(spark, d):
+    return co.merged_genes(v.exons(spark, d))
 
 
 @query(f"""{R}, {S}, w AS (SELECT CASE WHEN s.strand = '-' THEN p.pos < s.pos ELSE p.pos >= s.pos END AS d, n FROM pooled p JOIN sites s ON p.contig = s.contig AND p.strand = s.strand AND p.pos >= s.pos - 50 AND p.pos < s.pos + 50),
@@ -377,7 +469,8 @@ def cluster_window_sum(spark, d):
     return pr.window_sums(v.pooled(spark, d), 15, own=False, bin_width=512)
 
 
-HEIGHTS = "SELECT {k}, h AS height, round(sum(c) OVER (PARTITION BY {k} ORDER BY h DESC ROWS UNBOUNDED PRECEDING) / sum(c) OVER (PARTITION BY {k}), 6) AS p FROM (SELECT {k}, h, count(*) AS c FROM (SELECT {k}, q, sum(n)::bigint AS h FROM (SELECT *, unnest(range(pos - {b}, pos + {b} + 1)) AS q FROM {t}) GROUP BY ALL) GROUP BY ALL)"
+HEIGHTS = """SELECT {k}, h AS height, round(sum(c) OVER (PARTITION BY {k} ORDER BY h DESC ROWS UNBOUNDED PRECEDING) / sum(c) OVER (PARTITION BY {k}), 6) AS p FROM (SELECT {k}, h, sum(l) AS c FROM (
+  SELECT {k}, (sum(sum(n)) OVER (PARTITION BY {k} ORDER BY q))::bigint AS h, lead(q) OVER (PARTITION BY {k} ORDER BY q) - q AS l FROM (SELECT {k}, pos - {b} AS q, n FROM {t} UNION ALL SELECT {k}, pos + {b} + 1, -n FROM {t}) GROUP BY {k}, q) WHERE h > 0 GROUP BY ALL)"""
 
 
 @query(f"{R} {HEIGHTS.format(k='contig, strand', b=5, t='pooled')}")
@@ -406,29 +499,73 @@ def randomise_sites(spark, d):
     return st.randomise_sites(v.pooled(spark, d), v.segments(spark, d), 3)
 
 
-@query(f"""{R}, {E}, {G}, {INSIDE}, {DRAWN.format(n=10)}, o AS ({HEIGHTS.format(k='segment_id', b=5, t='inside').replace('round(', '(').replace(', 6)', ')')}), z AS ({HEIGHTS.format(k='segment_id, rand_id', b=5, t='drawn').replace('round(', '(').replace(', 6)', ')')}),
-q AS (SELECT o.segment_id, o.height, o.p, r.rand_id, coalesce(max(z.p), 0) AS q FROM o CROSS JOIN range(0, 10) r(rand_id) LEFT JOIN z ON z.segment_id = o.segment_id AND z.rand_id = r.rand_id AND z.height >= o.height GROUP BY ALL),
+def _fdr(columns: str, b: int = 15, n: int = 100) -> str:
+    """SQL from `inside` to the rates (fdr) of bases (f2)."""
+    plain = lambda k, t: HEIGHTS.format(k=k, b=b, t=t).replace("round(", "(").replace(", 6)", ")")
+    return f"""{DRAWN.format(n=n)}, o AS ({plain("segment_id", "inside")}), z AS ({plain("segment_id, rand_id", "drawn")}),
+x AS (SELECT o.*, r.rand_id FROM o, range(0, {n}) r(rand_id)), q AS (SELECT x.segment_id, x.height, x.p, coalesce(z.p, 0) AS q FROM x ASOF LEFT JOIN z ON z.segment_id = x.segment_id AND z.rand_id = x.rand_id AND x.height <= z.height),
 f AS (SELECT segment_id, height, (avg(q) + stddev_samp(q)) / p AS fdr FROM q GROUP BY segment_id, height, p),
-h AS (SELECT segment_id, pos, n, (sum(n) OVER (PARTITION BY segment_id ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))::bigint AS height FROM inside)
-SELECT h.segment_id, h.pos, h.n, h.height, round(f.fdr, 6) AS fdr FROM h JOIN f USING (segment_id, height)""")
+h AS (SELECT {columns}, (sum(n) OVER (PARTITION BY segment_id ORDER BY pos RANGE BETWEEN {b} PRECEDING AND {b} FOLLOWING))::bigint AS height FROM inside), f2 AS (SELECT h.*, f.fdr FROM h JOIN f USING (segment_id, height))"""
+
+
+@query(f"{R}, {E}, {G}, {INSIDE}, {_fdr('segment_id, pos, n')} SELECT segment_id, pos, n, height, round(fdr, 6) AS fdr FROM f2")
 def crosslink_fdr(spark, d):
-    return st.crosslink_fdr(v.pooled(spark, d), v.segments(spark, d), 10, 5).withColumn("fdr", r6("fdr"))
+    return st.crosslink_fdr(v.pooled(spark, d), v.segments(spark, d)).withColumn("fdr", r6("fdr"))
 
 
-@query()
+@query(f"""{R}, {E}, {G}, {INSIDE}, {_fdr('segment_id, contig, strand, pos, n')}, b AS (SELECT *, row_number() OVER (PARTITION BY contig, strand, pos ORDER BY round(fdr, 9), n DESC, segment_id) AS i FROM f2 WHERE round(fdr, 9) <= 0.5)
+SELECT segment_id, contig, strand, pos, n, height, round(CASE WHEN fdr = 0 THEN 1e9 ELSE -log10(fdr) END, 6) AS score FROM b WHERE i = 1""")
 def significant_bases(spark, d):
-    found = st.crosslink_fdr(v.pooled(spark, d), v.segments(spark, d), 20, 15).join(v.segments(spark, d).select("segment_id", "contig", "strand"), "segment_id")
-    return st.significant_bases(found, 0.5)
+    rates = st.crosslink_fdr(v.pooled(spark, d), v.segments(spark, d)).withColumn("fdr", F.round("fdr", 9))
+    found = rates.join(v.segments(spark, d).select("segment_id", "contig", "strand"), "segment_id")
+    # The invented signal is even, so the threshold is wider than the operator's own, and infinite scores are drawn in.
+    return st.significant_bases(found, 0.5).withColumn("score", r6(F.least("score", F.lit(1e9)))).drop("fdr")
+
+
+@query(f"""{R}, {E}, {v.GENE_MAP}, {introns_sql(v.TX_KEYS)}, {v.PLACED}, {_fdr('segment_id, contig, strand, g_pos, pos, n')} SELECT segment_id, contig, strand, g_pos, n, round(coalesce(fdr, 1), 6) AS fdr FROM f2""")
+def segment_fdr(spark, d):
+    placed = sg.place(v.pooled(spark, d), v.exons(spark, d), "all")
+    return sg.on_contig(st.fdr_of_placed(placed), placed).select("segment_id", "contig", "strand", "g_pos", "n", r6(F.coalesce("fdr", F.lit(1.0))).alias("fdr"))
+
 
+def _tail(k: str, n: str, p: str) -> str:
+    return f"CASE WHEN {k} <= 0 THEN 1.0 WHEN {k} > {n} OR {p} <= 0 THEN 0.0 WHEN {p} >= 1 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range({k}, {n} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))))) END"
 
-@query()
+
+PVALUES = f"""h AS (SELECT *, (sum(n) OVER (PARTITION BY segment_id ORDER BY pos RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING) - n)::bigint AS w, (sum(n) OVER (PARTITION BY segment_id))::bigint AS total, "end" - start AS l, (least("end", pos + 15) - greatest(start, pos - 15)) / ("end" - start) AS share FROM inside),
+pv AS (SELECT * EXCLUDE (w, total, l, share), {_tail("n - 1", "total", "1.0 / l")} * {_tail("w", "total", "share")} AS p FROM h)"""
+
+
+@query(f"{R}, {E}, {G}, {INSIDE}, {PVALUES} SELECT segment_id, pos, n, round(p + 1.234e-9, 6) AS p FROM pv")
 def binomial_pvalues(spark, d):
-    return st.binomial_pvalues(v.pooled(spark, d), v.segments(spark, d)).withColumn("p", r6("p"))
+    return st.binomial_pvalues(v.pooled(spark, d), v.segments(spark, d)).withColumn("p", p6("p"))
 
 
-@query()
+@query(f"""{R}, {E}, {G}, {INSIDE}, {PVALUES}, {v.merged("segment_id", '(SELECT segment_id, pos - 15 AS start, pos + 16 AS "end", p FROM pv WHERE round(p, 9) < 0.05)', "windows", 0, ", min(p) AS p")} SELECT segment_id, start, "end", round(p + 1.234e-9, 6) AS p FROM windows""")
 def significance_windows(spark, d):
-    return st.significance_windows(st.binomial_pvalues(v.pooled(spark, d), v.segments(spark, d)), 15).withColumn("p", r6("p"))
+    found = st.binomial_pvalues(v.pooled(spark, d), v.segments(spark, d)).withColumn("p", F.round("p", 9))
+    return st.significance_windows(found, 15).withColumn("p", p6("p"))
+
+
+def _grouping(name: str, tx_map: str, placed: str) -> None:
+    def run(spark, d):
+        placed_ = sg.place(v.pooled(spark, d), v.exons(spark, d), name, v.cds(spark, d))
+        return st.binomial_of_placed(placed_).withColumn("p", p6("p"))
+
+    run.__name__ = f"binomial_{name}"
+    query(f"{R}, {E}, {C}, {tx_map}, {introns_sql(v.TX_KEYS)}, {placed}, {PVALUES} SELECT segment_id, pos, n, round(p + 1.234e-9, 6) AS p FROM pv")(run)
+
+
+_grouping("exons", v.TX_MAP, v.PLACED)
+_grouping("utrs", v.TX_MAP, v.PLACED_PARTS)
+_grouping("all", v.GENE_MAP, v.PLACED)
+
+
+@query(f"{R}, {E}, {v.TX_MAP}, {introns_sql(v.TX_KEYS)}, {v.PLACED}, {PVALUES} SELECT contig, strand, g_pos AS pos, round(min(p) + 1.234e-9, 6) AS p FROM pv GROUP BY ALL")
+def least_p_of_bases(spark, d):
+    placed = sg.place(v.pooled(spark, d), v.exons(spark, d))
+    found = sg.on_contig(st.binomial_of_placed(placed), placed).select("contig", "strand", F.col("g_pos").alias("pos"), "p")
+    return st.bases_output(found).withColumn("p", p6("p"))
 
 
 @query(f"{R} SELECT contig, strand, pos, round(p, 6) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC)), 6) AS q FROM (SELECT contig, strand, pos, p, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS r FROM (SELECT *, 1.0 / (1 + n * n + pos % 7) AS p FROM pooled WHERE pos >= 0))")
@@ -437,12 +574,35 @@ def bh_fdr(spark, d):
     return st.bh_fdr(p).select("contig", "strand", "pos", r6("p").alias("p"), r6("q").alias("q"))
 
 
-@query("""WITH t AS (SELECT s_suppkey, s_nationkey AS test, s_suppkey % 17 AS control, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier), c AS (SELECT count(*) AS c FROM t),
-b AS (SELECT r, sum(test) / sum(control) AS x FROM (SELECT r, ('0x' || substr(md5('7|' || r || '|' || i), 1, 8))::bigint % c AS idx FROM c, range(0, 200) a(r), range(0, (SELECT count(*) FROM t)) k(i)) JOIN t USING (idx) GROUP BY r)
-SELECT round((SELECT sum(test) / sum(control) FROM t), 6) AS ratio, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM b""")
+BOOT = """c AS (SELECT count(*) AS c FROM t), b AS (SELECT r, sum(test) / sum(control) AS x, avg(test) AS m FROM (SELECT r, ('0x' || substr(md5('7|' || r || '|' || i), 1, 8))::bigint % c AS idx FROM c, range(0, 1000) a(r), range(0, (SELECT count(*) FROM t)) k(i)) JOIN t USING (idx) GROUP BY r)
+SELECT round((SELECT sum(test) / sum(control) FROM t), 6) AS ratio, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM b"""
+RATIOS = "SELECT s_suppkey, s_nationkey AS test, s_suppkey % 17 AS control, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier"
+
+
+def _ratios(spark, d):
+    return v.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("test"), (F.col("s_suppkey") % 17).alias("control"))
+
+
+def _indexed(rows: DataFrame) -> DataFrame:
+    return with_rank(rows, F.floor(F.col("s_suppkey") / 65_536), ["s_suppkey"], "idx", 0)
+
+
+@query(f"WITH t AS ({RATIOS}), {BOOT}")
 def bootstrap_ratio_ci(spark, d):
-    s = v.table(spark, d, "supplier").select(F.col("s_nationkey").alias("test"), (F.col("s_suppkey") % 17).alias("control"), (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("idx"))
-    return st.bootstrap_ratio(s, 200).select(r6("ratio").alias("ratio"), r6("lo").alias("lo"), r6("hi").alias("hi"))
+    return st.bootstrap_ratio(_indexed(_ratios(spark, d))).select(*(r6(c).alias(c) for c in ("ratio", "lo", "hi")))
+
+
+@query(f"WITH t AS ({RATIOS} WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)), {BOOT}")
+def set_enrichment(spark, d):
+    members = v.table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"))
+    inside = v.table(spark, d, "supplier").join(members, "s_nationkey", "left_semi").select("s_suppkey")
+    return st.set_enrichment(_ratios(spark, d), inside, "s_suppkey").select(*(r6(c).alias(c) for c in ("ratio", "lo", "hi")))
+
+
+@query(f"WITH t AS ({RATIOS}), {BOOT.split('SELECT round((SELECT')[0]} SELECT round(quantile_cont(m, 0.05), 6) AS lo, round(quantile_cont(m, 0.95), 6) AS hi FROM b")
+def bootstrap_mean_ci(spark, d):
+    means = st.bootstrap_statistic(_indexed(_ratios(spark, d)), lambda times: F.sum(F.col("test") * times) / F.sum(times), 1000)
+    return st.boot_ci(means, {"lo": 0.05, "hi": 0.95}).select(r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 TWO = f"{R}, {E}, {G}, two AS (SELECT i.segment_id, p.sample, p.pos, p.n FROM profile p JOIN segments i ON {IN}), a AS (SELECT * FROM two WHERE sample = 'A'), b AS (SELECT * FROM two WHERE sample = 'R')"
@@ -463,13 +623,13 @@ def min_distance(spark, d):
     return st.min_distance(*_two(spark, d), "segment_id").withColumn("distance", r6("distance"))
 
 
-@query(f"""{TWO}, g AS (SELECT segment_id, p FROM (SELECT DISTINCT segment_id FROM a INTERSECT SELECT DISTINCT segment_id FROM b), range(0, 600) t(p)),
+@query(f"""{TWO}, g AS (SELECT segment_id, unnest(range(start, "end")) AS p FROM segments WHERE segment_id IN (SELECT segment_id FROM a INTERSECT SELECT segment_id FROM b)),
 x AS (SELECT segment_id, q AS p, sum(n) AS x FROM (SELECT *, unnest(range(pos - 10, pos + 11)) AS q FROM a) GROUP BY ALL), y AS (SELECT segment_id, q AS p, sum(n) AS y FROM (SELECT *, unnest(range(pos - 10, pos + 11)) AS q FROM b) GROUP BY ALL),
 f AS (SELECT segment_id, p, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM g LEFT JOIN x USING (segment_id, p) LEFT JOIN y USING (segment_id, p)),
 k AS (SELECT *, rank() OVER (PARTITION BY segment_id ORDER BY x) + (count(*) OVER (PARTITION BY segment_id, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY segment_id ORDER BY y) + (count(*) OVER (PARTITION BY segment_id, y) - 1) / 2 AS ry FROM f)
-SELECT segment_id, round(rho, 6) AS rho FROM (SELECT segment_id, corr(rx, ry) AS rho, var_samp(rx) AS vx, var_samp(ry) AS vy FROM k GROUP BY 1) WHERE vx > 0 AND vy > 0""")
+SELECT segment_id, round(CASE WHEN vx > 0 AND vy > 0 THEN rho END, 6) AS rho FROM (SELECT segment_id, corr(rx, ry) AS rho, var_samp(rx) AS vx, var_samp(ry) AS vy FROM k GROUP BY 1)""")
 def corr_profile(spark, d):
-    return st.profile_correlation(*_two(spark, d), "segment_id", 10, 600).where("rho is not null").withColumn("rho", r6("rho"))
+    return st.profile_correlation(*_two(spark, d), v.segments(spark, d), 10).withColumn("rho", r6("rho"))
 
 
 # Sequences.
@@ -477,7 +637,7 @@ def corr_profile(spark, d):
 
 @query(f"WITH {v.SEQUENCES} SELECT kmer, count(*) AS n, min(start) AS first FROM (SELECT substr(seq, s + 1, 5) AS kmer, s::int AS start FROM (SELECT seq, unnest(range(0, length(seq) - 4)) AS s FROM sequences)) GROUP BY kmer")
 def kmer_matches(spark, d):
-    return st.kmer_matches(v.sequences(spark, d), 5).groupBy("kmer").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+    return sq.kmer_matches(v.sequences(spark, d), 5).groupBy("kmer").agg(F.count("*").alias("n"), F.min("start").alias("first"))
 
 
 KMERS = "m AS (SELECT seq_id, substr(seq, s + 1, 4) AS kmer, s AS start FROM (SELECT *, unnest(range(0, length(seq) - 3)) AS s FROM sequences))"
@@ -485,17 +645,47 @@ KMERS = "m AS (SELECT seq_id, substr(seq, s + 1, 4) AS kmer, s AS start FROM (SE
 
 @query(f"WITH {v.SEQ_PROFILE}, {KMERS}, w AS (SELECT seq_id, q AS start, sum(n) AS n FROM (SELECT *, unnest(range(pos - 5, pos + 6)) AS q FROM seq_profile) GROUP BY ALL) SELECT kmer, sum(n)::bigint AS freq FROM m JOIN w USING (seq_id, start) GROUP BY kmer")
 def kmer_frequency(spark, d):
-    return st.kmer_frequency(st.kmer_matches(v.sequences(spark, d), 4), v.seq_profile(spark, d), 5)
+    return sq.kmer_frequency(sq.kmer_matches(v.sequences(spark, d), 4), v.seq_profile(spark, d), 5)
 
 
-@query(f"""WITH {v.SEQ_PROFILE}, {KMERS}, w AS (SELECT seq_id, q AS start, sum(n) AS n FROM (SELECT *, unnest(range(pos - 5, pos + 6)) AS q FROM seq_profile) GROUP BY ALL), o AS (SELECT kmer, sum(n) AS f FROM m JOIN w USING (seq_id, start) GROUP BY kmer),
-t AS (SELECT seq_id, length(seq) AS l, pos, r, unnest(range(1, n + 1)) AS tag FROM seq_profile JOIN sequences USING (seq_id), range(0, 10) x(r)),
+def _kmer_z(k: int) -> str:
+    """SQL for kmer and z of all k-mers, with windows of 15 and 100 randomisations: how often each start of a sequence is covered comes from edges."""
+    runs = "(SELECT {k}seq_id, q AS start, lead(q) OVER w AS e, sum(sum(n)) OVER w AS n FROM (SELECT {k}seq_id, greatest(pos - 15, 0) AS q, n FROM {t} UNION ALL SELECT {k}seq_id, pos + 16, -n FROM {t}) GROUP BY {k}seq_id, q WINDOW w AS (PARTITION BY {k}seq_id ORDER BY q))"
+    bases = ", ".join(f"(VALUES ('A'), ('C'), ('G'), ('T')) b{i}(x{i})" for i in range(k))
+    return f"""{v.SEQ_PROFILE}, m AS (SELECT seq_id, substr(seq, s + 1, {k}) AS kmer, s AS start FROM (SELECT *, unnest(range(0, length(seq) - {k - 1})) AS s FROM sequences)),
+o AS (SELECT kmer, sum(n) AS f FROM m JOIN (SELECT seq_id, unnest(range(start, e)) AS start, n FROM {runs.format(k="", t="seq_profile")} WHERE n > 0) USING (seq_id, start) GROUP BY kmer),
+t AS (SELECT seq_id, length(seq) AS l, pos, r, unnest(range(1, n + 1)) AS tag FROM seq_profile JOIN sequences USING (seq_id), range(0, 100) x(r)),
 dr AS (SELECT seq_id, r, {HASH.format("'42|' || r || '|' || seq_id || '|' || pos || '|' || tag")} % l AS pos, count(*) AS n FROM t GROUP BY ALL),
-wr AS (SELECT seq_id, r, q AS start, sum(n) AS n FROM (SELECT *, unnest(range(pos - 5, pos + 6)) AS q FROM dr) GROUP BY ALL), fr AS (SELECT r, kmer, sum(n) AS f FROM m JOIN wr USING (seq_id, start) GROUP BY ALL),
-sr AS (SELECT kmer, f / sum(f) OVER (PARTITION BY r) AS s FROM fr), mo AS (SELECT kmer, sum(s) / 10 AS mean, sum(s * s) AS s2 FROM sr GROUP BY kmer)
-SELECT kmer, round((f / (SELECT sum(f) FROM o) - mean) / sqrt((s2 - 10 * mean * mean) / 9), 4) AS z FROM o JOIN mo USING (kmer)""")
+fr AS (SELECT r, kmer, sum(n) AS f FROM m JOIN (SELECT r, seq_id, unnest(range(start, e)) AS start, n FROM {runs.format(k="r, ", t="dr")} WHERE n > 0) USING (seq_id, start) GROUP BY ALL),
+sr AS (SELECT kmer, f / sum(f) OVER (PARTITION BY r) AS s FROM fr), mo AS (SELECT kmer, sum(s) / 100 AS mean, sum(s * s) AS s2 FROM sr GROUP BY kmer), universe AS (SELECT {" || ".join(f"x{i}" for i in range(k))} AS kmer FROM {bases}),
+z AS (SELECT kmer, (coalesce(f, 0) / (SELECT sum(f) FROM o) - coalesce(mean, 0)) / nullif(sqrt(greatest((coalesce(s2, 0) - 100 * coalesce(mean, 0) * coalesce(mean, 0)) / 99, 0)), 0) AS z FROM universe LEFT JOIN o USING (kmer) LEFT JOIN mo USING (kmer))"""
+
+
+@query(f"WITH {_kmer_z(5)} SELECT kmer, round(z, 4) AS z FROM z")
 def kmer_enrichment(spark, d):
-    return st.kmer_enrichment(v.sequences(spark, d), v.seq_profile(spark, d), 4, 5, 10).withColumn("z", F.round("z", 4))
+    return sq.kmer_enrichment(v.sequences(spark, d), v.seq_profile(spark, d)).withColumn("z", F.round("z", 4))
+
+
+@query("WITH " + " SELECT 'all' AS profile, 2 AS k, kmer, round(z, 4) AS z FROM z UNION ALL SELECT * FROM (WITH ".join([_kmer_z(2), _kmer_z(3)]) + " SELECT 'all', 3, kmer, round(z, 4) FROM z)")
+def kmer_enrichment_several(spark, d):
+    return sq.kmer_enrichments(v.sequences(spark, d), {"all": v.seq_profile(spark, d)}, [2, 3]).withColumn("z", F.round("z", 4))
+
+
+@query(f"SELECT {' || '.join(f'x{i}' for i in range(6))} AS kmer FROM " + ", ".join(f"(VALUES ('A'), ('C'), ('G'), ('T')) b{i}(x{i})" for i in range(6)))
+def kmer_universe(spark, d):
+    return sq.kmer_universe(spark, 6).select("kmer")
+
+
+@query(f"""WITH {E}, {v.merged(v.TX_KEYS)}, {introns_sql(v.TX_KEYS)}, {v.GENOME}, parts AS (SELECT *, 'exon' AS kind, -1 AS o FROM merged UNION ALL SELECT *, 'intron', start FROM introns),
+j AS (SELECT transcript_id, strand, kind, o, string_agg(base, '' ORDER BY i) AS seq FROM parts p JOIN genome g ON g.contig = p.contig AND g.i >= p.start AND g.i < p."end" GROUP BY ALL)
+SELECT transcript_id, kind, CASE WHEN o >= 0 THEN o END AS start, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ATGCN', 'TACGN')) ELSE seq END AS seq FROM j""")
+def segment_sequences(spark, d):
+    return sq.segment_sequences(v.genome(spark, d), iv.merge(v.exons(spark, d), co.TX), iv.gaps(v.exons(spark, d), co.TX))
+
+
+@query(f"""WITH {S}, {E}, {v.GENOME} SELECT s.id, s.contig, s.pos AS start, s.pos + 70 AS "end", string_agg(base, '' ORDER BY i) AS seq FROM sites s JOIN genome g ON g.contig = s.contig AND g.i >= s.pos AND g.i < s.pos + 70 GROUP BY ALL""")
+def fetch_sequence(spark, d):
+    return sq.fetch(v.genome(spark, d), v.sites(spark, d).select("id", "contig", F.col("pos").alias("start"), (F.col("pos") + 70).alias("end")))
 
 
 @query(f"WITH {v.SEQUENCES} SELECT seq_id, reverse(translate(seq, 'ATGCN', 'TACGN')) AS rc, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) AS gc FROM sequences")
@@ -555,15 +745,65 @@ def umi_extract(spark, d):
     return v.sequences(spark, d).select("seq_id", umi.alias("umi"), barcode.alias("barcode"), F.length(rest).cast("long").alias("rest"), name.alias("name"))
 
 
-@query()
+def _places(tags: str, n: int) -> str:
+    return f"SELECT segment_id, r, start + {HASH.format(chr(39) + '42|' + chr(39) + ' || r || ' + chr(39) + '|' + chr(39) + ' || segment_id || ' + chr(39) + '|' + chr(39) + ' || pos || ' + chr(39) + '|' + chr(39) + ' || tag')} % (\"end\" - start) AS pos, count(*) AS n FROM (SELECT *, unnest(range(1, n + 1)) AS tag FROM {tags}), range(0, {n}) t(r) GROUP BY ALL"
+
+
+@query(f"""{TWO.replace("SELECT i.segment_id, p.sample", 'SELECT i.segment_id, i.start, i."end", p.sample')}, dr AS ({_places("a", 100)}), o AS (SELECT segment_id, sum(a.n * b.n * abs(a.pos - b.pos)) / sum(a.n * b.n) AS distance FROM a JOIN b USING (segment_id) GROUP BY 1),
+x AS (SELECT segment_id, r, sum(dr.n * b.n * abs(dr.pos - b.pos)) / sum(dr.n * b.n) AS x FROM dr JOIN b USING (segment_id) GROUP BY ALL), mo AS (SELECT segment_id, avg(x) AS mean, stddev_samp(x) AS sd FROM x GROUP BY 1)
+SELECT segment_id, round(distance, 6) AS distance, round((distance - mean) / nullif(sd, 0), 6) AS z FROM o JOIN mo USING (segment_id)""")
 def exon_reproducibility_z(spark, d):
     p = v.profile(spark, d)
     a, b = (p.where(F.col("sample") == s).drop("sample") for s in ("A", "R"))
-    return st.reproducibility_z(a, b, v.segments(spark, d), 10).select("segment_id", r6("distance").alias("distance"), r6("z").alias("z"))
+    return st.reproducibility_z(a, b, v.segments(spark, d), 100).select("segment_id", r6("distance").alias("distance"), r6("z").alias("z"))
 
 
-@query()
+@query(f"""{R}, {E}, {v.TX_MAP}, {introns_sql(v.TX_KEYS)}, {v.PLACED}, {PVALUES}, g AS (SELECT gene_id, pv.contig, pv.strand, g_pos AS pos, round(avg(p) + 1.234e-9, 6) AS p FROM pv JOIN (SELECT DISTINCT transcript_id, gene_id FROM exons) e ON e.transcript_id = split_part(segment_id, '|', 1)::bigint GROUP BY ALL)
+SELECT gene_id, contig, strand, pos, p, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC)), 6) AS q FROM (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS r FROM g)""")
 def binomial_bh(spark, d):
-    by_tx = v.exons(spark, d).groupBy(F.col("transcript_id").alias("segment_id"), "gene_id", "contig", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    p = st.binomial_pvalues(v.pooled(spark, d), by_tx).join(by_tx.select("segment_id", "gene_id", "contig", "strand"), "segment_id")
-    return st.bh_fdr(st.gene_averages(p, ["gene_id", "contig", "strand", "pos"]).withColumn("p", r6("p"))).withColumn("q", r6("q"))
+    exons = v.exons(spark, d)
+    placed = sg.place(v.pooled(spark, d), exons)
+    found = sg.on_contig(st.binomial_of_placed(placed), placed).withColumn("transcript_id", F.substring_index("segment_id", "|", 1).cast("long"))
+    found = found.join(exons.select("transcript_id", "gene_id").distinct(), "transcript_id").select("gene_id", "contig", "strand", F.col("g_pos").alias("pos"), "p")
+    return st.bh_fdr(st.gene_averages(found, ["gene_id", "contig", "strand", "pos"]).withColumn("p", p6("p"))).withColumn("q", r6("q"))
+
+
+@query(f"WITH {v.FRAGMENTS} SELECT sample, CASE WHEN is_paired AND length >= 20 THEN abs(tlen) - greatest(0, aligned - length) ELSE length END AS length, count(*) AS n FROM fragments WHERE NOT is_read2 AND NOT mate_unmapped GROUP BY ALL")
+def paired_fragment_lengths(spark, d):
+    length = fragment_length(F.col("length"), F.col("aligned"), F.col("is_paired"), F.col("tlen"), 20)
+    return v.fragments(spark, d).where("not is_read2 and not mate_unmapped").groupBy("sample", length.alias("length")).agg(F.count("*").alias("n"))
+
+
+@query(f"{R}, {CLUSTERS} SELECT count(*) AS clusters, sum(bases)::bigint AS bases FROM clusters")
+def cluster_counts(spark, d):
+    return iv.cluster_counts(iv.clusters(v.pooled(spark, d).where("n >= 3"), 5))
+
+
+@query(f"""WITH {E}, named AS (SELECT contig, start, "end", CASE WHEN e < 4 THEN 'early' ELSE 'late' END AS name FROM exons), {v.merged("contig, name", "named")}
+SELECT name, count(*) AS intervals, sum("end" - start)::bigint AS bases, min("end" - start) AS shortest, max("end" - start) AS longest, round(avg("end" - start), 6) AS mean FROM merged GROUP BY name""")
+def context_lengths(spark, d):
+    named = v.exons(spark, d).select("contig", "start", "end", F.expr("if(e < 4, 'early', 'late')").alias("name"))
+    return iv.context_lengths(iv.merge(named, ("contig", "name"))).withColumn("mean", r6("mean"))
+
+
+@query(f"""WITH {v.SEQUENCES}, {v.SAMPLES}, r AS (SELECT seq_id, seq, CASE WHEN seq_id % 2 = 0 THEN 'L1' ELSE 'L2' END AS lane FROM sequences)
+SELECT track, seq_id, seq[1:1] || seq[4:5] AS umi, length(seq) - 5 AS rest FROM r JOIN samples s ON s.barcode = seq[2:3] AND s.lane = r.lane""")
+def demultiplexed(spark, d):
+    lanes = v.sequences(spark, d).withColumn("lane", F.expr("if(seq_id % 2 = 0, 'L1', 'L2')"))
+    return demultiplex(lanes, v.samples(spark, d)).select("track", "seq_id", "umi", F.length("rest").cast("long").alias("rest"))
+
+
+@query(f"""WITH {v.SAMPLES} SELECT track, concat_ws(chr(10), '    track ' || track, '    parent all', '    bigDataUrl ' || track || '.bw', '    shortLabel ' || track, '    longLabel ' || track || ' +', '    color 0,0,0', '    type bigWig') AS stanza FROM (SELECT DISTINCT track FROM samples)""")
+def track_hub_text(spark, d):
+    tracks = v.samples(spark, d).select("track").distinct().select("track", F.concat("track", F.lit(".bw")).alias("url"), F.lit("+").alias("strand"), F.lit("0,0,0").alias("colour"))
+    return track_hub(tracks, "all")
+
+
+@query(f"""{R}, {E}, {C}, {SUBTRACT}, {REGION_PARTS}, h AS (SELECT region, nb, i.transcript_id, tx_len, n, CASE WHEN i.strand = '-' THEN t_start + i."end" - 1 - pos ELSE t_start + pos - i.start END AS t FROM pooled p JOIN pm i ON {IN}),
+k AS (SELECT transcript_id, region, greatest((t * nb + tx_len - 1) // tx_len - 1, 0)::int AS bin, sum(n) AS x FROM h GROUP BY ALL), lens AS (SELECT DISTINCT transcript_id, region, nb FROM pm), grid AS (SELECT transcript_id, region, unnest(range(0, nb))::int AS bin FROM lens WHERE transcript_id IN (SELECT transcript_id FROM k)),
+f AS (SELECT g.*, coalesce(x, 0) + 1 AS x FROM grid g LEFT JOIN k USING (transcript_id, region, bin)), y AS (SELECT region, bin, sum(x / s) AS density FROM (SELECT *, sum(x) OVER (PARTITION BY transcript_id) AS s FROM f) GROUP BY ALL)
+SELECT region, bin, round(density / sum(density) OVER (), 6) AS density FROM y""")
+def region_meta_normalised(spark, d):
+    exons, cds = v.exons(spark, d), v.cds(spark, d)
+    regions = [(name, bins, co.region(exons, name, cds)) for name, bins in (("5UTR", 20), ("CDS", 100), ("3UTR", 70))]
+    return pr.normalised(pr.region_meta(v.pooled(spark, d), regions, length_norm=False, row_norm=True, pseudo_count=1.0)).withColumn("density", r6("density"))

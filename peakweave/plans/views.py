@@ -78,14 +78,22 @@ def merged(keys: str, source: str = "exons", name: str = "merged", gap: int = 0,
 
 
 TX_KEYS = "transcript_id, gene_id, contig, strand"
-TX_MAP = (
-    merged(TX_KEYS)
-    + f""", tx_map AS (
+
+
+def tx_map(source: str = "exons") -> str:
+    """SQL for the map of transcripts with the intervals of a source."""
+    return (
+        merged(TX_KEYS, source)
+        + f""", tx_map AS (
   SELECT {TX_KEYS}, row_number() OVER w - 1 AS exon_idx, start AS g_start, "end" AS g_end, (sum("end" - start) OVER w - ("end" - start))::bigint AS t_start, (sum("end" - start) OVER w)::bigint AS t_end,
     (sum("end" - start) OVER (PARTITION BY {TX_KEYS}))::bigint AS tx_len
   FROM merged WINDOW w AS (PARTITION BY {TX_KEYS} ORDER BY CASE WHEN strand = '-' THEN -start ELSE start END ROWS UNBOUNDED PRECEDING)
 )"""
-)
+    )
+
+
+TX_MAP = tx_map()
+GENE_MAP = merged("gene_id, contig, strand", "exons", "gene_exons") + ', gexons AS (SELECT gene_id AS transcript_id, * FROM gene_exons), ' + tx_map("gexons")
 
 
 def cds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,3 +146,47 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEGMENTS = """segments AS (SELECT gene_id AS segment_id, contig, strand, min(start) AS start, max("end") AS "end" FROM exons GROUP BY ALL)"""
+
+
+SPLICED = """spliced AS (SELECT i.transcript_id, i.contig, i.strand, tx_len, CASE WHEN i.strand = '-' THEN t_start + g_end - 1 - pos ELSE t_start + pos - g_start END AS t, n, pos AS g_pos
+  FROM pooled p JOIN tx_map i ON p.contig = i.contig AND p.strand = i.strand AND pos >= g_start AND pos < g_end),
+in_introns AS (SELECT i.transcript_id || '|intron|' || i.start AS segment_id, i.contig, i.strand, i.start, i."end", p.pos, p.n, p.pos AS g_pos FROM pooled p JOIN introns i ON p.contig = i.contig AND p.strand = i.strand AND p.pos >= i.start AND p.pos < i."end")"""
+PLACED = SPLICED + """, inside AS (SELECT transcript_id || '|exon' AS segment_id, contig, strand, 0::bigint AS start, tx_len AS "end", t AS pos, n, g_pos FROM spliced UNION ALL SELECT * FROM in_introns)"""
+PLACED_PARTS = SPLICED + """, coding AS (SELECT transcript_id, min(t) AS c0, max(t) + 1 AS c1 FROM (SELECT e.transcript_id, CASE WHEN strand = '-' THEN t_start + g_end - 1 - g ELSE t_start + g - g_start END AS t FROM (SELECT transcript_id, unnest([min(start), max("end") - 1]) AS g FROM cds GROUP BY transcript_id) e JOIN tx_map m ON e.transcript_id = m.transcript_id AND g >= g_start AND g < g_end) GROUP BY transcript_id),
+inside AS (SELECT transcript_id || '|' || part AS segment_id, contig, strand, CASE part WHEN 'CDS' THEN c0 WHEN '3UTR' THEN c1 ELSE 0 END AS start, CASE part WHEN '5UTR' THEN c0 WHEN 'CDS' THEN c1 ELSE tx_len END AS "end", t AS pos, n, g_pos
+  FROM (SELECT s.*, c0, c1, CASE WHEN c0 IS NULL THEN 'exon' WHEN t < c0 THEN '5UTR' WHEN t < c1 THEN 'CDS' ELSE '3UTR' END AS part FROM spliced s LEFT JOIN coding USING (transcript_id)) UNION ALL SELECT * FROM in_introns)"""
+
+
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, start, seq): 2,700 invented bases of each contig with an exon, in chunks of 64."""
+    contigs = exons(spark, sf_dir).select("contig").distinct().select("contig", F.explode(F.sequence(F.lit(0), F.lit(2699), F.lit(64))).alias("start"))
+    at = F.sequence(F.col("start"), F.least(F.col("start") + 63, F.lit(2699)))
+    seq = F.array_join(F.transform(at, lambda i: F.translate(F.substring(F.md5(F.concat(F.col("contig"), F.lit("|"), i.cast("string")).cast("binary")), 1, 1), "0123456789abcdef", "AAAACCCCGGGGTTTT")), "")
+    return contigs.select("contig", F.col("start").cast("long").alias("start"), seq.alias("seq"))
+
+
+GENOME = """genome AS (SELECT contig, i, translate(substr(md5(contig || '|' || i), 1, 1), '0123456789abcdef', 'AAAACCCCGGGGTTTT') AS base FROM (SELECT DISTINCT contig FROM exons), range(0, 2700) t(i))"""
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with mates: length of the read, aligned length, whether it is paired, second, and its mate mapped, and the template's length."""
+    q, k = F.col("l_quantity").cast("long"), F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("sample"), q.alias("length"), (q + F.when((k == 7) & (q >= 6), 2).otherwise(0)).cast("long").alias("aligned"), (k % 3 != 0).alias("is_paired"), (k % 3 == 2).alias("is_read2"),
+        (k % 5 == 0).alias("mate_unmapped"), (F.when(k % 2 == 0, -1).otherwise(1) * (q + F.col("l_partkey") % 50)).cast("long").alias("tlen"),
+    )
+
+
+FRAGMENTS = """fragments AS (SELECT l_returnflag AS sample, l_quantity::bigint AS length, l_quantity::bigint + CASE WHEN l_linenumber = 7 AND l_quantity >= 6 THEN 2 ELSE 0 END AS aligned, l_linenumber % 3 <> 0 AS is_paired,
+  l_linenumber % 3 = 2 AS is_read2, l_linenumber % 5 = 0 AS mate_unmapped, (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * (l_quantity::bigint + l_partkey % 50))::bigint AS tlen FROM lineitem)"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample table: umi_pattern, barcode, track and lane, some with several lanes."""
+    k = F.col("n_nationkey")
+    barcode = F.concat(*(F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1)) for x in (F.floor(k / 4), k)))
+    rows = table(spark, sf_dir, "nation").where("n_nationkey < 16").select(F.lit("NXXNN").alias("umi_pattern"), barcode.alias("barcode"), F.concat(F.lit("t"), k.cast("string")).alias("track"), F.expr("if(n_nationkey % 3 = 0, 'L1', 'L1,L2')").alias("lanes"))
+    return rows.select("umi_pattern", "barcode", "track", F.explode(F.split("lanes", ",")).alias("lane"))
+
+
+SAMPLES = """samples AS (SELECT 'NXXNN' AS umi_pattern, substr('ACGT', (n_nationkey // 4 % 4 + 1)::int, 1) || substr('ACGT', (n_nationkey % 4 + 1)::int, 1) AS barcode, 't' || n_nationkey AS track, unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['L1'] ELSE ['L1', 'L2'] END) AS lane FROM nation WHERE n_nationkey < 16)"""

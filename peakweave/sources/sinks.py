@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,7 +23,7 @@ def write_bed6(profile: DataFrame, path: str) -> None:
 
 def write_bins(bins: DataFrame, width: int, path: str) -> None:
     """Binned counts (contig, strand, bin, n) as BED."""
-    _tsv(bins.select("contig", F.col("bin") * width, (F.col("bin") + 1) * width, F.lit("."), "n", "strand"), path)
+    _tsv(bins.sort("contig", "bin", "strand").select("contig", F.col("bin") * width, (F.col("bin") + 1) * width, F.lit("."), "n", "strand"), path)
 
 
 def bed12(blocks: DataFrame) -> DataFrame:
@@ -35,12 +35,12 @@ def bed12(blocks: DataFrame) -> DataFrame:
 
 
 def write_bed12(blocks: DataFrame, path: str) -> None:
-    _tsv(bed12(blocks), path)
+    _tsv(bed12(blocks).sort("contig", "start"), path)
 
 
 def write_significant(bases: DataFrame, path: str) -> None:
     """contig, start, end, -log10 of the rate, depth, strand."""
-    _tsv(bases.select("contig", "pos", F.col("pos") + 1, "score", "n", "strand"), path)
+    _tsv(bases.sort("contig", "pos", "strand").select("contig", "pos", F.col("pos") + 1, "score", "n", "strand"), path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -53,8 +53,17 @@ def write_matrix(matrix: DataFrame, path: str, bins: list[int]) -> None:
     _tsv(matrix.groupBy("row_id").pivot("bin", bins).agg(F.first("value")), path, True)
 
 
-def clipped(matrix: DataFrame, most: float = 1.0) -> DataFrame:
-    """Values for a heat map: all above `most` are `most`; rows are numbered as they are drawn."""
-    order = Window.orderBy(F.desc("total"), "row_id")
-    place = matrix.groupBy("row_id").agg(F.sum("value").alias("total")).select("row_id", F.row_number().over(order).alias("place"))
-    return matrix.join(place, "row_id").select("place", "row_id", "bin", F.least("value", F.lit(most)).alias("value"))
+def write_chrom_sizes(contigs: DataFrame, path: str) -> None:
+    """contig and length, as programs that index a bedGraph ask for."""
+    _tsv(contigs.select("contig", "length").sort("contig"), path)
+
+
+def write_track_hub(stanzas: DataFrame, path: str) -> None:
+    """The stanzas (track, stanza) of a track database as text, an empty line after each."""
+    stanzas.sort("track").select(F.concat("stanza", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def save_table(df: DataFrame, name: str, keys: list[str] | None = None, buckets: int = 64) -> None:
+    """A table of the catalogue, bucketed and sorted by its keys, if given, so that joins on them need no shuffle."""
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.bucketBy(buckets, *keys).sortBy(*keys) if keys else writer).saveAsTable(name)
