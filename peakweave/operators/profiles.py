@@ -37,17 +37,24 @@ def _flank(flank: int | float | Callable[[Column], Column], length: Column) -> C
 
 
 def count_transcript(profile: DataFrame, exons: DataFrame, flank: int | float | Callable[[Column], Column] = 0) -> DataFrame:
-    """(transcript, region, base, n): signal in transcript coordinates, with flanks counted from their 5' end."""
-    tx_map = transcript_map(exons)
-    pieces = tx_map.select(*TX, F.lit("exons").alias("region"), F.col("g_start").alias("start"), F.col("g_end").alias("end"), "t_start")
+    """(transcript_id, region, base, n): signal in transcript coordinates, with flanks counted from their 5' end."""
+    return _counted(profile, exons, flank).drop("tx_len")
+
+
+def _counted(profile: DataFrame, exons: DataFrame, flank: int | float | Callable[[Column], Column]) -> DataFrame:
+    """As count_transcript, with the transcript's length."""
+    piece = lambda name, start, end, t_start: F.struct(F.lit(name).alias("region"), start.alias("start"), end.alias("end"), t_start.alias("t_start"))
+    s, e, zero, minus = F.col("g_start"), F.col("g_end"), F.lit(0).cast("long"), F.col("strand") == "-"
+    pieces = [piece("exons", s, e, F.col("t_start"))]
     if flank:
-        ends = tx_map.groupBy(*TX).agg(F.min("g_start").alias("s"), F.max("g_end").alias("e"), _flank(flank, F.max("tx_len")).alias("f"))
-        low = ends.select(*TX, F.when(F.col("strand") == "-", "flank3").otherwise("flank5").alias("region"), (F.col("s") - F.col("f")).alias("start"), F.col("s").alias("end"), F.lit(0).cast("long").alias("t_start"))
-        high = ends.select(*TX, F.when(F.col("strand") == "-", "flank5").otherwise("flank3").alias("region"), F.col("e").alias("start"), (F.col("e") + F.col("f")).alias("end"), F.lit(0).cast("long").alias("t_start"))
-        pieces = pieces.unionByName(low).unionByName(high)
-    hit = join_points(profile, pieces)
+        # The first exon of a transcript brings the flank before it along, the last one the flank behind it.
+        f = _flank(flank, F.col("tx_len"))
+        pieces.append(F.when(F.col("t_start") == 0, piece("flank5", F.when(minus, e).otherwise(s - f), F.when(minus, e + f).otherwise(s), zero)))
+        pieces.append(F.when(F.col("t_end") == F.col("tx_len"), piece("flank3", F.when(minus, s - f).otherwise(e), F.when(minus, s).otherwise(e + f), zero)))
+    tx_map = transcript_map(exons).select("transcript_id", "contig", "strand", "tx_len", F.explode(F.array(*pieces)).alias("p"))
+    hit = join_points(profile, tx_map.where("p.`end` > p.start").select("transcript_id", "contig", "strand", "tx_len", "p.*"))
     base = F.when(F.col("strand") == "-", F.col("t_start") + F.col("end") - 1 - F.col("pos")).otherwise(F.col("t_start") + F.col("pos") - F.col("start"))
-    return hit.withColumn("base", base).groupBy("transcript_id", "region", "base").agg(F.sum("n").alias("n"))
+    return hit.withColumn("base", base).groupBy("transcript_id", "region", "base", "tx_len").agg(F.sum("n").alias("n"))
 
 
 def bin_of(pos: Column, length: Column, bins: Column | int) -> Column:
@@ -60,8 +67,7 @@ def meta_gene(profile: DataFrame, exons: DataFrame, flank: int | float = 100, bi
 
     pseudo_count is added to every bin of a transcript that has signal.
     """
-    lengths = transcript_map(exons).select("transcript_id", "tx_len").distinct()
-    counts = count_transcript(profile, exons, flank).join(lengths, "transcript_id")
+    counts = _counted(profile, exons, flank)
     is_exon = F.col("region") == "exons"
     n_bins = F.when(is_exon, bins[1]).when(F.col("region") == "flank5", bins[0]).otherwise(bins[2])
     length = F.when(is_exon, F.col("tx_len")).otherwise(_flank(flank, F.col("tx_len")))
@@ -89,8 +95,7 @@ def binding_matrix(profile: DataFrame, exons: DataFrame, bin_size: int = 25, lef
         profile = profile.withColumn("strand", F.translate("strand", "+-", "-+"))
     place = (lambda n: n) if align == "end" else (lambda n: F.lit(0))
     flank = lambda n: F.greatest(F.lit(left) - place(n), F.lit(right) - (n - place(n)), F.lit(0))
-    lengths = transcript_map(exons).select("transcript_id", "tx_len").distinct()
-    counts = count_transcript(profile, exons, flank).join(lengths, "transcript_id")
+    counts = _counted(profile, exons, flank)
     n = F.col("tx_len")
     x = F.when(F.col("region") == "flank5", F.col("base") - flank(n)).when(F.col("region") == "flank3", F.col("base") + n).otherwise(F.col("base")) - place(n)
     found = counts.select("transcript_id", (F.floor(x / bin_size) * bin_size).cast("int").alias("bin"), "n").where(f"bin >= {-left} and bin < {right}").groupBy("transcript_id", "bin").agg(F.sum("n").alias("n"))
@@ -247,12 +252,11 @@ def region_meta(profile: DataFrame, regions: list[tuple[str, int, DataFrame]], l
     """
     out = None
     for name, bins, parts in regions:
-        lengths = transcript_map(parts).select("transcript_id", "tx_len").distinct()
-        counts = count_transcript(profile, parts).join(lengths, "transcript_id")
+        counts = _counted(profile, parts, 0)
         v = F.col("n") * bins / F.col("tx_len") if length_norm else F.col("n").cast("double")
         one = counts.groupBy("transcript_id", F.lit(name).alias("region"), bin_of(F.col("base"), F.col("tx_len"), bins).alias("bin")).agg(F.sum(v).alias("v"))
         if pseudo_count:
-            grid = lengths.select("transcript_id", F.lit(name).alias("region"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+            grid = parts.select("transcript_id").distinct().select("transcript_id", F.lit(name).alias("region"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
             one = grid.join(one, ["transcript_id", "region", "bin"], "left").select("transcript_id", "region", "bin", F.coalesce("v", F.lit(0.0)).alias("v"))
         out = one if out is None else out.unionByName(one)
     whole = Window.partitionBy("transcript_id")

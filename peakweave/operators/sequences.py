@@ -82,29 +82,37 @@ def kmer_counts(sequences: DataFrame, profile: DataFrame, k: int, width: int, ra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = np.arange(-width, width + 1)
-        total = np.zeros((rands + 1) * size, np.int64)
-
-        def add(codes: np.ndarray, at: np.ndarray, rand: np.ndarray, times: np.ndarray | None) -> None:
+        total, held, n_held = np.zeros((rands + 1) * size, np.int64), [], 0
+
+        def flush() -> None:
+            nonlocal total, n_held
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+            held.clear()
+            n_held = 0
+
+        def add(codes: np.ndarray, at: np.ndarray, rand: np.ndarray) -> None:
+            nonlocal n_held
+            padded = np.concatenate([np.full(width, -1), codes, np.full(width, -1)])
             for a in range(0, len(at), 1 << 15):
-                place = at[a : a + (1 << 15), None] + around
-                ok = (place >= 0) & (place < len(codes))
-                code = np.where(ok, codes[np.where(ok, place, 0)], -1)
-                row = np.broadcast_to((rand[a : a + (1 << 15), None] + 1) * size, code.shape)
-                hit = code >= 0
-                weights = None if times is None else np.broadcast_to(times[a : a + (1 << 15), None], code.shape)[hit]
-                where, back = np.unique(row[hit] + code[hit], return_inverse=True)
-                total[where] += np.bincount(back, weights, len(where)).astype(np.int64)
+                code = padded[at[a : a + (1 << 15), None] + width + around]
+                row = (rand[a : a + (1 << 15), None] + 1) * size + code
+                held.append(row[code >= 0])
+                n_held += len(held[-1])
+                if n_held > len(total) + (1 << 20):
+                    flush()
 
         for batch in batches:
             for i in range(batch.num_rows):
                 seq, pos, n = batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
                 codes = kmer_codes(seq, k)
-                add(codes, pos, np.full(len(pos), -1), n)
+                add(codes, np.repeat(pos, n), np.full(int(n.sum()), -1))
                 step = max(1, (1 << 20) // max(1, int(n.sum())))
                 drawn = draw_places(batch.column(0)[i].as_py(), pos, n, len(seq), rands, seed)
                 for a in range(0, rands, step):
                     part = drawn[a : a + step]
-                    add(codes, part.ravel(), np.repeat(np.arange(a, a + len(part)), part.shape[1]), None)
+                    add(codes, part.ravel(), np.repeat(np.arange(a, a + len(part)), part.shape[1]))
+        flush()
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at // size - 1), pa.array(at % size), pa.array(total[at])], ["rand_id", "code", "freq"])

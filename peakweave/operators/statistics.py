@@ -16,6 +16,10 @@ from .profiles import coverage_runs, height_distribution, window_sums
 from .ranking import with_rank
 
 
+#: Parts in which the randomisations of a segment are dealt to tasks.
+GROUPS = 16
+
+
 def randomise_tags(profile: DataFrame, segments: DataFrame, rands: int, seed: int = 42) -> DataFrame:
     """(segment_id, rand_id, contig, strand, pos, n): every count of a segment is placed anew, evenly and on its own."""
     return randomise_placed(join_points(profile, segments), rands, seed)
@@ -23,10 +27,15 @@ def randomise_tags(profile: DataFrame, segments: DataFrame, rands: int, seed: in
 
 def randomise_placed(inside: DataFrame, rands: int, seed: int = 42) -> DataFrame:
     """As randomise_tags, for signal (segment_id, contig, strand, start, end, pos, n) that has its segments already."""
-    tags = inside.select("segment_id", "start", "end", "contig", "strand", F.col("pos").alias("_pos"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_tag"))
-    drawn = tags.withColumn("rand_id", F.explode(F.sequence(F.lit(0), F.lit(rands - 1))))
-    h = hash_number(seed, F.col("rand_id"), F.col("segment_id"), F.col("_pos"), F.col("_tag"))
-    return drawn.select("segment_id", "rand_id", "contig", "strand", (F.col("start") + h % (F.col("end") - F.col("start"))).alias("pos")).groupBy("segment_id", "rand_id", "contig", "strand", "pos").agg(F.count("*").alias("n"))
+    return _drawn(inside.withColumn("rand_id", F.explode(F.sequence(F.lit(0), F.lit(rands - 1)))), ["segment_id", "rand_id", "contig", "strand"], seed)
+
+
+def _drawn(inside: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """(keys, pos, n): counts of signal with a randomisation (rand_id) placed anew in their segments."""
+    at = F.concat_ws("|", F.lit(str(seed)), F.col("rand_id"), F.col("segment_id"), F.col("pos"))
+    tags = inside.select(*keys, "start", "end", at.alias("_at"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_tag"))
+    pos = F.col("start") + hash_number(F.col("_at"), F.col("_tag")) % (F.col("end") - F.col("start"))
+    return tags.select(*keys, pos.alias("pos")).groupBy(*keys, "pos").agg(F.count("*").alias("n"))
 
 
 def randomise_sites(profile: DataFrame, segments: DataFrame, rands: int, seed: int = 42) -> DataFrame:
@@ -55,8 +64,12 @@ def fdr_of_placed(placed: DataFrame, rands: int = 100, width: int = 15, seed: in
     """As crosslink_fdr, for signal (segment_id, contig, strand, start, end, pos, n) that has its segments already."""
     inside = placed.select("segment_id", "pos", "n")
     observed = height_distribution(inside, width, ("segment_id",))
-    drawn = randomise_placed(placed, rands, seed).select("segment_id", "rand_id", "pos", "n")
-    random = height_distribution(drawn, width, ("segment_id", "rand_id"))
+    # Randomisations are dealt in GROUPS; all that is done to one of a segment happens in the task that it is dealt to.
+    group = F.explode(F.sequence(F.lit(0), F.lit(min(rands, GROUPS) - 1)))
+    dealt = placed.select("segment_id", "start", "end", "pos", "n", group.alias("group")).repartition("segment_id", "group")
+    dealt = dealt.withColumn("rand_id", F.explode(F.sequence(F.col("group"), F.lit(rands - 1), F.lit(min(rands, GROUPS)))))
+    keys = ["segment_id", "group", "rand_id"]
+    random = height_distribution(_drawn(dealt, keys, seed), width, keys).drop("group")
     # P at an observed height is that of the next height that a randomisation has.
     w = Window.partitionBy("segment_id", "rand_id").orderBy(F.desc("height"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     wanted = observed.select("segment_id", F.explode(F.sequence(F.lit(0), F.lit(rands - 1))).alias("rand_id"), "height", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("p"))
