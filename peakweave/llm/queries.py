@@ -90,6 +90,27 @@ FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) g USING (doc_id)
 LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM p GROUP BY a) k USING (doc_id)
 """
 
+_LICENSE_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP1_SQL = f"""
+WITH t(template, license, text) AS (VALUES {", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(license_scan.TEMPLATES))}),
+tw AS (SELECT template, license, {_LICENSE_WORDS} AS w FROM t), tk AS (SELECT *, len(w) AS n, least(len(w), {license_scan.K}) AS k FROM tw),
+ts AS (SELECT DISTINCT template, license, k, n, array_to_string(w[i + 1:i + k], ' ') AS sh FROM (SELECT *, unnest(range(0, n - k + 1)) AS i FROM tk)),
+tn AS (SELECT template, count(*) AS total FROM ts GROUP BY template),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_LICENSE_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+ds AS (SELECT row, doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS sh FROM (SELECT d.*, k, unnest(range(0, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM ts))),
+hits AS (SELECT row, doc_id, template, license, k, n, i, sh, unnest([i // n, i // n - 1]) AS win FROM ds JOIN ts USING (k, sh)),
+c AS (SELECT row, doc_id, template, license, win * n AS first, count(DISTINCT sh) / any_value(total) AS containment FROM hits JOIN tn USING (template) WHERE win >= 0 AND i >= win * n AND i + k <= win * n + 2 * n GROUP BY row, doc_id, template, license, win, n),
+b AS (SELECT *, row_number() OVER (PARTITION BY row, template ORDER BY containment DESC, first) AS nth FROM c WHERE containment >= {license_scan.CONTAINMENT})
+SELECT doc_id, license, containment, first::int AS window_start FROM b WHERE nth = 1
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
 }
