@@ -11,8 +11,8 @@ A generative label model with a hidden class estimates by expectation-maximisati
 how often each voter, the given label included, fires in each class, and how
 voters depend on one another: in each class a voter's rate depends on whether its
 parent fires, and the parents make the tree that carries the most conditional
-mutual information.  A voter that does not fire abstains, which says nothing: toxic
-texts are of several kinds, and each voter knows one.  The model's posteriors train a linear classifier (logistic
+mutual information.  The tree is there from the first round on: toxic texts are of
+several kinds, and without it the silence of many alike voters would outvote the rest.  The model's posteriors train a linear classifier (logistic
 regression with a ridge penalty) on the votes, and that classifier scores every
 row.
 
@@ -46,7 +46,7 @@ BEGINNINGS, TIMES = (5, 6, 7, 8, 9), (1, 2, 4)
 #: A word voter occurs in so many distinct toxic texts at least, with this share of toxic ones or more, and is as unlikely under the base rate.
 SUPPORT, PRECISION, DEVIATIONS = 4, 0.6, 5.0
 #: What the given label's rates in class 1 and in class 0 are expected to be, and for how many times the rows labelled 1 that counts.
-LABEL_RIGHT, LABEL_WRONG, LABEL_PRIOR = 0.95, 0.02, 2.0
+LABEL_RIGHT, LABEL_WRONG, LABEL_PRIOR = 0.95, 0.02, 0.5
 #: A word is left out if a stronger voter occurs in this share of its toxic texts.
 ACCOMPANIED = 0.8
 #: Symbols and limits of the pattern voters: shares of capitals, of "!" and of symbols among all bytes.
@@ -239,7 +239,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, tupl
     parent = np.full(fires.shape[1], -1)
     before = np.zeros_like(fires)
     for step in range(ROUNDS):
-        if step == ROUNDS // 2 and fires.shape[1]:
+        if step in (0, ROUNDS // 2) and fires.shape[1]:
             parent = dependency_tree(fires, post)
             before = np.where(parent >= 0, fires[:, parent], 0.0)
         log_odds = np.log((post.sum() + 1e-9) / (rows - post.sum() + 1e-9))
@@ -253,7 +253,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, tupl
             both = (w @ (fires * before)), (w @ (fires * (1 - before)))
             rate1, rate0 = ((x + TREE_PRIOR * on) / (m + TREE_PRIOR) for x, m in zip(both, with_parent))
             rate = np.clip(np.where(before > 0, rate1, rate0), 1e-6, 1 - 1e-6)
-            log_odds = log_odds + sign * (fires * np.log(rate)).sum(axis=1)
+            log_odds = log_odds + sign * (fires * np.log(rate) + (1 - fires) * np.log(1 - rate)).sum(axis=1)
             q = (w @ given + strength * expected) / (n + strength)
             rates.append(q)
             log_odds = log_odds + sign * (given * np.log(q) + (1 - given) * np.log(1 - q))
