@@ -1,5 +1,6 @@
 """Small cases of the engine's own operators, worked out by hand or by brute force."""
 
+import hashlib
 import math
 
 import pytest
@@ -9,7 +10,10 @@ from peakweave.functions.reads import PRESETS, aligned_positions, crosslink_posi
 from peakweave.operators import coordinates as co
 from peakweave.operators import intervals as iv
 from peakweave.operators import profiles as pr
+from peakweave.operators import segments as sg
+from peakweave.operators import sequences as sq
 from peakweave.operators import statistics as st
+from peakweave.operators.ranking import coarse, with_rank
 
 EXONS = "transcript_id long, gene_id long, contig string, strand string, start long, end long"
 
@@ -32,6 +36,7 @@ def test_aligned_positions(spark):
 
 
 def test_worked_transcript(spark):
+    # The documented example of a transcript on the minus strand.
     exons = spark.createDataFrame([(1, 1, "c", "-", a, b) for a, b in ((100, 108), (112, 119), (124, 131))], EXONS)
     tx = co.transcript_map(exons)
     assert sorted((r.t_start, r.t_end) for r in tx.collect()) == [(0, 7), (7, 14), (14, 22)]
@@ -117,3 +122,98 @@ def test_bh(spark):
 def test_strings(spark):
     assert iupac_regex("RGN") == "[AG]G[ACGT]"
     assert spark.createDataFrame([("ATGCN",)], "s string").select(reverse_complement(F.col("s"))).first()[0] == "NGCAT"
+
+
+def intervals(seed, n, size):
+    return [("c", "+", a, a + 1 + (i * 7919 + seed) % size) for i in range(n) for a in [(i * 104729 + seed * 31) % 4000]]
+
+
+@pytest.mark.parametrize("gap", [0, 5])
+@pytest.mark.parametrize("size", [20, 900])
+def test_merge_and_subtract_by_bins(spark, gap, size):
+    schema = "contig string, strand string, start long, end long"
+    a, b = (spark.createDataFrame(intervals(s, 60, size), schema) for s in (1, 2))
+    keys = ("contig", "strand")
+    rows = lambda df: sorted((r.start, r.end) for r in df.collect())
+    assert rows(iv.merge(a, keys, gap)) == rows(iv.merge(a, keys, gap, bin_width=64))
+    left = {p for _, _, s, e in intervals(1, 60, size) for p in range(s, e)} - {p for _, _, s, e in intervals(2, 60, size) for p in range(s, e)}
+    got = rows(iv.subtract(a, b, keys, 64))
+    assert got == rows(iv.subtract(a, b, keys)) and {p for s, e in got for p in range(s, e)} == left and sum(e - s for s, e in got) == len(left)
+
+
+@pytest.mark.parametrize("bin_width", [1, 16, 4096])
+def test_coverage_across_bins(spark, bin_width):
+    at = [(-9, 2), (0, 1), (5, 3), (30, 1), (33, 4)]
+    p = spark.createDataFrame([("c", "+", x, n) for x, n in at], "contig string, strand string, pos long, n long")
+    got = {x: r.n for r in pr.coverage_runs(p, 3, 8, bin_width=bin_width).collect() for x in range(r.start, r.end)}
+    want = {}
+    for x, n in at:
+        for y in range(x - 3, x + 9):
+            want[y] = want.get(y, 0) + n
+    assert got == want
+
+
+def test_rank_without_one_task(spark):
+    x = [(i, ((i * 7919) % 101 - 50) * 1.5) for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(x, "i long, x double")
+    got = {r.i: r.place for r in with_rank(df, F.coalesce(-coarse(F.col("x")), F.lit(2**62)), [F.desc_nulls_last("x"), F.asc("i")]).collect()}
+    order = sorted(range(301), key=lambda i: (x[i][1] is None, -(x[i][1] or 0), i))
+    assert got == {i: place for place, i in enumerate(order, 1)}
+
+
+def test_bh_keeps_nulls_and_small_p(spark):
+    p = [None, 1e-300, 0.0, 1e-12, 2e-12, 0.5, None, 1.0, 1 / 1024, 1 / 2048]
+    got = {r.i: r.q for r in st.bh_fdr(spark.createDataFrame(list(enumerate(p)), "i int, p double")).collect()}
+    known = sorted((x, i) for i, x in enumerate(p) if x is not None)
+    low, want = 1.0, {0: None, 6: None}
+    for rank in range(len(known), 0, -1):
+        x, i = known[rank - 1]
+        low = min(low, x * len(known) / rank)
+        want[i] = low
+    assert all(got[i] == want[i] if want[i] is None else abs(got[i] - want[i]) <= 1e-12 * max(want[i], 1e-280) for i in want)
+
+
+def test_k_mers_around_counts_placed_anew(spark):
+    seqs = {1: "ACGTACGTNACGTTTGACA", 2: "GGGACCA"}
+    counts = [(1, 3, 2), (1, 18, 1), (2, 0, 1)]
+    s, p = spark.createDataFrame(list(seqs.items()), "seq_id long, seq string"), spark.createDataFrame(counts, "seq_id long, pos long, n long")
+    got = {(r.rand_id, r.code): r.freq for r in sq.kmer_counts(s, p, 2, 3, 4).collect()}
+    want = {}
+    for seq_id, pos, n in counts:
+        seq = seqs[seq_id]
+        for tag in range(1, n + 1):
+            for r in range(-1, 4):
+                at = pos if r < 0 else int(hashlib.md5(f"42|{r}|{seq_id}|{pos}|{tag}".encode()).hexdigest()[:8], 16) % len(seq)
+                for x in range(max(0, at - 3), min(len(seq) - 1, at + 4)):
+                    if set(seq[x : x + 2]) <= set("ACGT"):
+                        key = r, "ACGT".index(seq[x]) * 4 + "ACGT".index(seq[x + 1])
+                        want[key] = want.get(key, 0) + 1
+    assert got == want
+    assert [r.kmer for r in sq.kmer_universe(spark, 2).orderBy("code").collect()] == [a + b for a in "ACGT" for b in "ACGT"]
+
+
+def test_bootstrap_of_any_function(spark):
+    rows = spark.createDataFrame([(i, i % 5, 1 + i % 3) for i in range(40)], "idx long, test long, control long")
+    own = st.bootstrap(rows, lambda f: f[["rand_id"]].head(1).assign(value=f["test"].sum() / f["control"].sum()), "rand_id long, value double", 20)
+    same = st.bootstrap_statistic(rows, lambda times: st.count_ratio(times=times), 20)
+    a, b = ({r.rand_id: r.value for r in df.collect()} for df in (own, same))
+    assert len(a) == 20 and all(abs(a[k] - b[k]) < 1e-12 for k in b)
+
+
+def test_own_regions_and_segments(spark):
+    exons = spark.createDataFrame([(1, 1, "c", "-", a, b) for a, b in ((100, 108), (112, 119), (124, 131))], EXONS)
+    co.register_region("second_exon", lambda x, cds, up, down: x.where("start = 112").select(*co.TX, "start", "end"))
+    assert [(r.start, r.end) for r in co.region(exons, "second_exon").collect()] == [(112, 119)]
+    cds = exons.where("start <= 112").withColumn("start", F.expr("if(start = 100, 104, start)"))
+    p = spark.createDataFrame([("c", "-", x, 1) for x in (101, 106, 115, 130, 110)], "contig string, strand string, pos long, n long")
+    got = {r.g_pos: (r.segment_id, r.start, r.end, r.pos) for r in sg.place(p, exons, "utrs", cds).collect()}
+    assert got == {130: ("1|5UTR", 0, 7, 0), 115: ("1|CDS", 7, 18, 10), 106: ("1|CDS", 7, 18, 15), 101: ("1|3UTR", 18, 22, 20), 110: ("1|intron|108", 108, 112, 110)}
+    assert {(r.segment_id, r.start, r.end) for r in sg.place(p, exons).collect()} == {("1|exon", 0, 22), ("1|intron|108", 108, 112)}
+
+
+def test_sequences_across_chunks(spark):
+    seq = "".join("ACGT"[(i * i + i // 3) % 4] for i in range(200))
+    chunks = spark.createDataFrame([("c", i, seq[i : i + 16]) for i in range(0, 200, 16)], "contig string, start long, seq string")
+    at = [(i, "c", (i * 37) % 150, (i * 37) % 150 + 1 + i * 3) for i in range(12)]
+    got = {r.id: r.seq for r in sq.fetch(chunks, spark.createDataFrame(at, "id long, contig string, start long, end long")).collect()}
+    assert got == {i: seq[a:b] for i, _, a, b in at}

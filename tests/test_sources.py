@@ -1,5 +1,11 @@
 """Readers and writers on small hand-made files."""
 
+import gzip
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
 from peakweave.sources import files, sinks
 
 
@@ -57,3 +63,67 @@ def test_bed12_and_samples(spark, tmp_path):
     assert (r.start, r.end, r.block_count, r.block_sizes, r.block_starts, r.score) == (10, 35, 2, "10,5", "0,20", 0.01)
     f = lines(tmp_path / "s.tsv", "NNNXX\tAC\tt1\tL1,L2")
     assert sorted(r.lane for r in files.read_sample_table(spark, f).collect()) == ["L1", "L2"]
+
+
+def test_parts_of_a_file(spark, tmp_path):
+    """Headers and places reach across the parts in which a file is read."""
+    seqs = {f"c{i}": "".join("ACGT"[(i + j * j) % 4] for j in range(300 + 90 * i)) for i in range(4)}
+    f = lines(tmp_path / "a.fa", *(x for k, s in seqs.items() for x in [f">{k} more", *(s[a : a + 37] for a in range(0, len(s), 37))]))
+    w = lines(tmp_path / "a.wig", *(x for k in seqs for x in [f"variableStep chrom={k}", *(f"{j} {j % 7}.5" for j in range(60))]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        chunks = files.read_fasta(spark, f, 50).collect()
+        assert files._lines(spark, f).select("_block").distinct().count() > 5
+        values = files.read_wig(spark, w).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {k: "".join(r.seq for r in sorted((r for r in chunks if r.contig == k), key=lambda r: r.start)) for k in seqs} == seqs
+    assert all(r.start % 50 == 0 and len(r.seq) <= 50 for r in chunks)
+    assert sorted((r.contig, r.pos, r.value) for r in values) == [(k, j, j % 7 + 0.5) for k in seqs for j in range(60)]
+
+
+def test_bam(spark, tmp_path):
+    def read(name, flag, pos, cigar, tlen=0, contig=0):
+        ops = b"".join(struct.pack("<I", (n << 4) | "MIDNSHP=X".index(c)) for n, c in cigar)
+        seq = sum(n for n, c in cigar if c in "MIS=X")
+        body = struct.pack("<iiBBHHHiiii", contig, pos, len(name) + 1, 60, 0, len(cigar), flag, seq, -1, -1, tlen) + name.encode() + b"\0" + ops + b"\x11" * ((seq + 1) // 2) + b"\xff" * seq
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\0" + struct.pack("<i", 500)
+    raw = head + read("r_AAC", 0, 100, [(10, "M"), (2, "D"), (5, "M")]) + read("u", 4, -1, [], contig=-1) + read("q_AAG", 16 | 128, 200, [(20, "M")], -33)
+    (tmp_path / "a.bam").write_bytes(gzip.compress(raw[:60]) + gzip.compress(raw[60:]))
+    got = sorted(tuple(r) for r in files.read_bam(spark, str(tmp_path / "a.bam")).collect())
+    assert got == [("q_AAG", "c1", 200, 220, True, False, True, "20M", -33), ("r_AAC", "c1", 100, 117, False, False, False, "10M2D5M", 0)]
+    assert sorted(tuple(r) for r in files.read_profile(spark, reads=str(tmp_path / "a.bam")).collect()) == [("c1", "+", 110, 1), ("c1", "-", 220, 1)]
+
+
+def test_read_lengths_and_many_files(spark, tmp_path):
+    f = lines(tmp_path / "a.txt", ">>Basic Statistics\tpass", "x\t1", ">>END_MODULE", ">>Sequence Length Distribution\tpass", "#Length\tCount", "20\t5.0", "21-25\t7.0", ">>END_MODULE")
+    assert sorted(tuple(r)[1:] for r in files.read_length_section(spark, f).collect()) == [(20, 20, 5), (21, 25, 7)]
+    for name in ("A-1", "B-2"):
+        lines(tmp_path / f"{name}.tsv", "x\ty", f"1\t{name}")
+    got = files.read_named_tables(spark, str(tmp_path / "*.tsv"), "([A-Z])-([0-9]).tsv", ["track", "nth"]).collect()
+    assert sorted((r.x, r.y, r.track, r.nth) for r in got) == [(1, "A-1", "A", "1"), (1, "B-2", "B", "2")]
+
+
+def test_contract_of_profiles(spark):
+    df = spark.createDataFrame([("c", "+", 1, 2), ("c", "+", 1, 3)], "contig string, strand string, pos long, n long")
+    assert [tuple(r) for r in files.as_profile(df).collect()] == [("c", "+", 1, 5)]
+    with pytest.raises(ValueError, match="strand"):
+        files.as_profile(df.drop("strand"))
+
+
+def test_sorted_sinks_and_tables(spark, tmp_path):
+    p = spark.createDataFrame([("c2", "+", 9, 1), ("c1", "-", 7, 3), ("c1", "+", 5, 2)], "contig string, strand string, pos long, n long")
+    read = lambda name: [x for f in sorted((tmp_path / name).glob("part-*")) for x in f.read_text().splitlines()]
+    sinks.write_bins(p.withColumnRenamed("pos", "bin"), 10, str(tmp_path / "bins"))
+    assert read("bins") == ["c1\t50\t60\t.\t2\t+", "c1\t70\t80\t.\t3\t-", "c2\t90\t100\t.\t1\t+"]
+    sinks.write_significant(p.withColumn("score", F.lit(1.5)), str(tmp_path / "s"))
+    assert read("s") == ["c1\t5\t6\t1.5\t2\t+", "c1\t7\t8\t1.5\t3\t-", "c2\t9\t10\t1.5\t1\t+"]
+    sinks.write_chrom_sizes(spark.createDataFrame([("c2", 5), ("c1", 7)], "contig string, length long"), str(tmp_path / "sizes"))
+    assert read("sizes") == ["c1\t7", "c2\t5"]
+    sinks.write_track_hub(spark.createDataFrame([("b", "track b"), ("a", "track a")], "track string, stanza string"), str(tmp_path / "hub"))
+    assert read("hub") == ["track a", "", "track b", ""]
