@@ -42,6 +42,8 @@ BITS = 16
 ORDERS = (1, 2, 3)
 PER_LANG = 400
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-4
+#: Bytes of texts whose n-grams are held at once; an n-gram takes some 60 bytes.
+BLOCK = 1 << 18
 #: Features are shares, far below 1; this brings them to a scale that suits the rates above.
 SCALE = 50.0
 #: Added to the count of each n-gram in a language's profile.
@@ -139,7 +141,7 @@ class Grams(NamedTuple):
 def gram_blocks(column: pa.Array) -> Iterator[Grams]:
     """The n-grams of all texts, block by block; those of a long text are counted part by part."""
     count, before, has, letterless = None, None, False, 0
-    for a, b, data, offsets, begins, last in text_parts(column):
+    for a, b, data, offsets, begins, last in text_parts(column, BLOCK):
         if begins and last:
             gram, owner, with_letter, _ = ngrams(data, offsets)
             yield Grams(a, b, gram, owner, None, with_letter, letterless_words(data, offsets))

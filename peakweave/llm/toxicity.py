@@ -41,6 +41,8 @@ from .common import remainder, summed, texts, with_columns, written
 from .spans import HashTable, mix, padded, span_hashes, text_parts
 
 SAMPLE, VOTERS = 6_000, 512
+#: Bytes of texts whose features are held at once.
+BLOCK = 1 << 18
 #: Bytes of the beginnings of words, and the numbers of occurrences that vote.
 BEGINNINGS, TIMES = (5, 6, 7, 8, 9), (1, 2, 4)
 #: A word voter occurs in so many distinct toxic texts at least, with this share of toxic ones or more, and is as unlikely under the base rate.
@@ -113,7 +115,7 @@ def patterns(counts: np.ndarray) -> np.ndarray:
 def text_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, features, the text of each, how often it occurs, patterns) block by block; a long text's features are counted part by part."""
     held, counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
-    for a, b, data, offsets, begins, last in text_parts(column):
+    for a, b, data, offsets, begins, last in text_parts(column, BLOCK):
         h, owner = word_features(data, offsets)
         found = pattern_counts(data, offsets)
         if begins and last:
