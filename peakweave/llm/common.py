@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a mapInArrow, which at its end gives freed memory back to the system: a worker outlives its task, and the next stage may need none of it."""
+
+    def then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+            if trim is not None:
+                trim(0)
+
+    return then_trim
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, named doc_id and text; other columns, whatever their names, are not read."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -87,7 +103,7 @@ def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarr
 
     schema = "slice int, counts binary"
     out = np.zeros(size, np.int64)
-    for r in rows.mapInArrow(per_task, schema).repartition(n_slices, "slice").mapInArrow(add, schema).collect():
+    for r in rows.mapInArrow(given_back(per_task), schema).repartition(n_slices, "slice").mapInArrow(given_back(add), schema).collect():
         at = r["slice"] * width
         out[at : at + width] += np.frombuffer(r["counts"], np.int64)
     return out
@@ -102,7 +118,7 @@ def with_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(given_back(run), schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import free_name, texts, with_columns
+from .common import free_name, given_back, texts, with_columns
 
 BLOCK_CHARS = 8_000_000
 ERROR_PERCENT, LEAST_CHARS = 6, 40
@@ -186,7 +186,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, error_percent: int
                 columns = [batch.column(0).take(pa.array(which, pa.int64())), pa.array([matcher.items[f[0]][0] for f in found], item_type)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([f[j] for f in found], pa.int32()) for j in (1, 2, 3)], schema.names)
 
-        part = rows.mapInArrow(match, schema)
+        part = rows.mapInArrow(given_back(match), schema)
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

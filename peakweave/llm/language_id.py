@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, summed, texts, with_columns
+from .common import given_back, remainder, summed, texts, with_columns
 from .spans import text_parts, words
 
 BITS = 16
@@ -191,7 +191,7 @@ def _vectors(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray, int,
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n", "letterless"])
 
     out = []
-    for r in sample.mapInArrow(make, "lang string, bucket binary, n binary, letterless long").collect():  # the sampled rows
+    for r in sample.mapInArrow(given_back(make), "lang string, bucket binary, n binary, letterless long").collect():  # the sampled rows
         n = np.frombuffer(r["n"], np.int32).astype(np.float32)
         total = float(n.sum(dtype=float))
         out.append((r["lang"], np.frombuffer(r["bucket"], np.int32), n / np.float32(total), int(total), r["letterless"]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, summed, texts, written
+from .common import given_back, remainder, summed, texts, written
 from .lattice import Lattice, load_pieces
 from .spans import LONG, SpanTable, padded, same_spans, span_hashes, text_parts, words
 
@@ -91,7 +91,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
         if table.n:
             yield record(table.spans(), counts[: table.n])
 
-    return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("text").mapInArrow(given_back(count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _expect(vocab: DataFrame, pieces: list[bytes], log_p: np.ndarray) -> np.ndarray:
@@ -224,8 +224,8 @@ def lm_scores(docs: DataFrame, vocabulary: str, folds: int = 10, fold: int = 0,
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score_)], out.names)
 
     out = T.StructType([parts["row"], parts["doc_id"], parts["held_out"], parts["n"], parts["n_known"], parts["base"], parts["score"]])
-    joined = rows.select("doc_id", "text", "held_out").mapInArrow(score, parts).join(vocab, "word", "left")
-    joined = joined.select("c", "row", "doc_id", "held_out", "word", "n", "n_known", "base", "score").mapInArrow(rest, out)
+    joined = rows.select("doc_id", "text", "held_out").mapInArrow(given_back(score), parts).join(vocab, "word", "left")
+    joined = joined.select("c", "row", "doc_id", "held_out", "word", "n", "n_known", "base", "score").mapInArrow(given_back(rest), out)
     result = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n", "n_known", "base", "score")))
     return result.select("doc_id", "held_out", F.col("n").alias("n_tokens"), "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 

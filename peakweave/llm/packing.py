@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, written
+from .common import given_back, texts, written
 from .encoding import encoder
 
 RUN_FIELDS = ("length", "rank", "per_sequence", "sequence", "offset")
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, sp
                 seen[of] += np.diff(np.append(first, len(order)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task), pa.int32()), pa.array(nth)], schema.names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(given_back(cut), schema)
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -140,7 +140,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int) -> DataFrame:
             where = [pa.array(runs["sequence"][run] + i // each), pa.array(runs["offset"][run] + i % each * length)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + where, schema.names)
 
-    return ranked.select(*keep, "_rank").mapInArrow(place, schema)
+    return ranked.select(*keep, "_rank").mapInArrow(given_back(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import given_back, texts
 from .encoding import encoder
 
 
@@ -38,4 +38,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, spaced: boo
             n_bytes = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(given_back(count), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grammar
-from .common import texts
+from .common import given_back, texts
 from .encoding import encoder
 
 
@@ -74,7 +74,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         if names:
             yield close()
 
-    rows.mapInArrow(shards, schema).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(given_back(shards), schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _read(spark: SparkSession, path: str, name: str, kind, arrow_kind, made) ->
                 out = [made(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + first + before[part]), pa.array(counts), pa.array(out, arrow_kind)], schema.names)
 
-    return files.select("part", "first", "doc_ids", "counts", "grammars").mapInArrow(documents, schema)
+    return files.select("part", "first", "doc_ids", "counts", "grammars").mapInArrow(given_back(documents), schema)
 
 
 def decode_document(row, index: int) -> np.ndarray:

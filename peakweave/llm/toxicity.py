@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, summed, texts, with_columns, written
+from .common import given_back, remainder, summed, texts, with_columns, written
 from .spans import HashTable, mix, padded, span_hashes, text_parts
 
 SAMPLE, VOTERS = 6_000, 512
@@ -152,7 +152,7 @@ def _toxic_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
                     least = [mix(x ^ np.uint64(i << 32)).min().astype(np.int64) for i in range(ORDERS)]
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), *(pa.array(np.full(len(x), g, np.int64)) for g in least)], ["feature", *groups])
 
-    rows = sample.where("toxic = 1").select("text").mapInArrow(make, "feature long, " + ", ".join(f"{g} long" for g in groups))
+    rows = sample.where("toxic = 1").select("text").mapInArrow(given_back(make), "feature long, " + ", ".join(f"{g} long" for g in groups))
     found = rows.groupBy("feature").agg(F.count("*").alias("n"), *(F.size(F.collect_set(g)).alias(g) for g in groups))
     found = found.select("feature", "n", F.greatest(*groups).alias("support")).where(F.col("support") >= SUPPORT).toArrow()
     feature = found["feature"].to_numpy().view(np.uint64)
@@ -184,7 +184,7 @@ def _votes(sample: DataFrame, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 found.append(p.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(holds, pa.binary()), pa.array(found, pa.binary())], ["toxic", "holds", "patterns"])
 
-    got = sample.mapInArrow(make, "toxic int, holds binary, patterns binary").collect()  # SAMPLE rows at most, a bit for each feature
+    got = sample.mapInArrow(given_back(make), "toxic int, holds binary, patterns binary").collect()  # SAMPLE rows at most, a bit for each feature
     got.sort(key=lambda r: (r["toxic"], bytes(r["holds"]), bytes(r["patterns"])))
     holds = np.array([np.unpackbits(np.frombuffer(r["holds"], np.uint8), count=len(feature)) for r in got], np.uint8).reshape(len(got), len(feature))
     return np.array([r["toxic"] for r in got]), holds, np.array([np.frombuffer(r["patterns"], np.uint8) for r in got]).reshape(len(got), len(LIMITS))
