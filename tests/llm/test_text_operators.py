@@ -200,6 +200,30 @@ def test_jaccard_join_cut_into_blocks(spark, monkeypatch):
     assert got == {i: (want[i], links[i]) for i in range(60)}
 
 
+@pytest.mark.parametrize("level", [0, 2, 99])
+def test_jaccard_join_with_frequent_shingles(spark, monkeypatch, level):
+    # All shingles frequent, those of the common passage, or none: the links are the same.
+    monkeypatch.setattr(jaccard_join, "FREQUENT_LEVEL", level)
+    common = [f"c{j}" for j in range(12)]
+    texts = [" ".join(common + [f"w{j}" for j in range(i % 9)] + ([f"t{i}"] if i % 4 else [])) for i in range(90)]
+    texts += [" ".join(common[: 3 + i]) for i in range(9)] + ["one of its own", None]
+    sets = [shingle_set(t, 3) for t in texts]
+    want, links = components_of(sets, list(range(len(texts))), 80)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_join(table(spark, texts), 3, 80).collect()}
+    assert got == {i: (want[i], links[i]) for i in range(len(texts))}
+
+
+def test_frequent_shingles_are_dealt_to_spots(spark):
+    rows = [(i, 20, [], [7]) for i in range(400)] + [(500, 21, [], [7]), (600, 90, [], [7]), (700, 20, [8], [])]
+    classes = spark.createDataFrame(rows, "v long, n int, keys array<long>, hot array<long>")
+    shared = jaccard_join._beside(classes, 90)
+    assert {r.v for r in shared.collect()} == {*range(400), 500}
+    assert max(r["count"] for r in shared.groupBy("key", "n", "spot").count().collect()) < 200
+    edges = [(r.u, r.v) for r in jaccard_join._chains(shared, 90).collect()]
+    assert len(edges) == 400
+    assert len(set(jaccard_join._labels(501, [(np.array(x), np.array(y)) for x, y in [zip(*edges)]])[[*range(400), 500]])) == 1
+
+
 def test_jaccard_join_odd_rows(odd, none):
     got = jaccard_join.jaccard_join(odd, 3, 90).collect()
     assert len(got) == odd.count() and [r.component_id for r in got if r.doc_id is None] == [None]
