@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coordinates import TX, merged_genes, transcript_map
-from .intervals import gaps, join_points
+from .intervals import gaps, join_signal, laid_out
 
 COLUMNS = ("segment_id", "contig", "strand", "start", "end", "pos", "n", "g_pos")
 
@@ -25,7 +25,7 @@ def _name(kind: str | Column, *more: Column) -> Column:
 def place_spliced(profile: DataFrame, exons: DataFrame, cds: DataFrame | None = None) -> DataFrame:
     """Signal in the exons of each transcript, which are one segment; with coding parts up to three: before, in and after them."""
     tx_map = transcript_map(exons).withColumnsRenamed({"g_start": "start", "g_end": "end"}).drop("gene_id")
-    hit = join_points(profile, tx_map)
+    hit = laid_out(join_signal(profile, tx_map))
     t = F.when(F.col("strand") == "-", F.col("t_start") + F.col("end") - 1 - F.col("pos")).otherwise(F.col("t_start") + F.col("pos") - F.col("start"))
     hit = hit.select("transcript_id", "contig", "strand", "tx_len", t.alias("t"), "n", F.col("pos").alias("g_pos"))
     if cds is None:
@@ -50,7 +50,7 @@ def _coding_span(exons: DataFrame, cds: DataFrame) -> DataFrame:
 
 def place_introns(profile: DataFrame, exons: DataFrame) -> DataFrame:
     """Signal in introns, each a segment of its own, numbered from its start on the contig."""
-    hit = join_points(profile, gaps(exons, TX).drop("gene_id"))
+    hit = laid_out(join_signal(profile, gaps(exons, TX).drop("gene_id")))
     return hit.select(_name("intron", F.col("start")).alias("segment_id"), "contig", "strand", "start", "end", "pos", "n", F.col("pos").alias("g_pos"))
 
 

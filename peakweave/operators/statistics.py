@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.reads import hash_number
 from .intervals import join_points
@@ -122,11 +124,58 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - shift
 
 
+#: Nodes and weights of Gauss and Legendre on [0, 1].
+_NODES, _WEIGHTS = ((x + y) / 2 for x, y in zip(np.polynomial.legendre.leggauss(40), (1.0, 0.0)))
+#: From here on both powers of the integrand make it smooth enough for the nodes.
+LARGE = 30
+
+
+def _stirling_error(x: np.ndarray) -> np.ndarray:
+    """The logarithm of x!, less Stirling's formula, for x of LARGE or more."""
+    z = 1 / (x * x)
+    return (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x
+
+
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """x log(x / mean) + mean - x"""
+    e = (x - mean) / mean
+    return mean * ((1 + e) * np.log1p(e) - e)
+
+
+def _tail_by_integral(i: np.ndarray, j: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X > i) for X ~ Binomial(i + j + 1, p), i and j of LARGE or more: t ** i (1 - t) ** j is integrated from p away from its peak.
+
+    The work does not grow with i and j: the integral ends where the integrand is
+    exp(-42) of its value at p.
+    """
+    n, q = i + j, 1 - p
+    at_p = (n + 1) * np.sqrt(n / (2 * math.pi * i * j)) * np.exp(_stirling_error(n) - _stirling_error(i) - _stirling_error(j) - _deviance(i, n * p) - _deviance(j, n * q))
+    left = p * n <= i
+    sign = np.where(left, -1.0, 1.0)
+    up, down = sign / p, -sign / q
+    s = np.sqrt(i * j / n) / n
+    z = np.abs(p - i / n) / s
+    most = np.where(left, p, q) * (1 - 1e-9)
+    length = np.minimum(s * (np.sqrt(z * z + 84) - z), most)
+    for _ in range(4):  # Newton's steps to the end; from the first on they come from beyond it
+        short = i * np.log1p(up * length) + j * np.log1p(down * length) + 42
+        length = np.clip(length - short / (i * up / (1 + up * length) + j * down / (1 + down * length)), length / 4, most)
+    total = np.zeros_like(p)
+    for x, w in zip(_NODES, _WEIGHTS):
+        u = length * x
+        total += w * np.exp(i * np.log1p(up * u) + j * np.log1p(down * u))
+    beyond = at_p * length * total
+    return np.where(left, beyond, 1 - beyond)
+
+
 def binomial_tail(k, n, p) -> pd.Series:
-    """P(X >= k) for X ~ Binomial(n, p): the regularised incomplete beta function I_p(k, n - k + 1), by its continued fraction."""
+    """P(X >= k) for X ~ Binomial(n, p): the regularised incomplete beta function I_p(k, n - k + 1), by its continued fraction, or by an integral where that would take many steps."""
     k, n, p = (np.asarray(x, float) for x in np.broadcast_arrays(k, n, p))
     out = np.where(k <= 0, 1.0, np.where((k > n) | (p <= 0), 0.0, np.where(p >= 1, 1.0, np.nan)))
     at = np.flatnonzero(np.isnan(out) & ~np.isnan(p))
+    large = np.minimum(k[at] - 1, n[at] - k[at]) >= LARGE
+    some, at = at[large], at[~large]
+    out[some] = np.clip(_tail_by_integral(k[some] - 1, n[some] - k[some], p[some]), 0.0, 1.0)
     a, b, x = k[at], n[at] - k[at] + 1, p[at]
     # The fraction converges fast below the mean; above it the other tail is taken.
     flip = x > (a + 1) / (a + b + 2)
@@ -152,22 +201,22 @@ def binomial_pvalues(profile: DataFrame, segments: DataFrame, width: int = 15) -
     return binomial_of_placed(join_points(profile, segments), width)
 
 
-def binomial_of_placed(placed: DataFrame, width: int = 15) -> DataFrame:
-    """As binomial_pvalues, for signal (segment_id, start, end, pos, n) that has its segments already."""
-    inside = placed.select("segment_id", "start", "end", "pos", "n")
+def binomial_of_placed(placed: DataFrame, width: int = 15, keep: Sequence[str] = ()) -> DataFrame:
+    """As binomial_pvalues, for signal (segment_id, start, end, pos, n) that has its segments already; keep: other columns to bring along."""
+    # Totals first: rows dealt by segment serve the sums of its bins too.
+    inside = placed.select("segment_id", "start", "end", "pos", "n", *keep).withColumn("total", F.sum("n").over(Window.partitionBy("segment_id")))
     sums = window_sums(inside, width, ("segment_id",), own=False)
-    total = F.sum("n").over(Window.partitionBy("segment_id"))
     lo, hi = F.greatest("start", F.col("pos") - width), F.least("end", F.col("pos") + width)
-    ready = sums.select("segment_id", "pos", "n", "window_sum", total.alias("total"), (F.col("end") - F.col("start")).alias("length"), ((hi - lo) / (F.col("end") - F.col("start"))).alias("share"))
-    id_type = inside.schema["segment_id"].dataType.simpleString()
+    out = ("segment_id", "pos", "n", *keep)
+    ready = sums.select(*out, "window_sum", "total", (F.col("end") - F.col("start")).alias("length"), ((hi - lo) / (F.col("end") - F.col("start"))).alias("share"))
 
-    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p1 = binomial_tail(b["n"] - 1, b["total"], 1.0 / b["length"])
-            p2 = binomial_tail(b["window_sum"], b["total"], b["share"])
-            yield b[["segment_id", "pos", "n"]].assign(p=(p1 * p2).to_numpy())
+            n, around, total, length, share = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "window_sum", "total", "length", "share"))
+            p = binomial_tail(n - 1, total, 1.0 / length) * binomial_tail(around, total, share)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), pa.array(p.to_numpy())], [*out, "p"])
 
-    return ready.mapInPandas(tails, f"segment_id {id_type}, pos bigint, n bigint, p double")
+    return ready.mapInArrow(tails, StructType([*ready.select(*out).schema.fields, StructField("p", DoubleType())]))
 
 
 def bases_output(found: DataFrame, keys=("contig", "strand", "pos")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,29 @@ def test_binomial_tail():
     assert got[0] == 1 and abs(got[1] - want) < 1e-12 and got[2] == 0
 
 
+def test_binomial_tail_of_large_numbers():
+    # Exact sums of whole numbers; the continued fraction took ever more steps, and was off by 1e-11 and more.
+    for n, k, q in ((2000, 400, 4), (2000, 560, 4), (40000, 7000, 5), (40000, 8001, 5), (40000, 9500, 5)):
+        parts = [math.comb(n, k)]  # times (q - 1) ** (n - i), over q ** n
+        for i in range(k, n):
+            parts.append(parts[-1] * (n - i) // (i + 1))
+        top = 0
+        for i, c in enumerate(parts):
+            top = top * (q - 1) + c
+        want = float(Fraction(top, q**n))
+        assert abs(st.binomial_tail([k], [n], [1 / q])[0] - want) < 1e-12 * want
+
+
+def test_signal_of_intervals(spark):
+    at = [(i * 37) % 700 - 60 for i in range(90)]
+    p = spark.createDataFrame([("c", "+", x, i + 1) for i, x in enumerate(at)], "contig string, strand string, pos long, n long")
+    spans = [(i, "c", "+", (i * 91) % 600 - 80, (i * 91) % 600 - 80 + 1 + (i * 53) % 300) for i in range(40)]
+    x = spark.createDataFrame(spans, "id long, contig string, strand string, start long, end long")
+    want = sorted((i, y, n + 1) for i, _, _, a, b in spans for n, y in enumerate(at) if a <= y < b)
+    for width in (1, 16, 256):
+        assert sorted((r.id, r.pos, r.n) for r in iv.laid_out(iv.join_signal(p, x, bin_width=width)).collect()) == want
+
+
 def test_bh(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.5, 0.03, 1.0]
     got = {r.i: r.q for r in st.bh_fdr(spark.createDataFrame(list(enumerate(p)), "i int, p double")).collect()}
