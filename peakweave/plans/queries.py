@@ -564,7 +564,7 @@ _grouping("all", v.GENE_MAP, v.PLACED)
 @query(f"{R}, {E}, {v.TX_MAP}, {introns_sql(v.TX_KEYS)}, {v.PLACED}, {PVALUES} SELECT contig, strand, g_pos AS pos, round(min(p) + 1.234e-9, 6) AS p FROM pv GROUP BY ALL")
 def least_p_of_bases(spark, d):
     placed = sg.place(v.pooled(spark, d), v.exons(spark, d))
-    found = sg.on_contig(st.binomial_of_placed(placed), placed).select("contig", "strand", F.col("g_pos").alias("pos"), "p")
+    found = st.binomial_of_placed(placed, keep=("contig", "strand", "g_pos")).select("contig", "strand", F.col("g_pos").alias("pos"), "p")
     return st.bases_output(found).withColumn("p", p6("p"))
 
 
@@ -763,7 +763,7 @@ SELECT gene_id, contig, strand, pos, p, round(least(1.0, min(p * m / r) OVER (OR
 def binomial_bh(spark, d):
     exons = v.exons(spark, d)
     placed = sg.place(v.pooled(spark, d), exons)
-    found = sg.on_contig(st.binomial_of_placed(placed), placed).withColumn("transcript_id", F.substring_index("segment_id", "|", 1).cast("long"))
+    found = st.binomial_of_placed(placed, keep=("contig", "strand", "g_pos")).withColumn("transcript_id", F.substring_index("segment_id", "|", 1).cast("long"))
     found = found.join(exons.select("transcript_id", "gene_id").distinct(), "transcript_id").select("gene_id", "contig", "strand", F.col("g_pos").alias("pos"), "p")
     return st.bh_fdr(st.gene_averages(found, ["gene_id", "contig", "strand", "pos"]).withColumn("p", p6("p"))).withColumn("q", r6("q"))
 
