@@ -113,7 +113,7 @@ SITES = """sites AS (SELECT s_suppkey AS id, 'c' || (s_suppkey % 25) AS contig,
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    seq = F.regexp_replace(F.upper("text"), "[^ACGT]+", "")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), seq.alias("seq")).where(F.length("seq") >= 20)
 
 

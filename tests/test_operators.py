@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from fractions import Fraction
 
 import pytest
@@ -216,6 +217,31 @@ def test_k_mers_around_counts_placed_anew(spark):
     assert [r.kmer for r in sq.kmer_universe(spark, 2).orderBy("code").collect()] == [a + b for a in "ACGT" for b in "ACGT"]
 
 
+def test_draws_are_md5_numbers():
+    for names in ([b"|7|12|1", b"|1234567|99|3"], [b"|" + b"x" * 70 + b"|1|1", b"|2|2|2"]):
+        want = [[int(hashlib.md5(f"42|{r}".encode() + x).hexdigest()[:8], 16) for x in names] for r in range(12)]
+        assert sq.draw_numbers(names, 12, 42).tolist() == want
+
+
+def test_several_k_in_one_pass(spark):
+    s, p = spark.createDataFrame([(1, "ACGTACGTNACGTTTGACA"), (2, "GGGACCA")], "seq_id long, seq string"), spark.createDataFrame([(1, 3, 2), (2, 0, 1)], "seq_id long, pos long, n long")
+    both = sq.kmer_enrichments(s, {"x": p}, [2, 3], 4, 10)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.k, r.kmer): r.z for r in both.collect()} == {(k, r.kmer): r.z for k in (2, 3) for r in sq.kmer_enrichment(s, p, k, 4, 10).collect()}
+
+
+def test_shared_ids_and_pseudo_counts(spark):
+    # The second contig has a transcript of the same id; bases 3 and 4 have signal on both.
+    exons = spark.createDataFrame([(1, 1, c, "+", 0, 10) for c in "cd"] + [(2, 2, "e", "-", 5, 15)], EXONS)
+    p = spark.createDataFrame([(c, x, y, n) for c, x, y, n in (("c", "+", 3, 1), ("c", "+", 4, 2), ("d", "+", 3, 4), ("e", "-", 14, 3))], "contig string, strand string, pos long, n long")
+    assert sorted(tuple(r) for r in pr.count_transcript(p, exons).collect()) == [(1, "exons", 3, 5), (1, "exons", 4, 2), (2, "exons", 0, 3)]
+    got = {(r.region, r.bin): r.density for r in pr.meta_gene(p, exons, 0, (0, 5, 0), pseudo_count=1.0).collect()}
+    one, two = [1, 8, 1, 1, 1], [4, 1, 1, 1, 1]
+    assert set(got) == {("exons", b) for b in range(5)} and all(abs(got["exons", b] - one[b] / 12 - two[b] / 8) < 1e-12 for b in range(5))
+    # No task keeps a row for each base of each transcript.
+    assert not re.search(r"Aggregate \[transcript_id#\d+L?, region", pr.meta_gene(p, exons)._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_bootstrap_of_any_function(spark):
     rows = spark.createDataFrame([(i, i % 5, 1 + i % 3) for i in range(40)], "idx long, test long, control long")
     own = st.bootstrap(rows, lambda f: f[["rand_id"]].head(1).assign(value=f["test"].sum() / f["control"].sum()), "rand_id long, value double", 20)
