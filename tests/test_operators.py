@@ -16,6 +16,7 @@ from peakweave.operators import segments as sg
 from peakweave.operators import sequences as sq
 from peakweave.operators import statistics as st
 from peakweave.operators.ranking import coarse, with_rank
+from peakweave.plans.queries import QUERIES
 
 EXONS = "transcript_id long, gene_id long, contig string, strand string, start long, end long"
 
@@ -260,6 +261,15 @@ def test_junctions_from_one_map(spark):
     assert plan.count("RepartitionByExpression") == 1 and len(re.findall(r"\bJoin\b", plan)) == 1
 
 
+@pytest.mark.parametrize("query", ["meta_gene"])
+def test_no_rows_kept_for_each_base(spark, query):
+    # Signal is dealt by transcript as arrays: no aggregate has a group for each base of a transcript.
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    groups = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert groups and not any("transcript_id" in g and "base" in g for g in groups)
+    assert "_signal" in plan and "Generate posexplode(signal" in plan
+
+
 def test_bootstrap_of_any_function(spark):
     rows = spark.createDataFrame([(i, i % 5, 1 + i % 3) for i in range(40)], "idx long, test long, control long")
     own = st.bootstrap(rows, lambda f: f[["rand_id"]].head(1).assign(value=f["test"].sum() / f["control"].sum()), "rand_id long, value double", 20)
