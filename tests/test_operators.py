@@ -261,7 +261,7 @@ def test_junctions_from_one_map(spark):
     assert plan.count("RepartitionByExpression") == 1 and len(re.findall(r"\bJoin\b", plan)) == 1
 
 
-@pytest.mark.parametrize("query", ["meta_gene", "meta_gene_counts", "reverse_strand_cropped", "rows_by_given_keys", "meta_gene_scaled_flanks", "rows_backwards", "rows_by_first_exon"])
+@pytest.mark.parametrize("query", ["meta_gene", "meta_gene_counts", "reverse_strand_cropped", "rows_by_given_keys", "meta_gene_scaled_flanks", "rows_backwards", "rows_by_first_exon", "rows_by_utr5"])
 def test_no_rows_kept_for_each_base(spark, query):
     # Signal is dealt by transcript as arrays: no aggregate has a group for each base of a transcript.
     plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
