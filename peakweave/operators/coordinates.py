@@ -77,7 +77,7 @@ def _which(exons: DataFrame, which: str) -> DataFrame:
 
 def _utr(exons: DataFrame, cds: DataFrame, five: bool) -> DataFrame:
     limits = cds.groupBy("transcript_id").agg(F.min("start").alias("c0"), F.max("end").alias("c1"))
-    rest = subtract(exons.select(*TX, "start", "end"), cds.select(*TX, "start", "end"), TX).join(limits, "transcript_id")
+    rest = subtract(exons.select(*TX, "start", "end"), cds.select(*TX, "start", "end"), TX).join(limits.hint("merge"), "transcript_id")  # grows with the transcripts, so it is never broadcast
     before, after = F.col("end") <= F.col("c0"), F.col("start") >= F.col("c1")
     minus = F.col("strand") == "-"
     return rest.where(F.when(minus, after if five else before).otherwise(before if five else after)).select(*TX, "start", "end")
@@ -124,7 +124,7 @@ def transcript_lengths(exons: DataFrame, cds: DataFrame) -> DataFrame:
     size = lambda df, name: df.groupBy("transcript_id").agg(F.sum(F.col("end") - F.col("start")).alias(name))
     out = size(merge(exons, TX), "total")
     for part, name in ((_utr(exons, cds, True), "utr5"), (_utr(exons, cds, False), "utr3"), (_numbered(exons).where("_i = 1"), "first_exon")):
-        out = out.join(size(part, name), "transcript_id", "left")
+        out = out.join(size(part, name).hint("merge"), "transcript_id", "left")
     return out.select("transcript_id", "total", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("utr5", "utr3", "first_exon")))
 
 
