@@ -270,7 +270,7 @@ def test_no_rows_kept_for_each_base(spark, query):
     assert "_signal" in plan and "Generate posexplode(signal" in plan
 
 
-@pytest.mark.parametrize("query", ["meta_gene", "meta_gene_counts", "reverse_strand_cropped", "meta_gene_scaled_flanks", "rows_backwards", "rows_by_given_keys", "rows_by_first_exon"])
+@pytest.mark.parametrize("query", ["meta_gene", "meta_gene_counts", "reverse_strand_cropped", "meta_gene_scaled_flanks", "rows_backwards", "rows_by_given_keys", "rows_by_first_exon", "rows_by_utr5"])
 def test_annotation_is_never_broadcast(spark, query):
     # However small the files are, intervals and signal meet by a merge; of a ranking's joins only the one with the sizes of its buckets is a broadcast.
     plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
