@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import gaps, merge, subtract
+from .intervals import gaps, merge, merged_in_order, subtract
 
 TX = ("transcript_id", "gene_id", "contig", "strand")
 
 
 def transcript_map(exons: DataFrame, introns: bool = False) -> DataFrame:
     """One row for each exon (or intron) in transcript order, with its place in transcript coordinates."""
-    parts = (gaps if introns else merge)(exons, TX)
-    order = F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start"))
-    w = Window.partitionBy(*TX).orderBy(order)
+    parts = gaps(exons, TX).withColumn("_nth", F.col("start")) if introns else merged_in_order(exons, TX)
+    # Both strands are summed up in the order of the sequence that they are sorted in; a minus strand counts from its far end.
+    w, whole, minus = Window.partitionBy(*TX).orderBy("_nth"), Window.partitionBy(*TX), F.col("strand") == "-"
     length = F.col("end") - F.col("start")
-    before = F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.select(*TX, (F.row_number().over(w) - 1).alias("exon_idx"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), before.alias("t_start"), (before + length).alias("t_end"), F.sum(length).over(Window.partitionBy(*TX)).alias("tx_len"))
+    placed = parts.select(*TX, "start", "end", F.row_number().over(w).alias("_i"), F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"), F.count("*").over(whole).cast("int").alias("_n"), F.sum(length).over(whole).alias("tx_len"))
+    before = F.when(minus, F.col("tx_len") - F.col("_sum")).otherwise(F.col("_sum") - length)
+    return placed.select(*TX, F.when(minus, F.col("_n") - F.col("_i")).otherwise(F.col("_i") - 1).alias("exon_idx"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), before.alias("t_start"), (before + length).alias("t_end"), "tx_len")
 
 
 def _t_of_g(g):

@@ -278,6 +278,35 @@ def test_annotation_is_never_broadcast(spark, query):
     assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == query.startswith("rows_")
 
 
+@pytest.mark.parametrize("query", ["meta_gene_counts", "reverse_strand_cropped", "meta_gene_scaled_flanks", "rows_backwards"])
+def test_exons_are_sorted_once(spark, query):
+    # A task that maps transcripts sorts its exons once and has no groups of them: all that follows until the join with signal is in that order.
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exons = next(x for x in plan.split("== Initial Plan ==")[0].split("SortMergeJoin")[1].split("Exchange hashpartitioning(") if "REPARTITION_BY_COL" not in x and "Window" in x)
+    assert "tx_len" in exons and len(re.findall(r"[+:]- \*?(?:\(\d+\) )?Sort \[", exons)) == 1 and "Aggregate" not in exons
+
+
+@pytest.mark.parametrize("gap", [0, 7])
+def test_merge_of_any_intervals(spark, gap):
+    # Nested, equal, touching and empty ones, and keys that are null, against a plain sweep.
+    rows = [(None if k == 3 else k, s, s + (i * 31 + k) % 17) for k in range(4) for i in range(60) for s in [(i * i * 37 + k * 11) % 900]]
+    rows += [(9, 5, 5), (9, 5, 20), (9, 5, 20), (9, 8, 10), (9, 20, 30), (9, 38, 40)]
+    want = []
+    for key in {r[0] for r in rows}:
+        own = []
+        for _, s, e in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            if own and s <= own[-1][2] + gap:
+                own[-1][2] = max(own[-1][2], e)
+            else:
+                own.append([key, s, e])
+        want += [tuple(x) for x in own]
+    df = spark.createDataFrame(rows, "k long, start long, end long")
+    assert sorted(map(str, (tuple(r) for r in iv.merge(df, ["k"], gap).collect()))) == sorted(map(str, want))
+    if not gap:
+        between = [(a[0], a[2], b[1]) for a, b in zip(want, want[1:]) if a[0] == b[0]]
+        assert sorted(map(str, (tuple(r) for r in iv.gaps(df, ["k"]).collect()))) == sorted(map(str, between))
+
+
 def test_bootstrap_of_any_function(spark):
     rows = spark.createDataFrame([(i, i % 5, 1 + i % 3) for i in range(40)], "idx long, test long, control long")
     own = st.bootstrap(rows, lambda f: f[["rand_id"]].head(1).assign(value=f["test"].sum() / f["control"].sum()), "rand_id long, value double", 20)
