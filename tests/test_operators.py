@@ -286,6 +286,12 @@ def test_exons_are_sorted_once(spark, query):
     assert "tx_len" in exons and len(re.findall(r"[+:]- \*?(?:\(\d+\) )?Sort \[", exons)) == 1 and "Aggregate" not in exons
 
 
+def test_no_groups_of_exons(spark):
+    # Neither the map of transcripts nor the tables of lengths and untranslated parts number islands and group by them.
+    plan = QUERIES["rows_by_utr5"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_last" in plan and "island" not in plan
+
+
 @pytest.mark.parametrize("gap", [0, 7])
 def test_merge_of_any_intervals(spark, gap):
     # Nested, equal, touching and empty ones, and keys that are null, against a plain sweep.
